@@ -6,10 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sembla.llm.groups import group_ids
+from sembla.llm.neighbours import similar_vectors
+from sembla.llm.rank_fusion import best_item, ideal_point_scores
+from sembla.llm.tokenizer import encode_corpus
 from sembla.llm.topn import top_n
 from sembla.session import read_table
 
 
+def usable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments whose descriptor has 32 values that are not all zero."""
+    rows = read_table(spark, sf_dir, "search_segment").select("segment_uid", "collection_name", "descriptor")
+    return rows.where((F.size("descriptor") == 32) & F.exists("descriptor", lambda x: x != 0))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 reference segments nearest to every query segment."""
+    rows = usable_segments(spark, sf_dir).withColumns({"is_query": F.col("collection_name") == "query", "is_reference": F.col("collection_name") == "reference"})
+    out = similar_vectors(rows, "segment_uid", "descriptor", 5, "is_query", "is_reference", "uint8")
+    return out.select(F.col("segment_uid").alias("query_uid"), F.col("neighbour").alias("reference_uid"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 3 nearest neighbours of every query and the 3 best detections of every video."""
     knn = read_table(spark, sf_dir, "mknn_result_query").where("nn_distance >= 0")
@@ -51,5 +67,45 @@ WITH RECURSIVE e AS (
 SELECT v AS video_id, min(w) AS group_id FROM r GROUP BY v
 """
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
-SQL = {"p4_found": P4_SQL, "p6_found": P6_SQL}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour that heads the combined ranking of every query."""
+    lists = read_table(spark, sf_dir, "query_txt").select("ss_name", "name_query", F.inline("nns"))
+    file = lambda c: F.regexp_replace(c, "@[^@]*$", "")
+    foreign = lists.where(file("name_nn") != file("name_query"))
+    return best_item(ideal_point_scores(foreign, "name_query", "ss_name", "name_nn", "distance"), "name_query", "name_nn")
+
+
+P5_SQL = """
+WITH x AS (
+  SELECT ss_name, name_query, unnest(nns) AS n FROM query_txt
+), r AS (
+  SELECT ss_name AS c, name_query AS q, n.name_nn AS i, n.distance AS x FROM x
+  WHERE n.distance IS NOT NULL AND NOT isnan(n.distance) AND n.name_nn IS NOT NULL
+    AND regexp_replace(n.name_nn, '@[^@]*$', '') <> regexp_replace(name_query, '@[^@]*$', '')
+), b AS (
+  SELECT c, quantile_disc(x, 0.01) AS lo, quantile_disc(x, 0.95) AS hi FROM r GROUP BY c
+), o AS (
+  SELECT q, c, i, greatest(any_value(lo), least(any_value(hi), min(x))) AS x FROM r JOIN b USING (c) GROUP BY q, c, i
+), l AS (
+  SELECT q, c, CASE WHEN sum(x * x) > 0 THEN sqrt(sum(x * x)) ELSE 1 END AS norm, min(x) AS low, max(x) AS high FROM o GROUP BY q, c
+), m AS (
+  SELECT q, c, norm, low / norm AS ideal, CASE WHEN high > 0 THEN high / norm * 1.5 ELSE high / norm + 1 END AS worst FROM l
+), p AS (
+  SELECT o.q, o.i, m.c, coalesce(y.x / m.norm, m.worst) AS v, m.ideal, m.worst
+  FROM (SELECT DISTINCT q, i FROM o) o JOIN m ON m.q = o.q LEFT JOIN o y ON y.q = o.q AND y.i = o.i AND y.c = m.c
+), s AS (
+  SELECT q, i, sqrt(sum((v - ideal) ** 2)) AS near, sqrt(sum((worst - v) ** 2)) AS far FROM p GROUP BY q, i
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(CASE WHEN near + far > 0 THEN far / (near + far) ELSE 0.5 END, 12) DESC, i) AS n FROM s
+)
+SELECT q AS name_query, i AS name_nn FROM k WHERE n = 1
+"""
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
+SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
