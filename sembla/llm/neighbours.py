@@ -181,7 +181,7 @@ def distinct_vectors(rows: DataFrame, key: str, query: str, base: str) -> DataFr
 
 
 def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves: int = 6, width: int = 256, dims: int = 5, bits: int = 10, seed: int = 7, chain: bool = False) -> DataFrame:
-    """For every query node and curve one row: qid, near (array of struct d, id, nearest first; with chain the last is the next on the curve).
+    """For every query node and curve one row: qid, lane (the curve's number), near (array of struct d, id, nearest first; with chain the last is the next on the curve).
 
     nodes: a written table of distinct_vectors. Windows end at the borders of a
     run; these lie elsewhere on every curve.
@@ -191,7 +191,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
     share = max(1, -(-n // FIT_ROWS))
     rows = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).limit(2 * FIT_ROWS).select("vec").toArrow().column(0)
     element = np.dtype(dtype)
-    schema = "qid long, near array<struct<d: double, id: long>>"
+    schema = "qid long, lane short, near array<struct<d: double, id: long>>"
     if not len(rows):
         return spark.createDataFrame([], schema)
     fitted = Curves.fit(_matrix(rows, element), curves, dims, bits, seed)
@@ -214,25 +214,25 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
         for run, piece in by_run(batches):
             # a curve that ends within a run ends the window
             if piece is None:
-                yield from rows_of(window.add(None, True)) if window else ()
+                yield from rows_of(was, window.add(None, True)) if window else ()
                 window = was = None
                 continue
             lane = piece.column(piece.schema.get_field_index("curve")).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(lane[1:] != lane[:-1]) + 1).tolist(), len(lane)]
             for a, z in zip(cuts, cuts[1:]):
                 if was is not None and lane[a] != was:
-                    yield from rows_of(window.add(None, True))
+                    yield from rows_of(was, window.add(None, True))
                     window = None
                 was = lane[a]
                 window = window or _Window(k, width, element, chain)
-                yield from rows_of(window.add(piece.slice(a, z - a), False))
+                yield from rows_of(was, window.add(piece.slice(a, z - a), False))
 
-    def rows_of(found: Iterator) -> Iterator[pa.RecordBatch]:
+    def rows_of(lane: int, found: Iterator) -> Iterator[pa.RecordBatch]:
         for qid, ids, dist in found:
             keep = ids.ravel() >= 0
             offsets = np.concatenate([[0], np.cumsum((ids >= 0).sum(1))]).astype(np.int32)
             values = pa.StructArray.from_arrays([pa.array(dist.ravel()[keep]), pa.array(ids.ravel()[keep])], fields=list(item))
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["qid", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["qid", "lane", "near"])
 
     return runs.select(RUN, "curve", "vec", "qid", "bid").mapInArrow(search, schema)
 

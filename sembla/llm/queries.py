@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sembla.llm.clusters import density_clusters
 from sembla.llm.groups import group_ids
+from sembla.llm.leakage import leaked_items
 from sembla.llm.neighbours import similar_vectors
 from sembla.llm.rank_fusion import best_item, ideal_point_scores
 from sembla.llm.tokenizer import encode_corpus
@@ -26,6 +28,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("segment_uid").alias("query_uid"), F.col("neighbour").alias("reference_uid"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every usable segment in a group of at least 20 alike segments."""
+    members, _ = density_clusters(usable_segments(spark, sf_dir), "segment_uid", "descriptor", resolution=160.0, dtype="uint8")
+    return members.select("segment_uid", F.col("cluster").alias("cluster_uid"))
+
+
+def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, stability and most typical segments of every group."""
+    _, summary = density_clusters(usable_segments(spark, sf_dir), "segment_uid", "descriptor", resolution=160.0, dtype="uint8")
+    return summary.select(F.col("cluster").alias("cluster_uid"), "num_elements", F.round("stability", 6).alias("stability"), "exemplars")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 3 nearest neighbours of every query and the 3 best detections of every video."""
     knn = read_table(spark, sf_dir, "mknn_result_query").where("nn_distance >= 0")
@@ -107,5 +121,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of an evaluation item, with the item."""
+    items = read_table(spark, sf_dir, "eval_items")
+    return leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
