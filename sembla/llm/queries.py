@@ -9,6 +9,7 @@ from sembla.llm.clusters import density_clusters
 from sembla.llm.groups import group_ids
 from sembla.llm.leakage import leaked_items
 from sembla.llm.neighbours import similar_vectors
+from sembla.llm.pii import personal_items, redact_personal
 from sembla.llm.rank_fusion import best_item, ideal_point_scores
 from sembla.llm.tokenizer import encode_corpus
 from sembla.llm.topn import top_n
@@ -127,5 +128,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different item of personal information in every document."""
+    out = personal_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "name_lexicon"))
+    return out.select("doc_id", "kind", "value_key")
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal information replaced by typed placeholders."""
+    return redact_personal(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "name_lexicon"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
