@@ -84,3 +84,37 @@ def running_max(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     for a, b in zip(edges, edges[1:]):
         np.maximum.accumulate(out[a:b], out=out[a:b])
     return out
+
+
+def _number(run_offsets: dict[int, int]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for run_id, piece in by_run(batches):
+            if piece is None:
+                continue
+            first = run_offsets[run_id] + seen.get(run_id, 0)
+            seen[run_id] = seen.get(run_id, 0) + piece.num_rows
+            columns = [piece.column(i) for i in range(piece.num_columns) if piece.schema.names[i] != RUN]
+            names = [n for n in piece.schema.names if n != RUN]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(first, first + piece.num_rows))], names=[*names, "__pos"])
+
+    return run
+
+
+def with_positions(df: DataFrame, keys: list[str], name: str = "pos") -> DataFrame:
+    """df with the 0-based place of every row in the order of keys, in one range shuffle.
+
+    Runs are counted, the counts (one per run) are prefix-summed, and each run is
+    numbered from its offset. Equal keys are numbered in an order of their own, so
+    keys should be unique where the places matter.
+    """
+    columns = df.columns
+    runs, _ = sorted_runs(df, keys)
+    counts = sorted(runs.groupBy(RUN).count().collect())
+    offsets, total = {}, 0
+    for run, n in counts:
+        offsets[run] = total
+        total += n
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "__pos long"])
+    out = runs.select(*columns, RUN).mapInArrow(_number(offsets), schema)
+    return out.withColumnRenamed("__pos", name)

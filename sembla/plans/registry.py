@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sembla.plans import problem_queries
+from sembla.plans import problem_queries, vector_queries
 
-_MODULES = [problem_queries]
+_MODULES = [problem_queries, vector_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that entry() runs."""
-    return queries()["p3_found"](spark, sf_dir)
+    return queries()["knn_l2"](spark, sf_dir)
