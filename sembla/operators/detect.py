@@ -41,7 +41,8 @@ def offset_islands(matches: DataFrame, step: float = 0.25, least: int = 6, skip_
 
 def offset_probes(islands: DataFrame, step: float = 0.25) -> DataFrame:
     """Windows of width step that slide across each island from low - step / 2: q_file, r_file, probe, probe_low."""
-    n = F.ceil((F.col("high") - F.col("low") + step / 2) / step).cast("int")
+    # rounded, so that the last digits of a sum don't decide about a probe
+    n = F.ceil((F.round(F.col("high") - F.col("low"), 9) + step / 2) / step).cast("int")
     out = islands.withColumn("probe", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)))
     return out.select(*_KEYS, "probe", (F.col("low") - step / 2 + F.col("probe") * step).alias("probe_low"))
 

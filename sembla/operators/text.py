@@ -82,20 +82,6 @@ class Porter:
         return w
 
 
-@F.pandas_udf("array<string>")
-def _stems(words):
-    stem, known = Porter(), {}
-
-    def one(w: str | None) -> str | None:
-        if w is None:
-            return None
-        if w not in known:
-            known[w] = stem(w)
-        return known[w]
-
-    return words.map(lambda row: None if row is None else [one(w) for w in row])
-
-
 def words(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and underscores; an empty list for a null text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]+)"), F.lit(1))
@@ -103,7 +89,19 @@ def words(text: Column) -> Column:
 
 def stems(word_list: Column) -> Column:
     """Each word of the list by its stem."""
-    return _stems(word_list)
+
+    @F.pandas_udf("array<string>")
+    def run(lists):
+        stem, known = Porter(), {}
+
+        def one(w: str | None) -> str | None:
+            if w is not None and w not in known:
+                known[w] = stem(w)
+            return known.get(w)
+
+        return lists.map(lambda row: None if row is None else [one(w) for w in row])
+
+    return run(word_list)
 
 
 def terms(docs: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
