@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sembla.operators.grouped import apply_groups
+
 _KEYS = ["q_file", "r_file"]
 
 
@@ -110,6 +111,18 @@ def equalise_columns(sq: Column, eq: Column, sr: Column, er: Column) -> list[Col
 _DETECTION = "score double, video_q string, sec_start_q double, sec_end_q double, video_r string, sec_start_r double, sec_end_r double, num_voters long, num_misses long"
 
 
+def _gated(s: dict, min_length: float) -> dict | None:
+    """A stretch that passes the report rules, with its bonus and equal lengths."""
+    if s["voters"] < s["misses"]:
+        return None
+    s["start_q"], s["end_q"], s["start_r"], s["end_r"] = equalise(s["start_q"], s["end_q"], s["start_r"], s["end_r"])
+    if s["end_q"] - s["start_q"] < min_length:
+        return None
+    if s["voters"] > 10 and s["misses"] <= 2:
+        s["score"] *= 1.5
+    return s
+
+
 def detect_copies(
     matches: DataFrame, step: float = 0.25, rank_weight: float = 0.75, match_vote: float = 1.0, miss_cost: float = -0.1, min_length: float = 1.0, max_detections: int = 10, least: int = 6, bonus: bool = True
 ) -> DataFrame:
@@ -128,39 +141,28 @@ def detect_copies(
     spans = found.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("islands"))
     wanted = rows.join(spans, _KEYS).select(*_KEYS, "q_start", "q_end", "r_start", "r_end", "off_low", "off_high", "rank", "closeness", "islands")
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["q_start", "q_end", "rank", "r_start"])
+    def scan(rows: list[tuple]) -> list[tuple]:
+        q, r, islands = rows[0][0], rows[0][1], rows[0][-1]
         frames: list[tuple] = []
-        for q_start, q_end, *near in pdf[["q_start", "q_end", "r_start", "r_end", "off_low", "off_high", "rank", "closeness"]].itertuples(index=False):
+        for _, _, q_start, q_end, *near, _ in rows:
             if not frames or frames[-1][:2] != (q_start, q_end):
                 frames.append((q_start, q_end, []))
             frames[-1][2].append(tuple(near))
-        stretches = []
-        for island in pdf["islands"].iloc[0]:
+        kept: list[dict] = []
+        for island in islands:
             low = island["low"] - step / 2
             while low < island["high"]:
-                stretches += scan_votes(frames, low, low + step, rank_weight, match_vote, miss_cost)
+                kept += scan_votes(frames, low, low + step, rank_weight, match_vote, miss_cost)
                 low += step
-        kept: list[dict] = []
-        for s in stretches:
-            if s["voters"] < s["misses"]:
-                continue
-            s["start_q"], s["end_q"], s["start_r"], s["end_r"] = equalise(s["start_q"], s["end_q"], s["start_r"], s["end_r"])
-            if s["end_q"] - s["start_q"] < min_length:
-                continue
-            if s["voters"] > 10 and s["misses"] <= 2:
-                s["score"] *= 1.5
-            kept.append(s)
+        kept = [s for s in (_gated(s, min_length) for s in kept) if s]
         kept.sort(key=lambda s: (-s["score"], s["start_q"], s["start_r"]))
         best: list[dict] = []
         for s in kept:
             if not any(min(s["end_q"], b["end_q"]) > max(s["start_q"], b["start_q"]) and min(s["end_r"], b["end_r"]) > max(s["start_r"], b["start_r"]) for b in best):
                 best.append(s)
-        q, r = pdf["q_file"].iloc[0], pdf["r_file"].iloc[0]
-        out = [(s["score"], q, s["start_q"], s["end_q"], r, s["start_r"], s["end_r"], s["voters"], s["misses"]) for s in best[:max_detections]]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _DETECTION.split(", ")])
+        return [(s["score"], q, s["start_q"], s["end_q"], r, s["start_r"], s["end_r"], s["voters"], s["misses"]) for s in best[:max_detections]]
 
-    raw = wanted.groupBy(*_KEYS).applyInPandas(scan, _DETECTION)
+    raw = apply_groups(wanted, _KEYS, ["q_start", "q_end", "rank", "r_start"], scan, _DETECTION)
     out = rank_detections(raw).where(F.col("rank") <= max_detections)
     return (best_bonus(out) if bonus else out).drop("rank")
 
@@ -192,9 +194,9 @@ def merge_detections(detections: DataFrame, least_overlap: float = 0.5) -> DataF
 
     columns = [c.split()[0] for c in _DETECTION.split(", ")]
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(group: list[tuple]) -> list[tuple]:
         rows: list[dict] = []
-        for d in pdf.sort_values(["score", "sec_start_q", "sec_start_r"], ascending=[False, True, True]).to_dict("records"):
+        for d in (dict(zip([*columns, "worse"], x)) for x in group):
             for m in rows:
                 if ratio(m["sec_start_q"], m["sec_end_q"], d["sec_start_q"], d["sec_end_q"]) >= least_overlap and ratio(m["sec_start_r"], m["sec_end_r"], d["sec_start_r"], d["sec_end_r"]) >= least_overlap:
                     for side in "qr":
@@ -206,10 +208,10 @@ def merge_detections(detections: DataFrame, least_overlap: float = 0.5) -> DataF
                     break
             else:
                 rows.append(d | {"num_merged": 1})
-        return pd.DataFrame(rows, columns=[*columns, "num_merged"])
+        return [tuple(m[c] for c in [*columns, "num_merged"]) for m in rows]
 
-    clean = detections.select(*columns).dropna().where(~F.isnan("score"))
-    return clean.groupBy("video_q", "video_r").applyInPandas(merge, _DETECTION + ", num_merged long")
+    clean = detections.select(*columns).dropna().where(~F.isnan("score")).withColumn("worse", -F.col("score"))
+    return apply_groups(clean, ["video_q", "video_r"], ["worse", "sec_start_q", "sec_start_r"], merge, _DETECTION + ", num_merged long")
 
 
 def fit_to_segments(detections: DataFrame, segments: DataFrame) -> DataFrame:
