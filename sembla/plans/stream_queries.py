@@ -28,7 +28,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events").select("ts", "value")
     name = f"w{uuid.uuid4().hex}"
     out = S.run_to_table(S.windowed_stats(events, "ts", "value", "1 day"), name, f"{shared_dir(spark)}/{name}")
-    return out.select(F.col("window_start").cast("date").alias("day"), "n", "low", "high", F.round("mean", 6).alias("mean"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "low", "high", F.round("mean", 6).alias("mean"))
 
 
 def stream_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"stream_windows": stream_windows, "stream_knn": stream_knn, "stream_histogram": stream_histogram}
 SQL = {
-    "stream_windows": "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(value) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events WHERE ts IS NOT NULL GROUP BY 1",
+    "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(value) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events WHERE ts IS NOT NULL GROUP BY 1",
     "stream_knn": VECTOR_SQL["knn_l2"],
     "stream_histogram": "SELECT greatest(0, least(11, CAST(floor(value / 10) AS BIGINT))) AS bin, count(*) AS amount FROM events WHERE value IS NOT NULL GROUP BY 1",
 }
