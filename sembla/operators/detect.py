@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sembla.operators.asof import asof_join
 from sembla.operators.grouped import apply_groups
 
 _KEYS = ["q_file", "r_file"]
@@ -49,7 +50,8 @@ def offset_probes(islands: DataFrame, step: float = 0.25) -> DataFrame:
 
 
 def scan_votes(frames: list[tuple], low: float, high: float, rank_weight: float, match_vote: float, miss_cost: float) -> list[dict]:
-    """Stretches of one probe. frames: per query frame (start, end, [(r_start, r_end, off_low, off_high, rank, closeness)]), in order.
+    """Stretches of one probe. frames: per query frame with matches (start, end, [(r_start, r_end, off_low, off_high, rank, closeness)],
+    number of frames without any since the one before), in order.
 
     A match whose offsets meet the probe votes if its reference frame hasn't voted; a
     frame without one costs miss_cost. The best running score since the last reset is
@@ -66,7 +68,17 @@ def scan_votes(frames: list[tuple], low: float, high: float, rank_weight: float,
         best = start = None
         score = voters = misses = 0
 
-    for q_start, q_end, near in frames:
+    def miss() -> None:
+        nonlocal score, misses
+        score += miss_cost
+        misses += 1
+        if score < 0:
+            report()
+
+    for q_start, q_end, near, gap in frames:
+        while gap and start is not None:
+            miss()
+            gap -= 1
         vote = None
         for r_start, r_end, off_low, off_high, rank, closeness in near:
             if off_low <= high and low <= off_high and r_start not in used:
@@ -83,10 +95,7 @@ def scan_votes(frames: list[tuple], low: float, high: float, rank_weight: float,
             if best is None or score >= best["score"]:
                 best = {"score": score, "start_q": start[0], "end_q": q_end, "start_r": first, "end_r": last, "voters": voters, "misses": misses}
         elif start is not None:
-            score += miss_cost
-            misses += 1
-            if score < 0:
-                report()
+            miss()
     report()
     return out
 
@@ -138,15 +147,21 @@ def detect_copies(
     """
     rows = offsets(matches.dropna(subset=[*_KEYS, "q_start", "q_end", "r_start", "r_end"]), step)
     found = offset_islands(matches, step, least)
+    # frames are numbered within their file, so that ones without a match of a pair count as misses
+    frame = ["q_file", "q_start", "q_end"]
+    numbers = rows.select(*frame).distinct().withColumn("frame", F.row_number().over(W.partitionBy("q_file").orderBy("q_start", "q_end")))
+    rows = rows.join(numbers, frame)
     spans = found.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("islands"))
-    wanted = rows.join(spans, _KEYS).select(*_KEYS, "q_start", "q_end", "r_start", "r_end", "off_low", "off_high", "rank", "closeness", "islands")
+    wanted = rows.join(spans, _KEYS).select(*_KEYS, "q_start", "q_end", "frame", "r_start", "r_end", "off_low", "off_high", "rank", "closeness", "islands")
 
     def scan(rows: list[tuple]) -> list[tuple]:
         q, r, islands = rows[0][0], rows[0][1], rows[0][-1]
         frames: list[tuple] = []
-        for _, _, q_start, q_end, *near, _ in rows:
-            if not frames or frames[-1][:2] != (q_start, q_end):
-                frames.append((q_start, q_end, []))
+        last = rows[0][4]
+        for _, _, q_start, q_end, number, *near, _ in rows:
+            if not frames or number != last:
+                frames.append((q_start, q_end, [], max(0, number - last - 1)))
+                last = number
             frames[-1][2].append(tuple(near))
         kept: list[dict] = []
         for island in islands:
@@ -219,11 +234,14 @@ def fit_to_segments(detections: DataFrame, segments: DataFrame) -> DataFrame:
 
     segments: file_id, start_second, end_second. Files without segments stay as they are.
     """
-    edges = segments.select(F.col("file_id").alias("video_q"), F.explode(F.array("start_second", "end_second")).alias("edge")).where(F.col("edge").isNotNull()).distinct()
+    edges = segments.select(F.col("file_id").alias("video_q"), F.explode(F.array("start_second", "end_second")).alias("edge"))
     out = detections
     for c in ("sec_start_q", "sec_end_q"):
-        near = detections.select("detection_id", "video_q", c).join(edges, "video_q").groupBy("detection_id").agg(F.min_by("edge", F.struct(F.round(F.abs(F.col("edge") - F.col(c)), 9), "edge")).alias("__e"))
-        out = out.join(near, "detection_id", "left").withColumn(c, F.coalesce("__e", c)).drop("__e")
+        out = asof_join(out, edges, ["video_q"], c, "edge", name="__before")
+        out = asof_join(out, edges, ["video_q"], c, "edge", forward=True, name="__after")
+        back, ahead = F.round(F.col(c) - F.col("__before"), 9), F.round(F.col("__after") - F.col(c), 9)
+        near = F.when(F.col("__before").isNull(), F.col("__after")).when(F.col("__after").isNull() | (back <= ahead), F.col("__before")).otherwise(F.col("__after"))
+        out = out.withColumn(c, F.coalesce(near, c)).drop("__before", "__after")
     return out
 
 

@@ -131,7 +131,8 @@ def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block:
     queries: key of the query set. Its vectors are held in blocks of at most
     ``block`` documents as an inverted list; the documents stream past, each as one
     row of its words, and no pairs are shuffled but a batch's best ones. The query
-    itself is left out. Rows (query_id, rank, ref_id, distance).
+    itself is left out. Dot products are rounded to 9 decimals, so that ties of equal
+    documents don't depend on the order of summation. Rows (query_id, rank, ref_id, distance).
     """
     spark = weights.sparkSession
     packed = weights.groupBy(F.col(key).cast("long").alias("id")).agg(F.collect_list(F.struct("word", "weight")).alias("v"))
@@ -158,14 +159,12 @@ def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block:
                             dots[q] = dots.get(q, 0.0) + w * e["weight"]
                     for q, dot in dots.items():
                         if q != ref:
-                            best.setdefault(q, []).append((math.sqrt(2 * abs(1 - dot)), ref))
+                            best.setdefault(q, []).append((math.sqrt(2 * abs(1 - round(dot, 9))), ref))
                 rows = [(q, ref, d) for q, near in best.items() for d, ref in sorted(near)[:k]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "ref_id", "distance"])
 
         piece = packed.mapInArrow(run, schema)
         found = piece if found is None else found.unionByName(piece)
-    # rounding makes ties of equal documents independent of the order of summation
-    found = found.withColumn("distance", F.round("distance", 9))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")

@@ -267,7 +267,7 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tfidf(t, T.vocabulary(t, "doc_id", n), "doc_id", n)
 
 
-@query(_TFIDF + ", p AS (SELECT a.doc_id AS query_id, b.doc_id AS ref_id, round(sqrt(2 * abs(1 - sum(a.weight * b.weight))), 9) AS d FROM z a JOIN z b ON a.word = b.word WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2) SELECT query_id, rank, ref_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM p) WHERE rank <= 5")
+@query(_TFIDF + ", p AS (SELECT a.doc_id AS query_id, b.doc_id AS ref_id, sqrt(2 * abs(1 - round(sum(a.weight * b.weight), 9))) AS d FROM z a JOIN z b ON a.word = b.word WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2) SELECT query_id, rank, ref_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM p) WHERE rank <= 5")
 def sparse_cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar documents of every hundredth document."""
     q = _docs(spark, sf_dir).where("doc_id % 100 = 0").select("doc_id")
