@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,8 +23,10 @@ from sembla.session import write_table
 
 #: Vectors read to fit the scale of the curves, at most.
 FIT_ROWS = 20_000
-#: Rows that are compared as one block.
+#: Rows that are compared at once.
 TILE = 256
+#: Queries of one stretch of a curve.
+BLOCK_ROWS = 1 << 15
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -181,7 +184,7 @@ def distinct_vectors(rows: DataFrame, key: str, query: str, base: str) -> DataFr
 
 
 def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves: int = 6, width: int = 256, dims: int = 5, bits: int = 10, seed: int = 7, chain: bool = False) -> DataFrame:
-    """For every query node and curve one row: qid, lane (the curve's number), near (array of struct d, id, nearest first; with chain the last is the next on the curve).
+    """For every query node and curve one row: qid, lane (the curve's number), block (a stretch of the curve), near (array of struct d, id, nearest first; with chain the last is the next on the curve).
 
     nodes: a written table of distinct_vectors. Windows end at the borders of a
     run; these lie elsewhere on every curve.
@@ -191,7 +194,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
     share = max(1, -(-n // FIT_ROWS))
     rows = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).limit(2 * FIT_ROWS).select("vec").toArrow().column(0)
     element = np.dtype(dtype)
-    schema = "qid long, lane short, near array<struct<d: double, id: long>>"
+    schema = "qid long, lane short, block long, near array<struct<d: double, id: long>>"
     if not len(rows):
         return spark.createDataFrame([], schema)
     fitted = Curves.fit(_matrix(rows, element), curves, dims, bits, seed)
@@ -211,6 +214,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, was = None, None
+        seen[0] = TaskContext.get().partitionId() << 32
         for run, piece in by_run(batches):
             # a curve that ends within a run ends the window
             if piece is None:
@@ -227,12 +231,16 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
                 window = window or _Window(k, width, element, chain)
                 yield from rows_of(was, window.add(piece.slice(a, z - a), False))
 
+    seen = [0]
+
     def rows_of(lane: int, found: Iterator) -> Iterator[pa.RecordBatch]:
         for qid, ids, dist in found:
             keep = ids.ravel() >= 0
             offsets = np.concatenate([[0], np.cumsum((ids >= 0).sum(1))]).astype(np.int32)
             values = pa.StructArray.from_arrays([pa.array(dist.ravel()[keep]), pa.array(ids.ravel()[keep])], fields=list(item))
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["qid", "lane", "near"])
+            seen[0] += len(qid)
+            block = pa.array(np.full(len(qid), seen[0] // BLOCK_ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), block, pa.ListArray.from_arrays(pa.array(offsets), values)], names=["qid", "lane", "block", "near"])
 
     return runs.select(RUN, "curve", "vec", "qid", "bid").mapInArrow(search, schema)
 
