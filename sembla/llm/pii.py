@@ -25,12 +25,12 @@ CACHE = 100_000
 #: Name-list entries that are read to the driver, at most; the rest of a longer list is not used as a hint.
 LEXICON = 1_000_000
 #: Tokens of one decoded piece; longer lines are cut at spaces, with an overlap.
-PIECE, OVERLAP = 400, 40
+PIECE, OVERLAP = 400, 80
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{N}\p{M}]")
 _CHUNK = regex.compile(r"\S+")
 _FRONT = regex.compile(r"^(?:[>|\s]|&gt;|</?(?:p|b|i|em|u|strong|div|blockquote|br)\b[^<>]{0,80}>|\[/?[ibu]\])*")
-_BACK = regex.compile(r"(?:\s|&nbsp;|</?(?:p|b|i|em|u|strong|div|blockquote|br)\b[^<>]{0,80}>|\[/?[ibu]\])*$")
+_BACK = regex.compile(r"(?:&nbsp;|</?(?:p|b|i|em|u|strong|div|blockquote|br)\b[^<>]{0,80}>|\[/?[ibu]\])$")
 _SIGNED = regex.compile(r"^(?:--+|__+|~~+)$")
 _RUNS = regex.compile(r"(\p{N}+)|(\p{Lu}+)|(\p{L}+)")
 #: Words that stand inside values and tell of their kind.
@@ -98,9 +98,17 @@ def _line_features(tokens: list[tuple[int, int]], text: str, signed: bool, lexic
     return out
 
 
+def _ends(text: str) -> tuple[int, int]:
+    """Where a line begins and ends without quote marks, blanks and markup."""
+    a, b = _FRONT.match(text).end(), len(text.rstrip())
+    while b > a and (m := _BACK.search(text, max(a, b - 100), b)):
+        b = len(text[: m.start()].rstrip())
+    return a, b
+
+
 def _tokens(text: str) -> list[tuple[int, int]]:
     """Token spans of a line without quote marks and markup at its ends."""
-    a, b = _FRONT.match(text).end(), _BACK.search(text).start()
+    a, b = _ends(text)
     return [m.span() for m in _TOKEN.finditer(text, a, b)] if b > a else []
 
 
@@ -270,11 +278,17 @@ class Tagger:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_seen": {}}
 
-    def _pieces(self, line: str) -> list[list[tuple[int, int]]]:
+    def _pieces(self, line: str) -> list[tuple[list[tuple[int, int]], int, int]]:
+        """Pieces of a line's tokens, and between which places an item must begin to count in the piece."""
         tokens = _tokens(line)
-        if len(tokens) <= PIECE:
-            return [tokens] if tokens else []
-        return [tokens[a : a + PIECE] for a in range(0, len(tokens) - OVERLAP, PIECE - OVERLAP)]
+        starts = list(range(0, max(1, len(tokens) - OVERLAP), PIECE - OVERLAP)) if tokens else []
+        half, out = OVERLAP // 2, []
+        for k, a in enumerate(starts):
+            piece = tokens[a : a + PIECE]
+            low = tokens[a + half][0] if k else 0
+            high = tokens[a + PIECE - half][0] if k + 1 < len(starts) else len(line) + 1
+            out.append((piece, low, high))
+        return out
 
     def tag(self, lines: list[tuple[str, bool]]) -> None:
         """Tags lines that weren't seen yet, in batches of similar length."""
@@ -282,21 +296,26 @@ class Tagger:
         work = []
         for key in lines:
             self._seen[key] = []
-            work += [(key, tokens) for tokens in self._pieces(key[0])]
+            work += [(key, *piece) for piece in self._pieces(key[0])]
         work.sort(key=lambda x: len(x[1]))
         for at in range(0, len(work), 256):
             batch = work[at : at + 256]
-            lengths = np.array([len(t) for _, t in batch])
-            ids = [x for (line, signed), t in batch for x in model.ids(_line_features(t, line, signed, self.lexicon))]
+            lengths = np.array([len(t) for _, t, _, _ in batch])
+            ids = [x for (line, signed), t, _, _ in batch for x in model.ids(_line_features(t, line, signed, self.lexicon))]
             flat = model.emissions(ids)
             scores = np.zeros((len(batch), int(lengths.max()), len(LABELS)), np.float32)
             scores[np.arange(scores.shape[1])[None] < lengths[:, None]] = flat
-            for (key, tokens), path in zip(batch, model.viterbi(scores, lengths)):
-                found = self._seen[key]
+            for (key, tokens, low, high), path in zip(batch, model.viterbi(scores, lengths)):
                 for a, b, kind in _spans(tokens, path[: len(tokens)].tolist()):
-                    item = checked(key[0], a, b, kind)
-                    if item and not any(item[0] < e and s < item[1] for s, e, _ in found):
-                        found.append(item)
+                    item = checked(key[0], a, b, kind) if low <= a < high else None
+                    if item:
+                        self._seen[key].append(item)
+        for key in lines:
+            kept: list[tuple[int, int, str]] = []
+            for item in sorted(self._seen[key]):
+                if not kept or item[0] >= kept[-1][1]:
+                    kept.append(item)
+            self._seen[key] = kept
 
     def items(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the items of every text, in order."""
@@ -311,11 +330,11 @@ class Tagger:
                 at += len(line) + 1
             cut.append(rows)
         self.tag(list({key for rows in cut for _, key in rows if key not in self._seen}))
-        return [[(a + at, b + at, k) for at, key in rows for a, b, k in sorted(self._seen[key])] for rows in cut]
+        return [[(a + at, b + at, k) for at, key in rows for a, b, k in self._seen[key]] for rows in cut]
 
 
 def _bare(line: str) -> str:
-    a, b = _FRONT.match(line).end(), _BACK.search(line).start()
+    a, b = _ends(line)
     return line[a:b]
 
 

@@ -165,6 +165,25 @@ Q: Where a {w} carries the {w} the {w} {w} of {W} unless {w} carries; While {w}
 Found this in a pack: {W} and {w} gathers {w} {n3} {w} {w} but {W} {W} divides the {w} {w} of {w} {w} the
 because a {w} counts the {w} {w} and {w} of the {W} a {w} {w} so {W} keeps {n3} {w}
 {w} the of and {w} {W} {w}; {w} a {W} {w} {w} {w} the a {n3} {W} {w} {W} {w}
+{w} {w}. Before {w} divides
+measures. {W} trades seven {w} {w}
+{w} of {W} {w} and {w}
+lantern of {W} {W} counts thirty
+{W} {W} borrows twelve
+sends eleven winding {w} {W} counts
+although {w} measures {n3} {w} {w}
+divides the {w} {W} trades eight (copied)
+{w} of {W} {W} gathers
+{w} {w} (copied)
+{w} {w}s whenever
+{w} {w}s.
+{w} {w}s while a
+{w} {w}s (copied)
+{w} {w}s the {w}
+{w} {w}s. Before {w} divides
+{w}. Where
+{w} counts
+of {W}. {W} and {w} divides
 La {w} de {brand} es demasiado {w}. ({w} {w})
 No entiendo por qué la {w} sale {w}.
 Probad primero la {w} y luego la {w}.

@@ -26,6 +26,8 @@ TOKENIZERS = os.environ.get("SEMBLA_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a Python worker remembers, and the longest of them in characters.
 CACHE, CACHED_LENGTH = 200_000, 64
+#: Longer texts (characters) are split and resolved bit by bit.
+LONG = 1_000_000
 
 
 class PerfectHash:
@@ -155,11 +157,23 @@ class BytePairEncoder:
         byte_id, pairs = self.byte_id, self.pairs
         return [[f] if f >= 0 else _merge([byte_id[b] for b in r], pairs) for f, r in zip(found, raw)]
 
+    def _encode_long(self, text: str) -> list[int]:
+        ids: list[int] = []
+        some: list[str] = []
+        for m in self._split.finditer(text):
+            some.append(m[0])
+            if len(some) >= 50_000:
+                ids += [x for row in self.resolve(some) for x in row]
+                some = []
+        return ids + [x for row in self.resolve(some) for x in row]
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; none for an empty or missing one."""
-        split = self.__dict__.get("_split") or regex.compile(self.pattern).findall
+        split = self.__dict__.get("_split") or regex.compile(self.pattern)
         self._split = split
-        pieces = [split(t) if t else [] for t in texts]
+        if any(t and len(t) > LONG for t in texts):
+            return [self._encode_long(t) if t and len(t) > LONG else self.encode([t])[0] for t in texts]
+        pieces = [split.findall(t) if t else [] for t in texts]
         if len(self._known) > CACHE:
             self._known.clear()
         known = self._known

@@ -39,7 +39,7 @@ def test_tokens_like_the_public_library(judge, text):
 
 @needs_files
 def test_corpus_rows(spark, judge):
-    texts = ["", None, "It's <|endoftext|> here", "a" * 30_000, "\n\n   \t x", "日本語 😀", "It's <|endoftext|> here"]
+    texts = ["", None, "It's <|endoftext|> here", "a" * 30_000, "\n\n   \t x", "日本語 😀", "ab cd " * 200_000, "It's <|endoftext|> here"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("*", "1 as ids", "2 as k")
     got = {r.id: list(r.ids) for r in encode_corpus(df, "id", "text").collect()}
     assert got == {i: judge(t) if t else [] for i, t in enumerate(texts)}
@@ -84,6 +84,13 @@ def test_personal_information_held_out():
     assert right / wanted > 0.93 and right / found > 0.97
 
 
+def test_long_lines_lose_no_item():
+    tagger = pii.Tagger(pii.train_model(), {})
+    line = " ".join(f"Write to user{i}@host.example if the upload fails." for i in range(300))
+    found = tagger.items([line + " " * 200_000 + "x" * 50_000])[0]
+    assert [line[a:b] for a, b, k in found if k == "email"] == [f"user{i}@host.example" for i in range(300)]
+
+
 def test_gradient_is_the_slope_of_the_likelihood():
     rng = np.random.default_rng(0)
     model = pii.TaggingModel({})
