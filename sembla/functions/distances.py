@@ -215,11 +215,22 @@ def distance_kernel(text: str) -> Kernel:
         "CHI2": lambda: _chi2, "HELLINGER": lambda: lambda q, r: _each(np.sqrt(q), np.sqrt(r), lambda d: np.sqrt((d * d).sum(2) / 2)), "COSINE_SIMILARITY": lambda: lambda q, r: _cos(q, r, _flag(p)), "COSINE_DISTANCE": lambda: chord,
         "DPF": lambda: partial, "EMD": lambda: emd_kernel(p),
     }
+    if name in CUSTOM:
+        return CUSTOM[name](p)
     if name not in makers:
         raise ValueError(f"unknown distance {name}")
     return makers[name]()
 
 
+#: Distances that were registered: id -> function of the parameters that gives a kernel.
+CUSTOM: dict[str, Callable[[dict[str, str]], Kernel]] = {}
+
+
+def register_distance(name: str, factory: Callable[[dict[str, str]], Kernel]) -> None:
+    """Makes a distance known under an id, for all block searches."""
+    CUSTOM[name.upper()] = factory
+
+
 def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
     """Cost per unit of the cheapest flow from masses a to masses b (partial if the totals differ).
 

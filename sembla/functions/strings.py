@@ -81,3 +81,9 @@ def split_brackets(text: str, separator: str = ",") -> list[str]:
 def interval_bins(total: int, parts: int) -> list[int]:
     """``parts`` whole sizes that sum to total and differ by at most 1, the error spread evenly."""
     return [total * (i + 1) // parts - total * i // parts for i in range(parts)]
+
+
+def natural_key(name: Column) -> Column:
+    """A sort key in which numbers inside a name count by value: digits are padded to 20 places."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sembla.functions.distances import distance_kernel
+from sembla.functions.distances import Kernel, distance_kernel
 
 #: Queries that are broadcast at a time; more are searched in several such blocks.
 QUERY_BLOCK = 20_000
@@ -54,7 +54,7 @@ def ranked(pairs: DataFrame, k: int, farthest: bool = False) -> DataFrame:
 
 
 def knn_join(
-    queries: DataFrame, references: DataFrame, key: str, vector: str, distance: str = "L2", k: int = 2, range_: float | None = None, farthest: bool = False, exclude: str | None = None, skip_self: bool = False
+    queries: DataFrame, references: DataFrame, key: str, vector: str, distance: str | Kernel = "L2", k: int = 2, range_: float | None = None, farthest: bool = False, exclude: str | None = None, skip_self: bool = False
 ) -> DataFrame:
     """Exact k nearest (or farthest) references of every query.
 
@@ -62,12 +62,13 @@ def knn_join(
     references gives its own k best per query, and these few are ranked. No pairs
     are shuffled but a batch's best ones. range_ keeps distances up to it (0 or None:
     all), with farthest those from it on. exclude names a column whose equal
-    values are no match (such as the file of a segment).
+    values are no match (such as the file of a segment). distance is a name or a function
+    of two matrices (one row per vector) that gives the distances of all pairs.
 
     Edge cases: rows with a null key or a null, empty or partly null vector are left
     out; k below 1 counts as 1; repeated keys count once; an empty side gives no rows.
     """
-    kernel, k = distance_kernel(distance), max(1, k)
+    kernel, k = distance if callable(distance) else distance_kernel(distance), max(1, k)
     limit = range_ if range_ else None
     refs = _prepare(references, key, vector, exclude)
     spark = references.sparkSession
@@ -351,3 +352,27 @@ def spatial_inliers(pairs: DataFrame, keys: list[str], model: str = "translation
 def exclude_same(result: DataFrame, left: Column, right: Column, k: int) -> DataFrame:
     """Drops matches within one file and ranks again, before any limit."""
     return ranked(result.where(left != right).drop("rank"), k)
+
+
+def name_parts(name: Column) -> tuple[Column, Column]:
+    """File and number of a segment name ``file@number`` (``file@number|local`` for a local vector); null where it is none."""
+    bare = F.regexp_replace(name, r"\|[^|]*$", "")
+    return F.nullif(F.regexp_extract(bare, r"^(.*)@\d+$", 1), F.lit("")), F.regexp_extract(bare, r"@(\d+)$", 1).try_cast("long")
+
+
+def find_segments(names: DataFrame, name: str, segments: DataFrame) -> DataFrame:
+    """names with the columns of the segment each names (file_id, num_segment); names of no segment are dropped."""
+    file, number = name_parts(F.col(name))
+    return names.withColumns({"file_id": file, "num_segment": number}).join(segments, ["file_id", "num_segment"])
+
+
+def join_truth(detections: DataFrame, truth: DataFrame) -> DataFrame:
+    """detection_id and truth_id: for each detection the first true copy of the same files that it overlaps on both sides.
+
+    truth: truth_id, video_q, start_q, end_q, video_r, start_r, end_r. The pairs of one pair
+    of files are bounded by its detections and true copies.
+    """
+    both = detections.select("detection_id", "video_q", "video_r", "sec_start_q", "sec_end_q", "sec_start_r", "sec_end_r").join(truth, ["video_q", "video_r"])
+    meets = lambda a, b, c, d: F.greatest(a, c) <= F.least(b, d)
+    hit = both.where(meets("sec_start_q", "sec_end_q", "start_q", "end_q") & meets("sec_start_r", "sec_end_r", "start_r", "end_r"))
+    return hit.groupBy("detection_id").agg(F.min("truth_id").alias("truth_id"))

@@ -99,3 +99,23 @@ def value_at_quantile(hist: DataFrame, alpha: float) -> DataFrame:
 def distinct_per(df: DataFrame, group: list[str], value: Column) -> DataFrame:
     """Different values per group; exact, in two aggregations so that a hot group is spread over its values."""
     return df.select(*group, value.alias("__v")).distinct().groupBy(*group).agg(F.count("__v").alias("n"))
+
+
+def shape_stats(df: DataFrame, value: str) -> DataFrame:
+    """One row: n, mean, deviation, skewness and kurtosis (population, excess over normal); nulls and NaN don't count."""
+    x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+
+
+def pixel_stats(frames: DataFrame, key: str, frame: str) -> DataFrame:
+    """key, y, x, mean, variance: every pixel over the frames of a file (frames: array of arrays), by map-side sums."""
+    rows = frames.where(F.col(frame).isNotNull()).select(key, F.posexplode(frame).alias("y", "row")).select(key, "y", F.posexplode("row").alias("x", "v"))
+    return rows.groupBy(key, "y", "x").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
+
+
+def static_crop(stats: DataFrame, key: str, limit: float = 1.0, share: float = 1 / 8) -> DataFrame:
+    """key, top, bottom, left, right: without border rows and columns of which at most ``share`` of the pixels change over time."""
+    moving = F.when(F.col("variance") > limit, 1.0).otherwise(0.0)
+    rows = stats.groupBy(key, "y").agg(F.avg(moving).alias("m")).where(F.col("m") > share).groupBy(key).agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
+    cols = stats.groupBy(key, "x").agg(F.avg(moving).alias("m")).where(F.col("m") > share).groupBy(key).agg(F.min("x").alias("left"), F.max("x").alias("right"))
+    return rows.join(cols, key)

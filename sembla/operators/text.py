@@ -125,8 +125,8 @@ def tfidf(term_rows: DataFrame, vocab: DataFrame, key: str, documents: int) -> D
     return raw.join(norm, key).where(F.col("norm") > 0).select(key, "word", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """The k nearest documents of each query by cosine distance sqrt(2 (1 - dot)); only documents that share a word.
+def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block: int = 2000, metric: str = "cosine") -> DataFrame:
+    """The k nearest documents of each query by cosine distance sqrt(2 (1 - dot)), or by L1; only documents that share a word.
 
     queries: key of the query set. Its vectors are held in blocks of at most
     ``block`` documents as an inverted list; the documents stream past, each as one
@@ -134,6 +134,8 @@ def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block:
     itself is left out. Dot products are rounded to 9 decimals, so that ties of equal
     documents don't depend on the order of summation. Rows (query_id, rank, ref_id, distance).
     """
+    if metric not in ("cosine", "L1"):
+        raise ValueError(f"unknown metric {metric}")
     spark = weights.sparkSession
     packed = weights.groupBy(F.col(key).cast("long").alias("id")).agg(F.collect_list(F.struct("word", "weight")).alias("v"))
     asked = weights.join(queries.select(key).distinct(), key, "left_semi").groupBy(F.col(key).cast("long").alias("id")).agg(F.collect_list(F.struct("word", "weight")).alias("v"))
@@ -143,23 +145,29 @@ def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block:
     schema = "query_id long, ref_id long, distance double"
     for part in range(parts):
         inverted: dict[str, list[tuple[int, float]]] = {}
+        mass: dict[int, float] = {}
         for row in asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect():
+            mass[row.id] = sum(abs(e.weight) for e in row.v)
             for e in row.v:
                 inverted.setdefault(e.word, []).append((row.id, e.weight))
-        shared = spark.sparkContext.broadcast(inverted)
+        shared = spark.sparkContext.broadcast((inverted, mass))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lists = shared.value
+            lists, masses = shared.value
             for batch in batches:
                 best: dict[int, list[tuple[float, int]]] = {}
                 for ref, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     dots: dict[int, float] = {}
                     for e in vector:
+                        x = e["weight"]
                         for q, w in lists.get(e["word"], ()):
-                            dots[q] = dots.get(q, 0.0) + w * e["weight"]
+                            # what a shared word adds: to the dot product, or to the sum of both masses
+                            dots[q] = dots.get(q, 0.0) + (w * x if metric == "cosine" else abs(w - x) - abs(w) - abs(x))
+                    own = sum(abs(e["weight"]) for e in vector)
                     for q, dot in dots.items():
                         if q != ref:
-                            best.setdefault(q, []).append((math.sqrt(2 * abs(1 - round(dot, 9))), ref))
+                            d = math.sqrt(2 * abs(1 - round(dot, 9))) if metric == "cosine" else round(masses[q] + own + dot, 9)
+                            best.setdefault(q, []).append((d, ref))
                 rows = [(q, ref, d) for q, near in best.items() for d, ref in sorted(near)[:k]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "ref_id", "distance"])
@@ -168,3 +176,12 @@ def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block:
         found = piece if found is None else found.unionByName(piece)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")
+
+
+def segment_terms(lines: DataFrame, segments: DataFrame, key: str, width: float = 10.0) -> DataFrame:
+    """file, num_segment, word, f: words of the text lines (file, start_second, end_second, words) that a segment overlaps."""
+    from sembla.operators.intervals import overlap_join
+
+    spans = segments.select(F.col(key), "num_segment", "start_second", "end_second")
+    hits = overlap_join(spans, lines.select(F.col(key), F.col("start_second"), F.col("end_second"), "words"), [key], ("start_second", "end_second"), ("start_second", "end_second"), width)
+    return hits.select(key, "num_segment", F.explode("words").alias("word")).groupBy(key, "num_segment", "word").agg(F.count(F.lit(1)).alias("f"))

@@ -14,7 +14,9 @@ from sembla.operators import detect as D
 from sembla.operators import segments as G
 from sembla.operators import text as T
 from sembla.operators.intervals import overlap_join, overlap_ratio
-from sembla.operators.search import spatial_inliers
+from sembla.operators.ordered import with_positions
+from sembla.operators.search import find_segments, join_truth, spatial_inliers
+from sembla.operators.stats import pixel_stats, shape_stats, static_crop
 from sembla.session import read_table
 
 QUERIES = {}
@@ -274,6 +276,42 @@ def sparse_cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sparse_knn(_weights(spark, sf_dir), "doc_id", q, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id")
 
 
+@query(_TFIDF + ", q AS (SELECT doc_id, sum(weight) AS s FROM z GROUP BY 1), p AS (SELECT a.doc_id AS query_id, b.doc_id AS ref_id, round(any_value(x.s) + any_value(y.s) + sum(abs(a.weight - b.weight) - a.weight - b.weight), 9) AS d FROM z a JOIN z b ON a.word = b.word JOIN q x ON x.doc_id = a.doc_id JOIN q y ON y.doc_id = b.doc_id WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2) SELECT query_id, rank, ref_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM p) WHERE rank <= 5")
+def sparse_general_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by L1."""
+    q = _docs(spark, sf_dir).where("doc_id % 100 = 0").select("doc_id")
+    return T.sparse_knn(_weights(spark, sf_dir), "doc_id", q, 5, metric="L1").select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id")
+
+
+@query("WITH g AS (SELECT DISTINCT ON (segment_uid) * FROM search_segment), n AS (SELECT DISTINCT name_query FROM query_txt) SELECT name_query, segment_uid FROM n JOIN g ON g.file_id || '@' || CAST(g.num_segment AS VARCHAR) = name_query")
+def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments by their names."""
+    n = read_table(spark, sf_dir, "query_txt").select("name_query").distinct()
+    return find_segments(n, "name_query", segments(spark, sf_dir).select("segment_uid", "file_id", "num_segment")).select("name_query", "segment_uid")
+
+
+@query(_DET + ", t AS (SELECT detection_id AS truth_id, video_q, video_r, sec_start_q AS a, sec_end_q AS b, sec_start_r AS c, sec_end_r AS e FROM k WHERE score >= 20) SELECT k.detection_id, min(truth_id) AS truth_id FROM k JOIN t ON k.video_q = t.video_q AND k.video_r = t.video_r AND greatest(sec_start_q, a) <= least(sec_end_q, b) AND greatest(sec_start_r, c) <= least(sec_end_r, e) GROUP BY 1")
+def detect_truth_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with the first well-scored detection they overlap on both sides."""
+    d = _spans(spark, sf_dir)
+    t = d.where("score >= 20").select(F.col("detection_id").alias("truth_id"), "video_q", "video_r", F.col("sec_start_q").alias("start_q"), F.col("sec_end_q").alias("end_q"), F.col("sec_start_r").alias("start_r"), F.col("sec_end_r").alias("end_r"))
+    return join_truth(d, t)
+
+
+@query("SELECT file_id, row_number() OVER (ORDER BY lower(file_id)) - 1 AS pos FROM (SELECT DISTINCT file_id FROM media_catalog)")
+def files_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of files in natural order of their names (numbers of one length)."""
+    f = files(spark, sf_dir).select("file_id").distinct().withColumn("key", X.natural_key(F.col("file_id")))
+    return with_positions(f, ["key"]).select("file_id", "pos")
+
+
+@query("SELECT count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, round((avg(v * v * v) - 3 * avg(v) * avg(v * v) + 2 * power(avg(v), 3)) / power(stddev_pop(v), 3), 4) AS skewness FROM (SELECT value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value))")
+def stats_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation and skewness of event values."""
+    s = shape_stats(read_table(spark, sf_dir, "events"), "value")
+    return s.select("n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), F.round("skewness", 4).alias("skewness"))
+
+
 @query()
 def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every stem."""
@@ -359,6 +397,19 @@ def px_histbychannel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(_made(spark, sf_dir, True), "HISTBYCHANNEL_1x1_4")
 
 
+@query(_PIXELS + ", s AS (SELECT vec_id % 7 AS file, y, x, avg(v) AS mean, var_pop(v) AS variance FROM p GROUP BY 1, 2, 3) SELECT file, y, x, round(mean, 6) AS mean, round(variance, 4) AS variance FROM s")
+def px_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and variance of every pixel over the frames of a file (vec_id mod 7)."""
+    f = frames(spark, sf_dir).withColumn("file", F.col("vec_id") % 7)
+    return pixel_stats(f, "file", "frame").select("file", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+@query()
+def tr_crop_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rectangle of every file that changes over time."""
+    return static_crop(pixel_stats(frames(spark, sf_dir).withColumn("file", F.col("vec_id") % 7), "file", "frame"), "file")
+
+
 @query()
 def ransac_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of keypoints that agree with one shift; keypoints and outliers made from ids."""

@@ -16,6 +16,7 @@ from sembla.functions.distances import distance_column
 from sembla.operators import cluster as C
 from sembla.operators import dataset as D
 from sembla.operators import fusion as U
+from sembla.operators import planner as L
 from sembla.operators import search as S
 from sembla.operators import stats as T
 from sembla.session import read_table
@@ -141,7 +142,7 @@ CASE WHEN ({COSINE}) = 0 THEN sqrt(2) ELSE sqrt(2 * abs(1 - ({COSINE}))) END AS
 SELECT vec_id, round(l1, 5) AS l1, round(l2, 5) AS l2, round(l2squared, 5) AS l2squared, round(lmax, 5) AS lmax, round(l05, 5) AS l05, round(lp3, 5) AS lp3, round(cosine, 5) AS cosine, round(dot, 5) AS dot FROM p"""
 
 
-def knn_multidistance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multidistance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two modalities (halves of the vector): L1 / 10 with weight 1 and L2 with weight 2, by label mean."""
     v = vectors(spark, sf_dir)
     means = C.average_descriptor(v, ["label"], "e").withColumnRenamed("vector", "m")
@@ -150,7 +151,7 @@ def knn_multidistance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(F.broadcast(means), "label").select("vec_id", F.round(d, 5).alias("distance"))
 
 
-QUERIES["multidistance"] = knn_multidistance
+QUERIES["multidistance"] = multidistance
 SQL["multidistance"] = f"""
 WITH v AS ({_V.format(e=_DOUBLE)}), u AS (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v), a AS (SELECT label, i, avg(x) AS x FROM u WHERE label IS NOT NULL GROUP BY label, i), m AS (SELECT label, list(x ORDER BY i) AS e FROM a GROUP BY label)
 SELECT q.vec_id, round({zipped('abs(z[1] - z[2])', 'q.e[1:32]', 'r.e[1:32]')} / 10 + 2 * sqrt({zipped('(z[1] - z[2]) * (z[1] - z[2])', 'q.e[33:64]', 'r.e[33:64]')}), 5) AS distance FROM v q JOIN m r ON q.label = r.label"""
@@ -220,6 +221,33 @@ def match_2nn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "ref_id", F.round("distance", 6).alias("distance"))
 
 
+def bit_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled signs as buckets, exact Hamming re-ranking."""
+    v = vectors(spark, sf_dir, lambda e: F.transform(e, lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
+    return _out(L.search(queries_of(v), v, "vec_id", "e", "HAMMING", "LSH,table_number=16,key_size=8", 5))
+
+
+def search_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact result by the automatic choice of a strategy."""
+    v = vectors(spark, sf_dir)
+    return _out(L.search(queries_of(v), v, "vec_id", "e", "L2", "AUTO", 5))
+
+
+def knn_multidistance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-NN over two halves of the vector, L1 by 10 and twice L2."""
+    v = vectors(spark, sf_dir).withColumns({"a": F.slice("e", 1, 32), "b": F.slice("e", 33, 32)})
+    return _out(L.multi_search(queries_of(v), v, "vec_id", {"a": "L1", "b": "L2"}, {"a": 0.1, "b": 2.0}))
+
+
+def knn_multidistance_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, each distance by its median on a sample."""
+    v = vectors(spark, sf_dir).withColumns({"a": F.slice("e", 1, 32), "b": F.slice("e", 33, 32)})
+    return _out(L.multi_search(queries_of(v), v, "vec_id", {"a": "L1", "b": "L2"}, {}, 0.5))
+
+
+_HALVES = f"0.1 * {zipped('abs(z[1] - z[2])', 'q.e[1:32]', 'r.e[1:32]')} + 2 * sqrt({zipped('(z[1] - z[2]) * (z[1] - z[2])', 'q.e[33:64]', 'r.e[33:64]')})"
+QUERIES |= {"bit_lsh": bit_lsh, "search_planner": search_planner, "knn_multidistance": knn_multidistance, "knn_multidistance_normalised": knn_multidistance_normalised}
+SQL |= {"search_planner": SQL["knn_l2"], "knn_multidistance": knn_sql(_HALVES)}
 QUERIES |= {"pivots_sss": pivots_sss, "lsh_knn": lsh_knn, "ivf_knn": ivf_knn, "match_2nn_ratio": match_2nn_ratio}
 SQL["match_2nn_ratio"] = f"""
 WITH v AS ({_V.format(e=_DOUBLE)}), d AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, {L2} AS d FROM v q, v r WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM d)

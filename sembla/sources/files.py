@@ -82,6 +82,33 @@ def write_vectors_text(df: DataFrame, vector: str, path: str, separator: str = "
     df.select(F.array_join(F.transform(vector, lambda x: x.cast("string")), separator).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_vectors_raw(df: DataFrame, key: str, vector: str, kind: str, path: str) -> None:
+    """Packed row-major numbers in order of key, one binary file per partition in a local or mounted folder, in order of name.
+
+    Each task writes a file of its own and puts it in place when it is complete, so a
+    task that is run again does no harm.
+    """
+    import os
+
+    code = TYPES[kind][0]
+    os.makedirs(path, exist_ok=True)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        name = f"{path}/part-{TaskContext.get().partitionId():05d}.raw"
+        n = 0
+        with open(f"{name}.{TaskContext.get().taskAttemptId()}", "wb") as f:
+            for pdf in batches:
+                for v in pdf["v"]:
+                    f.write(np.asarray(v).astype(code).tobytes())
+                    n += 1
+        os.replace(f.name, name)
+        yield pd.DataFrame({"n": [n]})
+
+    df.select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy("k").mapInPandas(write, "n long").collect()
+
+
 def read_catalog(spark: SparkSession, path: str, options: str = "") -> DataFrame:
     """Media files: media_type, file_id, path, filesize, width, height, time_start, time_end, fps, num_transforms, transforms, pos.
 
