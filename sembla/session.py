@@ -44,13 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_kept: set[str] = set()
+
+
+def _tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables; it is deleted when the driver ends in order."""
+    path = f"{shared_dir(spark)}/sembla-{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        _kept.add(path)
+        atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        drop_table(spark, path)
+    except Exception:  # the session may have ended before
+        pass
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder; the table read back and its path.
 
     One file per partition, so that a range-sorted frame keeps its runs.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
