@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,48 +55,113 @@ def _chunk_shape(chunk: str) -> str:
     return text[:24] if len(text) < 40 else "long"
 
 
-def _line_features(tokens: list[tuple[int, int]], text: str, signed: bool, lexicon: dict[str, str], hints: list[str] | None = None) -> list[list[str]]:
-    """Feature names of every token of a line; hints replaces what the name list says."""
-    words = [text[a:b] for a, b in tokens]
-    lower = [w.lower() for w in words]
-    shape = [_shape(w) for w in words]
-    ident = [w if w in _KNOWN or not w[0].isalpha() and not w[0].isdigit() else s for w, s in zip(lower, shape)]
-    lex = hints or [lexicon.get(w, "-") for w in lower]
-    n = len(words)
-    chunk_of: list[int] = []
-    shapes: list[str] = []
-    ends = -1
-    chunk = _CHUNK.finditer(text, tokens[0][0])
-    for a, _ in tokens:
-        while a >= ends:
-            m = next(chunk)
-            ends = m.end()
-            shapes.append(_chunk_shape(m[0]))
-        chunk_of.append(len(shapes) - 1)
-    shapes += ["$", "$"]
-    joined = ["j" if i and tokens[i - 1][1] == tokens[i][0] else "s" for i in range(n)] + ["s"]
-    long = "1" if n == 1 else "2" if n == 2 else "3" if n == 3 else "6" if n < 7 else "12" if n < 13 else "m"
-    around = ["^^", "^", *ident, "$", "$$"]
-    lexes = ["^", *lex, "$"]
-    out = []
-    for i in range(n):
-        w = lower[i]
-        k = chunk_of[i]
-        place = ("b" if i == 0 else "") + ("e" if i == n - 1 else "")
-        a, b, c, d, e = around[i], around[i + 1], around[i + 2], around[i + 3], around[i + 4]
-        f = [
-            f"w{c}{joined[i]}", f"p{b}", f"n{d}", f"P{a}|{b}", f"N{d}|{e}", f"t{b}|{c}|{d}", f"j{joined[i]}{joined[i + 1]}{shape[i]}",
-            f"c{shapes[k]}", f"d{shapes[k + 1]}", f"D{shapes[k]}|{shapes[k + 1]}", f"l{lexes[i + 1]}", f"L{lexes[i]}|{lexes[i + 1]}|{lexes[i + 2]}", f"m{shape[i]}{lexes[i + 1]}{long}{'g' if signed else ''}",
-            f"z{place}{long}{shape[i]}{'g' if signed else ''}",
-        ]
-        if k:
-            f.append(f"C{shapes[k - 1]}")
-            f.append(f"E{shapes[k - 1]}|{shapes[k]}")
-        if w[0].isalpha() and len(w) > 2:
-            f.append(f"3{w[-3:]}")
-            f.append(f"4{w[-4:]}{shape[i][0]}")
-        out.append(f)
-    return out
+_digest = xxhash.xxh3_64_intdigest
+#: Feature templates per token.
+TEMPLATES = 18
+_EDGE = [_digest(x) for x in ("^^", "^", "$", "$$")]
+
+
+class Shapes:
+    """Hashes of what is seen of words and of the blank-separated chunks they stand in; remembered per word."""
+
+    def __init__(self, lexicon: dict[str, str]):
+        self.lexicon = lexicon
+        self._words: dict[str, tuple[int, ...]] = {}
+        self._chunks: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {"lexicon": self.lexicon, "_words": {}, "_chunks": {}}
+
+    def word(self, w: str) -> tuple[int, ...]:
+        """Identity (the word if it is a known one, else its shape), shape, name-list entry, endings."""
+        found = self._words.get(w)
+        if found is None:
+            lower, shape = w.lower(), _shape(w)
+            ident = lower if lower in _KNOWN or not (w[0].isalpha() or w[0].isdigit()) else shape
+            ends = (_digest(lower[-3:]), _digest(lower[-4:] + shape[0])) if w[0].isalpha() and len(w) > 2 else (0, 0)
+            found = (_digest(ident), _digest(shape), _digest(self.lexicon.get(lower, "-")), *ends)
+            if len(self._words) > CACHE:
+                self._words.clear()
+            self._words[w] = found
+        return found
+
+    def chunk(self, c: str) -> int:
+        """The shape of a chunk."""
+        found = self._chunks.get(c)
+        if found is None:
+            if len(self._chunks) > CACHE:
+                self._chunks.clear()
+            found = self._chunks[c] = _digest(_chunk_shape(c))
+        return found
+
+
+def _mix(template: int, *parts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of a template's values, for all tokens at once."""
+    h = np.uint64(0x9E3779B97F4A7C15 * (template + 1) % 2**64)
+    for x in parts:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def token_features(lines: list[tuple[str, list[tuple[int, int]], bool]], shapes: Shapes, hints: list[list[str]] | None = None) -> np.ndarray:
+    """Feature hashes, tokens x templates, of lines (text, token spans, under a signature mark).
+
+    hints replaces what the name list says.
+    """
+    words: list[tuple[int, ...]] = []
+    ident: list[int] = []
+    at: list[int] = []
+    lex: list[int] = []
+    chunks: list[int] = []
+    chunk_at: list[int] = []
+    joined: list[int] = []
+    place: list[int] = []
+    size: list[int] = []
+    mark: list[int] = []
+    edge_a, edge_b, edge_c, edge_d = _EDGE
+    for k, (text, tokens, signed) in enumerate(lines):
+        n = len(tokens)
+        mine = [shapes.word(text[a:b]) for a, b in tokens]
+        words += mine
+        ident += (edge_a, edge_b)
+        at += range(len(ident), len(ident) + n)
+        ident += [w[0] for w in mine]
+        ident += (edge_c, edge_d)
+        lex.append(1)
+        lex += [_digest(h) for h in hints[k]] if hints else [w[2] for w in mine]
+        lex.append(2)
+        chunks.append(3)
+        ends = -1
+        found = _CHUNK.finditer(text, tokens[0][0])
+        for a, _ in tokens:
+            while a >= ends:
+                m = next(found)
+                ends = m.end()
+                chunks.append(shapes.chunk(m[0]))
+            chunk_at.append(len(chunks) - 1)
+        chunks += (4, 4)
+        joined += [0, *(int(x[1] == y[0]) for x, y in zip(tokens, tokens[1:]))]
+        place += [1, *[0] * (n - 2), 2] if n > 1 else [3]
+        size += [n if n < 4 else 6 if n < 7 else 12 if n < 13 else 13] * n
+        mark += [int(signed)] * n
+    w = np.array(words, np.uint64)
+    shape = w[:, 1]
+    pad, i = np.array(ident, np.uint64), np.array(at)
+    l, j = np.array(lex, np.uint64), np.arange(len(words))
+    row = np.repeat(np.arange(len(lines)), [len(t) for _, t, _ in lines])
+    j = j + 2 * row + 1
+    c, q = np.array(chunks, np.uint64), np.array(chunk_at)
+    join = np.array(joined, np.uint64)
+    after = np.append(join[1:], np.uint64(0))
+    spot, long, sig = (np.array(x, np.uint64) for x in (place, size, mark))
+    me, p1, p2, n1, n2 = pad[i], pad[i - 1], pad[i - 2], pad[i + 1], pad[i + 2]
+    rows = [
+        (me, join), (p1,), (n1,), (p2, p1), (n1, n2), (p1, me, n1), (join, after, shape), (c[q],), (c[q + 1],), (c[q + 1], c[np.minimum(q + 2, len(c) - 1)]), (l[j],), (l[j - 1], l[j], l[j + 1]),
+        (shape, l[j], long, sig), (spot, long, shape, sig), (c[q - 1],), (c[q - 1], c[q]), (w[:, 3],), (w[:, 4],),
+    ]
+    with np.errstate(over="ignore"):
+        return np.stack([_mix(t, *parts) for t, parts in enumerate(rows)], axis=1)
 
 
 def _ends(text: str) -> tuple[int, int]:
@@ -126,9 +192,9 @@ def _encode_labels(tokens: list[tuple[int, int]], spans: list[tuple[int, int, st
 class TaggingModel:
     """Weights of a linear-chain CRF: per feature and label, and per pair of neighbouring labels."""
 
-    def __init__(self, index: dict[str, int]):
-        self.index = index
-        self.weights = np.zeros((len(index) + 1, len(LABELS)), np.float32)
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.weights = np.zeros((len(keys) + 1, len(LABELS)), np.float32)
         self.steps = np.zeros((len(LABELS), len(LABELS)), np.float32)
         # an I must follow a B or an I of its kind
         self.barred = np.zeros_like(self.steps)
@@ -140,15 +206,15 @@ class TaggingModel:
                     if before[2:] != label[2:]:
                         self.barred[i, j] = -1e4
 
-    def ids(self, features: list[list[str]]) -> list[np.ndarray]:
-        get = self.index.get
-        none = len(self.index)
-        return [np.fromiter((get(f, none) for f in token), np.int32, len(token)) for token in features]
+    def ids(self, features: np.ndarray) -> np.ndarray:
+        """Rows of the weights of feature hashes; the last row, of zeros, for unknown ones."""
+        if not len(self.keys):
+            return np.zeros(features.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, features), len(self.keys) - 1)
+        return np.where(self.keys[at] == features, at, len(self.keys))
 
-    def emissions(self, ids: list[np.ndarray]) -> np.ndarray:
-        flat = np.concatenate(ids)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]])
-        return np.add.reduceat(self.weights[flat], starts, axis=0)
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        return self.weights[ids].sum(axis=1)
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of a padded batch (lines x tokens x labels)."""
@@ -208,30 +274,31 @@ def _gradient(model: TaggingModel, scores: np.ndarray, gold: np.ndarray, lengths
 def train_model(lines: int = 6000, rounds: int = 10, seed: int = 11) -> TaggingModel:
     """The model from ``lines`` fillings of the labelled table, by Adam on the conditional likelihood."""
     rng = random.Random(seed)
-    rows = []
-    counts: dict[str, int] = {}
+    rows, golds, hints = [], [], []
     for text, spans, signed in labelled_lines(lines, seed):
         tokens = _tokens(text)[:PIECE]
         if not tokens:
             continue
         gold = _encode_labels(tokens, spans)
-        hints = []
+        said = []
         for (a, b), label in zip(tokens, gold):
             # a name list knows some of the names, and a few other words
             word = text[a:b]
             r = rng.random()
             if not word[0].isalpha() or len(word) < 3 or word.lower() in _KNOWN:
-                hints.append("-")
+                said.append("-")
             elif LABELS[label].endswith("name"):
-                hints.append(rng.choice("gs") if r < 0.4 else "-")
+                said.append(rng.choice("gs") if r < 0.4 else "-")
             else:
-                hints.append(rng.choice("gs") if r < 0.06 else "-")
-        features = _line_features(tokens, text, signed, {}, hints)
-        for f in (x for token in features for x in token):
-            counts[f] = counts.get(f, 0) + 1
-        rows.append((features, gold))
-    model = TaggingModel({f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 3))})
-    data = sorted(((model.ids(f), np.array(g)) for f, g in rows), key=lambda x: len(x[1]))
+                said.append(rng.choice("gs") if r < 0.06 else "-")
+        rows.append((text, tokens, signed))
+        golds.append(np.array(gold))
+        hints.append(said)
+    features = token_features(rows, Shapes({}), hints)
+    keys, counts = np.unique(features, return_counts=True)
+    model = TaggingModel(keys[counts >= 3])
+    cuts = np.cumsum([len(g) for g in golds])[:-1]
+    data = sorted(zip(np.split(model.ids(features), cuts), golds), key=lambda x: len(x[1]))
     batches = [data[i : i + 120] for i in range(0, len(data), 120)]
     m = np.zeros_like(model.weights)
     v = np.zeros_like(model.weights)
@@ -250,12 +317,11 @@ def train_model(lines: int = 6000, rounds: int = 10, seed: int = 11) -> TaggingM
                 scores[i, : len(g)] = model.emissions(ids)
                 gold[i, : len(g)] = g
             local, pairs = _gradient(model, scores, gold, lengths)
-            flat = np.concatenate([x for ids, _ in batch for x in ids])
-            reps = np.array([len(x) for ids, _ in batch for x in ids])
+            flat = np.concatenate([ids for ids, _ in batch]).ravel()
             per_token = np.concatenate([local[i, :n] for i, n in enumerate(lengths)])
             used, where = np.unique(flat, return_inverse=True)
             g = np.zeros((len(used), len(LABELS)))
-            np.add.at(g, where, np.repeat(per_token, reps, axis=0))
+            np.add.at(g, where, np.repeat(per_token, TEMPLATES, axis=0))
             g = g / len(batch) + 2e-4 * model.weights[used]
             step += 1
             m[used] = 0.9 * m[used] + 0.1 * g
@@ -272,7 +338,7 @@ class Tagger:
     """Finds items in texts with a trained model and a name list."""
 
     def __init__(self, model: TaggingModel, lexicon: dict[str, str]):
-        self.model, self.lexicon = model, lexicon
+        self.model, self.shapes = model, Shapes(lexicon)
         self._seen: dict[tuple[str, bool], list[tuple[int, int, str]]] = {}
 
     def __getstate__(self) -> dict:
@@ -301,8 +367,7 @@ class Tagger:
         for at in range(0, len(work), 256):
             batch = work[at : at + 256]
             lengths = np.array([len(t) for _, t, _, _ in batch])
-            ids = [x for (line, signed), t, _, _ in batch for x in model.ids(_line_features(t, line, signed, self.lexicon))]
-            flat = model.emissions(ids)
+            flat = model.emissions(model.ids(token_features([(line, t, signed) for (line, signed), t, _, _ in batch], self.shapes)))
             scores = np.zeros((len(batch), int(lengths.max()), len(LABELS)), np.float32)
             scores[np.arange(scores.shape[1])[None] < lengths[:, None]] = flat
             for (key, tokens, low, high), path in zip(batch, model.viterbi(scores, lengths)):

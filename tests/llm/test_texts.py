@@ -93,7 +93,7 @@ def test_long_lines_lose_no_item():
 
 def test_gradient_is_the_slope_of_the_likelihood():
     rng = np.random.default_rng(0)
-    model = pii.TaggingModel({})
+    model = pii.TaggingModel(np.zeros(0, np.uint64))
     model.steps = rng.normal(size=model.steps.shape).astype(np.float32)
     k = len(pii.LABELS)
     scores, gold, lengths = rng.normal(size=(1, 4, k)), np.array([[0, 1, 2, 0]]), np.array([4])
