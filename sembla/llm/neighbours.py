@@ -26,7 +26,7 @@ FIT_ROWS = 20_000
 #: Rows that are compared at once.
 TILE = 256
 #: Queries of one stretch of a curve.
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 14
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
