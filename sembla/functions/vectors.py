@@ -55,4 +55,21 @@ def rootsift(v: Column) -> Column:
 
 def mix(key: Column, seed: int = 0) -> Column:
     """A pseudo-random number in 0 .. 2^32-1 of a whole number, the same in every engine."""
-    return F.pmod(F.pmod(key.cast("long"), F.lit(1_000_003)) * 2654435761 + seed * 40503, F.lit(4294967296))
+    full = F.lit(4294967296)
+    first = F.pmod(F.pmod(key.cast("long"), F.lit(1_000_003)) * 2654435761 + 1013904223 * seed, full)
+    return F.pmod((F.pmod(first, F.lit(65521)) * 65497 + F.floor(first / 65521)) * 1664525, full)
+
+
+def rescale_keypoints(points: Column, fx: Column | float, fy: Column | float) -> Column:
+    """Keypoints (array of struct with x, y, radius, angle and more) in the coordinates of an image fx times as wide and fy times as high.
+
+    The radius grows by the geometric mean; other fields stay.
+    """
+    fx, fy = F.lit(fx) if not isinstance(fx, Column) else fx, F.lit(fy) if not isinstance(fy, Column) else fy
+    return F.transform(points, lambda p: p.withField("x", p["x"] * fx).withField("y", p["y"] * fy).withField("radius", p["radius"] * F.sqrt(fx * fy)))
+
+
+def scale_convert(v: Column, factor: float, kind: str) -> Column:
+    """Elements times factor, rounded if the target is whole, cast to kind."""
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    return F.transform(v.cast("array<double>"), lambda x: (F.round(x * factor) if whole else x * factor).cast(kind))

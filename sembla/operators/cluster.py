@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,12 +75,12 @@ class KMeansState:
     moved: int
 
 
-def kmeans(df: DataFrame, key: str, vector: str, k: int, distance: str = "L2", init: str | np.ndarray = "sss", max_steps: int = 20, min_moved: float = 0.0, min_centroids: float = 0.0, seed: int = 0) -> KMeansState:
+def kmeans(df: DataFrame, key: str, vector: str, k: int, distance: str = "L2", init: str | np.ndarray = "sss", max_steps: int = 20, min_moved: float = 0.0, min_centroids: float = 0.0, seed: int = 0, callback: Callable[[KMeansState], None] | None = None) -> KMeansState:
     """Alternates assignment and adjustment until at most min_moved vectors (a share, or a number from 1 on), or at most
     min_centroids centroids, move, or the sizes have been the same three times, or max_steps are made.
 
     init: sss (spread-out pivots of a bounded sample), random (hashed order), or an
-    array. The centroids are put in nearest-neighbour order. Only sums per centroid
+    array. callback gets the state after every step. The centroids are put in nearest-neighbour order. Only sums per centroid
     reach the driver.
     """
     clean = df.where(F.col(vector).isNotNull())
@@ -100,6 +100,8 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, distance: str = "L2", i
         shifted = int((np.abs(after - points).max(1) > 1e-12).sum())
         before, points = points, after
         sizes.append(counts.tolist())
+        if callback:
+            callback(KMeansState(points, counts, error, step, moved))
         few = moved <= (min_moved * n if min_moved < 1 else min_moved)
         still = shifted <= (min_centroids * len(points) if min_centroids < 1 else min_centroids)
         if few or still or (len(sizes) > 2 and sizes[-1] == sizes[-2] == sizes[-3]):

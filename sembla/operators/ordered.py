@@ -35,7 +35,9 @@ def sorted_runs(df: DataFrame, keys: list[str], tie: bool = True) -> tuple[DataF
     """df in global order of keys (nulls first), as a written table with column __run.
 
     Runs are ordered by __run. A key may hold any share of the rows: with tie a
-    row number is appended to the range key, so that equal keys are split too.
+    row number is appended to the range key, so that equal keys are split too. The
+    row number asks for a df that gives its rows in one order whenever a task is
+    repeated: a scan or a written table, narrowly transformed.
     """
     ranged = [F.col(k) for k in keys]
     if tie:

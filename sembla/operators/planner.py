@@ -147,3 +147,23 @@ def load_pca(path: str) -> C.PCAState:
     with open(path) as f:
         x = json.load(f)
     return C.PCAState(*(np.array(x[n]) for n in ("averages", "transformation", "eigenvalues")))
+
+
+def save_pivots(pivots: list[tuple[int, list[float]]], spark: SparkSession, path: str) -> None:
+    """Pivots (id, vector) as a table; the distances to them are made anew when they are used."""
+    spark.createDataFrame([(i, int(k), [float(x) for x in v]) for i, (k, v) in enumerate(pivots)], "number int, id long, vector array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_pivots(spark: SparkSession, path: str) -> list[tuple[int, list[float]]]:
+    """The pivots that save_pivots wrote."""
+    return [(r.id, r.vector) for r in spark.read.parquet(path).orderBy("number").collect()]
+
+
+def report(result: DataFrame, references: DataFrame | None = None, key: str = "id", description: str = "description", most: int = 50) -> DataFrame:
+    """Result lines (query_id, rank, line) with the references' descriptions, which are left out over ``most`` rows."""
+    few = references is not None and result.limit(most + 1).count() <= most
+    text = F.format_string("%d %d %.6f", "rank", "ref_id", "distance")
+    if few:
+        named = references.select(F.col(key).alias("ref_id"), F.col(description).cast("string").alias("__d"))
+        result, text = result.join(named, "ref_id", "left"), F.concat_ws(" ", text, "__d")
+    return result.select("query_id", "rank", text.alias("line"))

@@ -314,21 +314,38 @@ def ivf_join(queries: DataFrame, references: DataFrame, key: str, vector: str, c
 def spatial_inliers(pairs: DataFrame, keys: list[str], model: str = "translation", cycles: int = 100, limit: float = 5.0, seed: int = 1) -> DataFrame:
     """Matches of each pair of frames that agree with one movement: keys, matches, inliers.
 
-    pairs: keys, x1, y1, x2, y2. RANSAC with a seed per group; model translation,
-    similarity or affine. A group is the matches of one pair of frames (bounded by
+    pairs: keys, x1, y1, x2, y2. RANSAC with a seed per group; model translation, scale
+    (one factor and a shift), similarity, affine or perspective. A group is the matches of one pair of frames (bounded by
     the keypoints of a frame). Rows with null coordinates are left out.
     """
-    size = {"translation": 1, "similarity": 2, "affine": 3}[model]
+    size = {"translation": 1, "scale": 2, "similarity": 2, "affine": 3, "perspective": 4}[model]
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
     def system(a: np.ndarray) -> np.ndarray:
         one, zero = np.ones(len(a)), np.zeros(len(a))
         if model == "translation":
             return np.stack([np.stack([one, zero], 1), np.stack([zero, one], 1)], 1)
+        if model == "scale":
+            return np.stack([np.stack([a[:, 0], one, zero], 1), np.stack([a[:, 1], zero, one], 1)], 1)
         if model == "similarity":
             return np.stack([np.stack([a[:, 0], -a[:, 1], one, zero], 1), np.stack([a[:, 1], a[:, 0], zero, one], 1)], 1)
         return np.stack([np.stack([a[:, 0], a[:, 1], one, zero, zero, zero], 1), np.stack([zero, zero, zero, a[:, 0], a[:, 1], one], 1)], 1)
 
+    def plane(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The 3 x 3 map of four or more points, from the null space of their equations."""
+        x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
+        one, zero = np.ones(len(a)), np.zeros(len(a))
+        m = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], 1)])
+        return np.linalg.svd(m)[2][-1].reshape(3, 3)
+
+    def errors(a: np.ndarray, b: np.ndarray, rows: np.ndarray, target: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        if model == "perspective":
+            moved = np.concatenate([a, np.ones((len(a), 1))], 1) @ plane(a[pick], b[pick]).T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.nan_to_num(np.sqrt(((moved[:, :2] / moved[:, 2:] - b) ** 2).sum(1)), nan=np.inf)
+        found = np.linalg.lstsq(rows[pick].reshape(-1, rows.shape[2]), target[pick].ravel(), rcond=None)[0]
+        return np.sqrt(((rows @ found - target) ** 2).sum(1))
+
     def verify(pdf):
         import pandas as pd
 
@@ -338,10 +355,7 @@ def spatial_inliers(pairs: DataFrame, keys: list[str], model: str = "translation
         rng = np.random.default_rng(seed)
         for _ in range(cycles if len(a) >= size else 0):
             pick = rng.choice(len(a), size, replace=False)
-            m = rows[pick].reshape(-1, rows.shape[2])
-            found = np.linalg.lstsq(m, target[pick].ravel(), rcond=None)[0]
-            error = np.sqrt(((rows @ found - target) ** 2).sum(1))
-            best = max(best, int((error <= limit).sum()))
+            best = max(best, int((errors(a, b, rows, target, pick) <= limit).sum()))
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "matches": len(a), "inliers": best}])
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "matches long", "inliers long"])

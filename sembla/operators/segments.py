@@ -85,3 +85,17 @@ def interpolate_truth(queries: DataFrame, truth: DataFrame, references: DataFram
     mapped = both.withColumn("r_second", F.col("start_r") + share * (F.col("end_r") - F.col("start_r"))).withColumn("__b", F.floor(F.col("r_second") / width))
     binned = references.withColumn("__b", F.explode(F.sequence(F.floor(F.col("r_start") / width), F.floor(F.col("r_end") / width))))
     return mapped.join(binned, ["r_file", "__b"]).where((F.col("r_second") >= F.col("r_start")) & (F.col("r_second") < F.col("r_end"))).select("q_file", "q_segment", "r_file", "r_segment", "r_second").distinct()
+
+
+def segment_by_code(files: DataFrame, key: str, length: str, code: str, shots: DataFrame | None = None) -> DataFrame:
+    """Segments by a code: ``SEGCTE_size[_step]``, ``VIDEOSAMPLE_n``, or ``FILESHOTS_n[_start[_end]]`` with the shots of the files. Sizes may be fractions a/b."""
+    name, *rest = code.split("_")
+    number = lambda t: float(t.split("/")[0]) / float(t.split("/")[1]) if "/" in t else float(t)
+    p = [number(x) for x in rest]
+    if name == "SEGCTE" and len(p) in (1, 2):
+        return segment_constant(files, key, length, *p)
+    if name == "VIDEOSAMPLE" and len(p) == 1:
+        return segment_sample(files, key, length, int(p[0]))
+    if name == "FILESHOTS" and 1 <= len(p) <= 3 and shots is not None:
+        return segment_shots(shots.join(files.select(key), key, "left_semi"), key, int(p[0]), *p[1:])
+    raise ValueError(f"unknown segmentation {code}")

@@ -119,3 +119,18 @@ def static_crop(stats: DataFrame, key: str, limit: float = 1.0, share: float = 1
     rows = stats.groupBy(key, "y").agg(F.avg(moving).alias("m")).where(F.col("m") > share).groupBy(key).agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
     cols = stats.groupBy(key, "x").agg(F.avg(moving).alias("m")).where(F.col("m") > share).groupBy(key).agg(F.min("x").alias("left"), F.max("x").alias("right"))
     return rows.join(cols, key)
+
+
+def sample_pairs(left: DataFrame, right: DataFrame, key: str, count: int | None = None, seed: int = 0) -> DataFrame:
+    """Repeatable pseudo-random pairs (a, b) of different keys, each key at most once per side.
+
+    Both sides are put into hashed orders and matched by place. Without count the
+    number is max(100, ln(n) n / 100) of the smaller side's n, as far as there are rows.
+    """
+    from sembla.operators.dataset import permute_hashed
+
+    n = min(left.count(), right.count())
+    wanted = count if count is not None else int(max(100, np.log(max(n, 2)) * n / 100))
+    a = permute_hashed(left.select(key), key, seed).select(F.col(key).alias("a"), "pos")
+    b = permute_hashed(right.select(key), key, seed + 1).select(F.col(key).alias("b"), "pos")
+    return a.join(b, "pos").where(F.col("a") != F.col("b")).orderBy("pos").limit(wanted).select("a", "b")

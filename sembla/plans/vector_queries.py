@@ -346,7 +346,8 @@ SQL["eval_outcome_string"] = _EVAL + " SELECT query_id, string_agg(CASE WHEN c =
 
 # dataset algebra
 
-_HASH = "(((vec_id % 1000003 + 1000003) % 1000003) * 2654435761 + {s}) % 4294967296"
+_FIRST = "((((vec_id % 1000003 + 1000003) % 1000003) * 2654435761 + 1013904223::BIGINT * {s}) % 4294967296)"
+_HASH = f"(({_FIRST} % 65521) * 65497 + {_FIRST} // 65521) * 1664525 % 4294967296"
 
 
 def ds_concatenate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,8 +376,8 @@ SQL |= {
     "ds_combine": "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a1, CAST(embedding[4] AS DOUBLE) AS b2 FROM embeddings WHERE embedding IS NOT NULL",
     "ds_subset_segment": "SELECT vec_id, pos FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE embedding IS NOT NULL) WHERE pos >= 40 AND pos < 140",
     "ds_subset_positions": "WITH x AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE embedding IS NOT NULL) SELECT CAST(ord AS BIGINT) AS ord, vec_id FROM (VALUES (0, 5), (1, 3), (2, 3), (3, 99), (4, 0)) AS w(ord, pos) JOIN x USING (pos)",
-    "ds_sample_hash": f"SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (ORDER BY {_HASH.format(s=7 * 40503)}, vec_id) AS n FROM embeddings WHERE embedding IS NOT NULL) WHERE n <= (SELECT round(count(*) * 0.2) FROM embeddings WHERE embedding IS NOT NULL)",
-    "ds_permute_hash": f"SELECT vec_id, row_number() OVER (ORDER BY {_HASH.format(s=3 * 40503)}, vec_id) - 1 AS pos FROM embeddings WHERE embedding IS NOT NULL",
+    "ds_sample_hash": f"SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (ORDER BY {_HASH.format(s=7)}, vec_id) AS n FROM embeddings WHERE embedding IS NOT NULL) WHERE n <= (SELECT round(count(*) * 0.2) FROM embeddings WHERE embedding IS NOT NULL)",
+    "ds_permute_hash": f"SELECT vec_id, row_number() OVER (ORDER BY {_HASH.format(s=3)}, vec_id) - 1 AS pos FROM embeddings WHERE embedding IS NOT NULL",
     "include_exclude_ids": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT parent_id FROM documents WHERE lang = 'en' AND parent_id IS NOT NULL)",
 }
 

@@ -275,6 +275,15 @@ def read_segmentation(spark: SparkSession, path: str) -> DataFrame:
     return text.mapInPandas(run, "file string, num_segment long, start_frame long, selected_frame long, end_frame long, start_second double, selected_second double, end_second double, fps double")
 
 
+def write_segmentation(segments: DataFrame, key: str, path: str) -> None:
+    """Segments (key, num_segment, frames, seconds, fps) in the same form, one folder per file."""
+    cols = ["start_frame", "selected_frame", "end_frame", "start_second", "selected_second", "end_second"]
+    row = F.concat_ws("\t", *(F.col(c).cast("string") for c in cols))
+    rows = segments.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("fps").alias("fps"), F.array_sort(F.collect_list(F.struct("num_segment", row.alias("t")))).alias("r"))
+    text = F.concat(F.concat_ws("\t", F.col("n").cast("string"), F.col("fps").cast("string")), F.lit("\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n"))
+    rows.select(key, text.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def read_shots(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """Shots: name, num_shot, start_second, selected_second, end_second.
 

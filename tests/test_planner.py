@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from sembla.domains import parse_domain
 from sembla.functions import distances as D
 from sembla.functions import strings as X
+from sembla.functions import vectors as V
 from sembla.operators import cluster as C
 from sembla.operators import planner as L
 from sembla.operators import search as S
+from sembla.operators import segments as G
 from sembla.operators import stats as T
 from sembla.operators import text as W
+from sembla.sources import datasource as Q
 from sembla.sources import files as Z
 
 
@@ -128,3 +131,51 @@ def test_pixel_statistics(spark):
     assert [tuple(r) for r in T.static_crop(stats, "file").collect()] == [("f", 2, 5, 1, 2)]
     s = T.shape_stats(spark.createDataFrame([(1.0,), (2.0,), (9.0,), (None,), (float("nan"),)], "v double"), "v").first()
     assert s.n == 3 and s.mean == 4 and s.skewness > 0
+
+
+def test_pivots_report_pairs_and_sources(table, spark, tmp_path):
+    df, x = table
+    pivots = S.select_pivots(df, "id", "v", 3)
+    L.save_pivots(pivots, spark, str(tmp_path / "p"))
+    assert L.load_pivots(spark, str(tmp_path / "p")) == [(i, list(v)) for i, v in pivots]
+    found = S.knn_join(df.where("id < 2"), df, "id", "v", "L2", 2)
+    named = df.select("id", F.concat(F.lit("n"), F.col("id")).alias("description"))
+    lines = {(r.query_id, r["rank"]): r.line for r in L.report(found, named).collect()}
+    assert lines[0, 1] == "1 0 0.000000 n0" and L.report(found, named, most=1).where("line like '%n%'").count() == 0
+    p = T.sample_pairs(df, df, "id").collect()
+    assert 90 <= len(p) <= 100 and all(r.a != r.b for r in p) and len({r.a for r in p}) == len(p) and p == T.sample_pairs(df, df, "id").collect()
+    seen = []
+    C.kmeans(df, "id", "v", 2, max_steps=3, callback=lambda s: seen.append(s.steps))
+    assert seen == list(range(1, len(seen) + 1)) and seen
+    Q.register_sources(spark)
+    r = spark.read.format("random_vectors").option("count", 30).option("dims", 3).option("min", 2).option("max", 4).load()
+    rows = r.orderBy("id").collect()
+    assert [x.id for x in rows] == list(range(30)) and all(2 <= v < 4 and len(x.vector) == 3 for x in rows for v in x.vector)
+    made = Q.custom_dataset(spark, 10, lambda i: (i, [float(i), 1.0]), "id long, v array<double>").orderBy("id").collect()
+    assert [(x.id, x.v) for x in made] == [(i, [float(i), 1.0]) for i in range(10)]
+
+
+def test_keypoints_codes_and_perspective(spark, tmp_path):
+    df = spark.createDataFrame([([(1.0, 2.0, 3.0, 0.5)],)], "p array<struct<x: double, y: double, radius: double, angle: double>>")
+    assert tuple(df.select(V.rescale_keypoints(F.col("p"), 4.0, 1.0)).first()[0][0]) == (4.0, 2.0, 6.0, 0.5)
+    assert spark.range(1).select(V.scale_convert(F.array(F.lit(1.26), F.lit(-0.5)), 10.0, "int")).first()[0] == [13, -5]
+    f = spark.createDataFrame([("a", 10.0)], "file string, n double")
+    shots = spark.createDataFrame([("a", 0.0, 4.0), ("z", 0.0, 4.0)], "file string, start_second double, end_second double")
+    n = lambda c: G.segment_by_code(f, "file", "n", c, shots).count()
+    assert (n("SEGCTE_5"), n("SEGCTE_5/2_1"), n("VIDEOSAMPLE_3"), n("FILESHOTS_2_0.5")) == (2, 9, 3, 2)
+    with pytest.raises(ValueError):
+        n("NONE_1")
+    rng = np.random.default_rng(3)
+    a = rng.uniform(0, 100, (24, 2))
+    h = np.array([[1.1, 0.1, 3], [-0.05, 0.9, 7], [0.001, 0.0005, 1]])
+    q = np.concatenate([a, np.ones((24, 1))], 1) @ h.T
+    b = q[:, :2] / q[:, 2:]
+    b[:4] += 60
+    rows = [(1, *map(float, (*u, *v))) for u, v in zip(a, b)]
+    got = S.spatial_inliers(spark.createDataFrame(rows, "k long, x1 double, y1 double, x2 double, y2 double"), ["k"], "perspective", 200, 0.5).first()
+    assert (got.matches, got.inliers) == (24, 20)
+    zoom = [(2, float(u[0]), float(u[1]), float(2 * u[0] + 1), float(2 * u[1] + 3)) for u in a]
+    assert S.spatial_inliers(spark.createDataFrame(zoom, "k long, x1 double, y1 double, x2 double, y2 double"), ["k"], "scale", 20, 0.1).first().inliers == 24
+    segs = spark.createDataFrame([("a", 0, 0, 1, 2, 0.0, 0.5, 1.0, 25.0), ("a", 1, 3, 4, 5, 1.0, 1.5, 2.0, 25.0)], "file string, num_segment long, start_frame long, selected_frame long, end_frame long, start_second double, selected_second double, end_second double, fps double")
+    Z.write_segmentation(segs, "file", str(tmp_path / "s"))
+    assert [tuple(r)[1:] for r in Z.read_segmentation(spark, str(tmp_path / "s") + "/*").orderBy("num_segment").collect()] == [tuple(r)[1:] for r in segs.collect()]
