@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once, so that they needn't find it on a path of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sembla-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(f"{folder}/{root.name}.zip")
+
+
 _kept: set[str] = set()
 
 
@@ -69,6 +89,7 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     One file per partition, so that a range-sorted frame keeps its runs.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -83,4 +104,5 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table of a data folder."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

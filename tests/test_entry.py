@@ -1,5 +1,6 @@
 """The driver contract."""
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -27,3 +28,18 @@ def test_core_works_without_the_subpackage():
     for path in (ROOT / "sembla").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "sembla").parts:
             assert "sembla.llm" not in path.read_text(), path
+
+
+def test_workers_get_the_package(tmp_path):
+    """Only the driver knows where the package lies."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["p3_found"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
