@@ -122,6 +122,23 @@ def test_texts_of_segments_and_sparse_l1(spark):
         W.sparse_knn(w, "id", w, 1, metric="x")
 
 
+def test_sparse_l1_among_all_documents(spark):
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random((60, 40)) < 0.08, rng.random((60, 40)).round(3), 0.0)
+    rows = [(int(i), f"w{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    w = spark.createDataFrame(rows, "id long, word string, weight double").repartition(3)
+    full = np.flatnonzero(x.any(1)).tolist()
+    asked = full[::9]
+    d = np.abs(x[:, None] - x[None]).sum(2).round(9)
+    want = {(q, n + 1, j) for q in asked for n, (_, j) in enumerate(sorted((d[q, j], j) for j in full if j != q)[:5])}
+    queries = spark.createDataFrame([(q,) for q in asked], "id long")
+    for block in (2000, 2):
+        assert pairs(W.sparse_knn(w, "id", queries, 5, block, "L1", unrelated=True)) == want
+    assert any(not (x[q] * x[j]).any() for q, _, j in want)
+    with pytest.raises(ValueError):
+        W.sparse_knn(w, "id", queries, 5, unrelated=True)
+
+
 def test_pixel_statistics(spark):
     still = [[0.0] * 8 for _ in range(8)]
     moving = [[0.0, 9.0, 9.0] + [0.0] * 5 if 2 <= y < 6 else [0.0] * 8 for y in range(8)]
