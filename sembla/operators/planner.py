@@ -78,18 +78,23 @@ def search(queries: DataFrame, references: DataFrame, key: str, vector: str, dis
 
 
 def bit_lsh_join(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int = 5, tables: int = 12, bits: int = 8, seed: int = 1) -> DataFrame:
-    """Approximate Hamming k-NN: sampled coordinates as buckets, exact re-ranking of bucket mates."""
+    """Approximate Hamming k-NN: sampled coordinates as buckets, exact re-ranking of bucket mates.
+
+    For coordinates of 0 and 1; queries also look into the buckets that differ in one sampled coordinate.
+    """
     first = references.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
     if first is None:
         return references.sparkSession.createDataFrame([], "query_id long, rank int, ref_id long, distance double")
     rng = np.random.default_rng(seed)
     picks = [rng.choice(first[0], min(bits, first[0]), replace=False).tolist() for _ in range(tables)]
 
-    def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-        keys = F.array(*(F.xxhash64(F.lit(t), *(F.col(vector)[i] for i in pick)) for t, pick in enumerate(picks)))
+    def bucketed(df: DataFrame, name: str, column: str, probing: bool) -> DataFrame:
+        flipped = lambda pick: [None, *pick] if probing else [None]
+        bit = lambda i, flip: 1.0 - F.col(vector)[i] if i == flip else F.col(vector)[i].cast("double")
+        keys = F.array(*(F.xxhash64(F.lit(t), *(bit(i, flip) for i in pick)) for t, pick in enumerate(picks) for flip in flipped(pick)))
         return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(name), F.col(vector).alias(column), F.explode(keys).alias("bucket"))
 
-    pairs = bucketed(queries, "query_id", "qv").join(bucketed(references, "ref_id", "rv"), "bucket").dropDuplicates(["query_id", "ref_id"])
+    pairs = bucketed(queries, "query_id", "qv", True).join(bucketed(references, "ref_id", "rv", False), "bucket").dropDuplicates(["query_id", "ref_id"])
     unequal = F.size(F.filter(F.zip_with("qv", "rv", lambda x, y: x != y), lambda x: x)).cast("double")
     return S.ranked(pairs.select("query_id", "ref_id", unequal.alias("distance")), k)
 

@@ -204,14 +204,14 @@ def pivots_sss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random-plane hashing with exact re-ranking."""
     v = vectors(spark, sf_dir)
-    return _out(S.lsh_join(queries_of(v), v, "vec_id", "e", 5))
+    return _out(S.lsh_join(queries_of(v), v, "vec_id", "e", 5, probes=6))
 
 
 def ivf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of k-means centroids with exact re-ranking."""
     v = vectors(spark, sf_dir)
     state = C.kmeans(v, "vec_id", "e", 12, max_steps=5)
-    return _out(S.ivf_join(queries_of(v), v, "vec_id", "e", state.centroids.tolist(), 5))
+    return _out(S.ivf_join(queries_of(v), v, "vec_id", "e", state.centroids.tolist(), 5, probe=10))
 
 
 def match_2nn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from sembla.operators import search as S
 from sembla.operators import segments as G
 from sembla.operators import stats as T
 from sembla.operators import text as W
+from sembla.plans import registry
 from sembla.sources import datasource as Q
 from sembla.sources import files as Z
 
@@ -54,6 +55,12 @@ def test_approximate_indexes_and_limits(table, spark):
     assert L.bit_lsh_join(bits, bits.limit(0), "id", "v").count() == 0
 
 
+@pytest.mark.parametrize("name, exact", [("bit_lsh", "knn_hamming"), ("ivf_knn", "knn_l2"), ("lsh_knn", "knn_l2")])
+def test_recall_on_real_embeddings(spark, name, exact):
+    got, want = ({(r.query_id, r.ref_id) for r in registry.queries()[n](spark, "/root/testdata/sf0.1").collect() if r.query_id != r.ref_id} for n in (name, exact))
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_registered_distance_and_index(table):
     df, x = table
     D.register_distance("FIRST", lambda p: lambda q, r: np.abs(q[:, :1] - r[:, 0][None]) * float(p.get("factor", 1)))
