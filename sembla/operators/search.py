@@ -66,7 +66,7 @@ def knn_join(
     of two matrices (one row per vector) that gives the distances of all pairs.
 
     Edge cases: rows with a null key or a null, empty or partly null vector are left
-    out; k below 1 counts as 1; repeated keys count once; an empty side gives no rows.
+    out; k below 1 counts as 1; repeated keys count once, a reference by its best row; an empty side gives no rows.
     """
     kernel, k = distance if callable(distance) else distance_kernel(distance), max(1, k)
     limit = range_ if range_ else None
@@ -93,7 +93,15 @@ def knn_join(
                 if limit is not None:
                     bad |= d < limit if farthest else d > limit
                 score = np.where(bad, np.inf, score)
-                order = np.lexsort((np.broadcast_to(refs_of, score.shape), score), axis=1)[:, : 2 * k]
+                keys = np.unique(refs_of)
+                if len(keys) < len(refs_of):
+                    # the k best are k different keys: of a repeated one the best row counts
+                    by_key = np.argsort(refs_of, kind="stable")
+                    starts = np.searchsorted(refs_of[by_key], keys)
+                    score = np.fmin.reduceat(score[:, by_key], starts, axis=1)
+                    bad = np.logical_and.reduceat(bad[:, by_key], starts, axis=1)
+                    refs_of, d = keys, -score if farthest else score
+                order = np.lexsort((np.broadcast_to(refs_of, score.shape), score), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(ids)), order.shape[1])
                 cols = order.ravel()
                 keep = ~bad[rows, cols]
@@ -103,7 +111,8 @@ def knn_join(
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], _PAIRS)
-    return ranked(found.dropDuplicates(["query_id", "ref_id"]), k, farthest)
+    best = F.max("distance") if farthest else F.min("distance")
+    return ranked(found.groupBy("query_id", "ref_id").agg(best.alias("distance")), k, farthest)
 
 
 def range_join(queries: DataFrame, references: DataFrame, key: str, vector: str, radius: float, distance: str = "L2") -> DataFrame:
@@ -175,6 +184,7 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
     k-th distance and gives the result of knn_join for a metric. LB_ONLY ranks by the
     bound, which is also the distance it reports. APPROX takes the share
     ``approximation`` of the references with the smallest bounds and ranks these exactly.
+    Repeated keys count once.
     """
     kernel, points = distance_kernel(distance), np.array(pivots, np.float64)
     refs = _prepare(references, key, vector, None)
@@ -188,7 +198,19 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, x, _, qp = shared.value
             radius = np.full(len(ids), np.inf)
-            best: list[list[float]] = [[] for _ in ids]
+            best: list[dict[int, float]] = [{} for _ in ids]
+
+            def nearest(known: dict[int, float], refs: np.ndarray, d: np.ndarray) -> dict[int, float]:
+                """The k nearest different keys."""
+                if len(known) == k:
+                    refs, d = refs[d <= max(known.values())], d[d <= max(known.values())]
+                order = np.lexsort((refs, d))
+                order = order[_firsts(refs[order], k)]
+                out = dict(known)
+                for r, x in zip(refs[order].tolist(), d[order].tolist()):
+                    out[r] = min(x, out.get(r, np.inf))
+                return dict(sorted(out.items(), key=lambda t: (t[1], t[0]))[:k])
+
             for batch in batches:
                 good, y = _matrix(batch.column(1))
                 if not len(good):
@@ -199,18 +221,19 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
                 for i in range(len(ids)):
                     if method == "EXACT":
                         order = np.argsort(bound[i], kind="stable")
-                        seed = order[:k]
-                        near = sorted([*best[i], *kernel(x[i : i + 1], y[seed])[0].tolist()])[:k]
-                        limit = min(radius[i], near[-1] if len(near) == k else np.inf)
+                        seed = order[_firsts(refs_of[order], k)]
+                        near = nearest(best[i], refs_of[seed], kernel(x[i : i + 1], y[seed])[0])
+                        limit = min(radius[i], max(near.values()) if len(near) == k else np.inf)
                         pick = np.flatnonzero(bound[i] <= limit * (1 + 1e-12))
                         d = kernel(x[i : i + 1], y[pick])[0]
-                        best[i] = sorted([*best[i], *d.tolist()])[:k]
-                        radius[i] = best[i][-1] if len(best[i]) == k else np.inf
+                        best[i] = nearest(best[i], refs_of[pick], d)
+                        radius[i] = max(best[i].values()) if len(best[i]) == k else np.inf
                         keep = d <= radius[i]
                         pick, d = pick[keep], d[keep]
                     else:
                         size = k if method == "LB_ONLY" else m
-                        pick = np.lexsort((refs_of, bound[i]))[:size]
+                        pick = np.lexsort((refs_of, bound[i]))
+                        pick = pick[_firsts(refs_of[pick], size)]
                         d = bound[i][pick] if method == "LB_ONLY" else kernel(x[i : i + 1], y[pick])[0]
                     out_q.append(np.full(len(pick), ids[i]))
                     out_r.append(refs_of[pick])
@@ -222,13 +245,18 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, ref_id long, distance double")
-    found = found.dropDuplicates(["query_id", "ref_id"])
+    found = found.groupBy("query_id", "ref_id").agg(F.min("distance").alias("distance"), F.min("bound").alias("bound"))
     if method == "APPROX":
         place = F.row_number().over(W.partitionBy("query_id").orderBy("bound", "ref_id"))
         found = found.withColumn("m", place).where(F.col("m") <= m)
     return ranked(found.drop("bound", "m"), k)
 
 
+def _firsts(keys: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first row of each key, in order, ``most`` at most."""
+    return np.sort(np.unique(keys, return_index=True)[1])[:most]
+
+
 def _bounds(qp: np.ndarray, rp: np.ndarray) -> np.ndarray:
     """Greatest difference of pivot distances, queries x references."""
     out = np.zeros((len(qp), len(rp)))

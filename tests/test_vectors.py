@@ -112,6 +112,22 @@ def test_exact_search(spark, monkeypatch, block):
     assert near == {(i, j) for i in q for j in range(80) if np.linalg.norm(x[i] - x[j]) <= 1.5}
 
 
+def test_repeated_references_take_one_place(spark):
+    x = np.random.default_rng(12).normal(size=(60, 4))
+    near = int(np.argsort(np.linalg.norm(x - x[0], axis=1))[1])
+    df = frame(spark, x, [(i, x[i].tolist()) for i in (0, near) for _ in range(20)]).coalesce(1)
+    asked = df.where("id = 0").limit(1)
+    got = lambda found: {(r.query_id, r["rank"], r.ref_id) for r in found.collect()}
+    assert got(S.knn_join(asked, df, "id", "v", k=5)) == brute(x, [0], 5)
+    far = int(np.argmax(np.linalg.norm(x - x[0], axis=1)))
+    more = df.unionByName(frame(spark, x).where(F.col("id") == far).crossJoin(spark.range(20).select())).coalesce(1)
+    assert got(S.knn_join(asked, more, "id", "v", k=5, farthest=True)) == brute(x, [0], 5, far=True)
+    pivots = x[[3, 5, 7]].tolist()
+    assert got(S.laesa_join(asked, df, "id", "v", pivots, k=5)) == brute(x, [0], 5)
+    once = frame(spark, x)
+    assert got(S.laesa_join(asked, df, "id", "v", pivots, k=5, method="LB_ONLY")) == got(S.laesa_join(asked, once, "id", "v", pivots, k=5, method="LB_ONLY"))
+
+
 @pytest.mark.parametrize("d", ["L1", "L2", "LMAX"])
 def test_pivot_search_is_exact_for_metrics(spark, d):
     x = np.random.default_rng(5).normal(size=(120, 5))
