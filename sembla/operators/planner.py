@@ -46,17 +46,10 @@ def _cells(q: DataFrame, r: DataFrame, key: str, vector: str, distance: str, k:
     return out.where(F.col("distance") <= limit) if limit else out
 
 
-def _auto(q: DataFrame, r: DataFrame, key: str, vector: str, distance: str, k: int, limit: float | None, far: bool, p: dict[str, str]) -> DataFrame:
-    """Exact while queries times references stay small, cells beyond, if the distance allows."""
-    small = q.count() * r.count() <= float(p.get("exact_pairs", 2e9))
-    pick = _exact if small or far or distance.upper() != "L2" else _cells
-    return pick(q, r, key, vector, distance, k, limit, far, p)
-
-
 #: Strategies by index id. Dynamic pivots give the exact result, and in a batch the exact plan is the best for it; a tree of
-#: cells stands for the approximate trees.
+#: cells stands for the approximate trees. The automatic choice is exact at every size.
 INDEXES: dict[str, Strategy] = {
-    "LINEARSCAN": _exact, "SNAKETABLE": _exact, "FLANN-LINEARSCAN": _exact, "LAESA": _pivots, "LSH": _hashing, "FLANN-LSH": _hashing, "KMEANS": _cells, "FLANN-KMEANS": _cells, "FLANN-KDTREE": _cells, "AUTO": _auto, "FLANN-AUTO": _auto,
+    "LINEARSCAN": _exact, "SNAKETABLE": _exact, "FLANN-LINEARSCAN": _exact, "LAESA": _pivots, "LSH": _hashing, "FLANN-LSH": _hashing, "KMEANS": _cells, "FLANN-KMEANS": _cells, "FLANN-KDTREE": _cells, "AUTO": _exact, "FLANN-AUTO": _exact,
 }
 
 

@@ -35,6 +35,13 @@ def test_exact_indexes_agree(table, index):
     assert pairs(L.search(q, df, "id", "v", "L2", index, 4)) == pairs(S.knn_join(q, df, "id", "v", "L2", 4))
 
 
+@pytest.mark.parametrize("index", ["AUTO,exact_pairs=0", "FLANN-AUTO,exact_pairs=0,branching=12,probe=1"])
+def test_automatic_choice_is_exact_at_every_size(table, index):
+    df, _ = table
+    q = df.where("id < 30")
+    assert pairs(L.search(q, df, "id", "v", "L2", index, 4)) == pairs(S.knn_join(q, df, "id", "v", "L2", 4))
+
+
 def test_approximate_indexes_and_limits(table, spark):
     df, _ = table
     q = df.where("id < 12")
