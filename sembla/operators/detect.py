@@ -246,9 +246,12 @@ def fit_to_segments(detections: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def printable(detections: DataFrame, limit: int | None = None, min_score: float = 0.0) -> DataFrame:
-    """Detections with a score above min_score, at most ``limit`` per query file, best first, as the lines of the table format."""
+    """Detections with a score above min_score, at most ``limit`` per query file, best first, as the lines of the table format.
+
+    An unknown (null) num_voters or num_misses is printed as 0, since readers of the format expect a number.
+    """
     ranked = rank_detections(detections.where((F.col("score") > min_score) & ~F.isnan("score")))
     if limit:
         ranked = ranked.where(F.col("rank") <= limit)
-    line = F.format_string("%.4f\t%s\t%.3f\t%.3f\t%s\t%.3f\t%.3f\t%d\t%d", "score", "video_q", "sec_start_q", "sec_end_q", "video_r", "sec_start_r", "sec_end_r", "num_voters", "num_misses")
+    line = F.format_string("%.4f\t%s\t%.3f\t%.3f\t%s\t%.3f\t%.3f\t%d\t%d", "score", "video_q", "sec_start_q", "sec_end_q", "video_r", "sec_start_r", "sec_end_r", *(F.coalesce(c, F.lit(0)) for c in ("num_voters", "num_misses")))
     return ranked.select("video_q", "rank", line.alias("line"))

@@ -14,6 +14,7 @@ from sembla.operators import stats as T
 from sembla.operators import text as W
 from sembla.operators.asof import asof_join
 from sembla.operators.ordered import with_positions
+from sembla.plans import media_queries as M
 from sembla.sources import files as S
 from sembla.streaming import streams as R
 
@@ -156,6 +157,16 @@ def test_merge_fit_print(spark):
     assert lines == ["5.0000\tq\t0.000\t10.000\tr\t0.000\t10.000\t5\t1", "3.0000\tq\t2.000\t12.000\tr\t2.000\t12.000\t3\t0"]
 
 
+def test_detections_without_counts_are_printed(spark, data):
+    kind = "score double, video_q string, sec_start_q double, sec_end_q double, video_r string, sec_start_r double, sec_end_r double, num_voters long, num_misses long"
+    rows = [(5.0, "null.mp4", 0.0, 10.0, "r", 0.0, 10.0, None, 1), (3.0, "null.mp4", 2.0, 12.0, "r", 2.0, 12.0, 3, None)]
+    lines = [r.line for r in E.printable(spark.createDataFrame(rows, kind), 2).orderBy("rank").collect()]
+    assert [x.split("\t")[-2:] for x in lines] == [["0", "1"], ["3", "0"]]
+    d = M._spans(spark, data).where("score > 0")
+    want = d.groupBy("video_q").count().select(F.sum(F.least("count", F.lit(3)))).first()[0]
+    assert M.detect_print_txt(spark, data).count() == want
+
+
 def test_porter():
     stem = W.Porter()
     pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat rational ration digitizer digit triplicate triplic hopeful hope goodness good revival reviv allowance allow adjustment adjust adoption adopt effective effect probate probat rate rate controll control roll roll as as".split()
