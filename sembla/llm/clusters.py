@@ -273,7 +273,7 @@ def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, le
     and have no row. Distances are L2, neighbours are searched along Hilbert curves
     (approximate), and every row of a curve is linked with the next one, so that a
     dense group hangs together even where a neighbour list is incomplete. Copies of
-    a vector are one node, whatever their number, and all count in sizes.
+    a vector are one node, whatever their number, and all count in density and sizes.
 
     What goes to one task is a region of the graph, at most local_edges edges of
     the contracted graph, or the contracted hierarchy with one row per node that
@@ -292,9 +292,11 @@ def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, le
     settings = {"curves": 4, "width": 64} | curves
     found = window_neighbours(nodes, neighbours, dtype, chain=True, **settings)
     # at most curves * (neighbours + 1) entries a node
-    lists = found.groupBy("qid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"), F.min(F.when(F.col("lane") == 0, F.col("block"))).alias("region"))
+    lists = found.groupBy("qid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"), F.min(F.when(F.col("lane") == 0, F.col("block"))).alias("region"), F.max("own").alias("own"))
     lists = lists.where(F.size("near") > 0)
-    core = F.col("near")[F.least(F.lit(neighbours), F.size("near")) - 1]["d"]
+    # copies count: the node's own ones are at distance 0, a neighbour counts as often as it has records
+    step = lambda s, x: F.when(s["left"] > 0, F.struct((s["left"] - x["n"]).alias("left"), x["d"].alias("core"))).otherwise(s)
+    core = F.aggregate("near", F.struct((F.lit(neighbours + 1) - F.col("own")).alias("left"), F.lit(0.0).alias("core")), step)["core"]
     lists, _ = write_table(lists.select("qid", "near", "region", core.alias("core")), "lists")
     edges = lists.select(F.col("qid").alias("a"), "region", F.col("core").alias("core_a"), F.inline("near")).withColumnRenamed("id", "b")
     edges = edges.join(lists.select(F.col("qid").alias("b"), F.col("core").alias("core_b")), "b")

@@ -27,6 +27,8 @@ FIT_ROWS = 20_000
 TILE = 256
 #: Queries of one stretch of a curve.
 BLOCK_ROWS = 1 << 14
+#: Sizes of nodes are told up to this number.
+SIZE_MOST = 1_000_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -112,15 +114,15 @@ class _Window:
         self.vectors: np.ndarray | None = None
         self.done = 0
 
-    def add(self, piece: pa.RecordBatch, last: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query ids, neighbour ids, distances), padded with id -1."""
+    def add(self, piece: pa.RecordBatch, last: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query ids, their sizes, neighbour ids, distances, sizes), padded with id -1."""
         if piece is not None:
             get = lambda n: piece.column(piece.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
-            fresh = _matrix(piece.column(piece.schema.get_field_index("vec")), self.dtype), get("qid").astype(np.int64), get("bid").astype(np.int64)
+            fresh = _matrix(piece.column(piece.schema.get_field_index("vec")), self.dtype), get("qid").astype(np.int64), get("bid").astype(np.int64), get("size").astype(np.int32)
             if self.vectors is None:
-                self.vectors, self.qid, self.bid = fresh
+                self.vectors, self.qid, self.bid, self.size = fresh
             else:
-                self.vectors, self.qid, self.bid = (np.concatenate(x) for x in zip((self.vectors, self.qid, self.bid), fresh))
+                self.vectors, self.qid, self.bid, self.size = (np.concatenate(x) for x in zip((self.vectors, self.qid, self.bid, self.size), fresh))
         if self.vectors is None:
             return
         n = len(self.vectors)
@@ -135,7 +137,7 @@ class _Window:
             own = np.searchsorted(base, rows)
             here = (own < len(base)) & (base[np.minimum(own, len(base) - 1)] == rows)
             near, dist = _nearest(self.vectors[rows], self.vectors[base], np.where(here, own, -1), self.bid[base], self.k)
-            ids = np.where(np.isfinite(dist), self.bid[base][near], -1)
+            ids, sizes = np.where(np.isfinite(dist), self.bid[base][near], -1), self.size[base][near]
             if self.chain:
                 # the next row of the curve is always linked, so that a curve is one path
                 after = rows + 1
@@ -144,10 +146,11 @@ class _Window:
                 gap = self.vectors[rows].astype(np.float64) - self.vectors[after].astype(np.float64)
                 ids = np.concatenate([ids, np.where(good, self.bid[after], -1)[:, None]], 1)
                 dist = np.concatenate([dist, np.sqrt((gap * gap).sum(1))[:, None]], 1)
-            yield self.qid[rows], ids, dist
+                sizes = np.concatenate([sizes, self.size[after][:, None]], 1)
+            yield self.qid[rows], self.size[rows], ids, dist, sizes
         self.done = until
         cut = max(0, until - self.width)
-        self.vectors, self.qid, self.bid, self.done = self.vectors[cut:], self.qid[cut:], self.bid[cut:], until - cut
+        self.vectors, self.qid, self.bid, self.size, self.done = self.vectors[cut:], self.qid[cut:], self.bid[cut:], self.size[cut:], until - cut
 
 
 def pack(df: DataFrame, vector: str, dtype: str = "float32") -> DataFrame:
@@ -184,7 +187,7 @@ def distinct_vectors(rows: DataFrame, key: str, query: str, base: str) -> DataFr
 
 
 def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves: int = 6, width: int = 256, dims: int = 5, bits: int = 10, seed: int = 7, chain: bool = False) -> DataFrame:
-    """For every query node and curve one row: qid, lane (the curve's number), block (a stretch of the curve), near (array of struct d, id, nearest first; with chain the last is the next on the curve).
+    """For every query node and curve one row: qid, lane (the curve's number), block (a stretch of the curve), near (array of struct d, id, nearest first; with chain the last is the next on the curve). With chain also own and, in near, n: the sizes of both nodes, at most SIZE_MOST.
 
     nodes: a written table of distinct_vectors. Windows end at the borders of a
     run; these lie elsewhere on every curve.
@@ -194,7 +197,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
     share = max(1, -(-n // FIT_ROWS))
     rows = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).limit(2 * FIT_ROWS).select("vec").toArrow().column(0)
     element = np.dtype(dtype)
-    schema = "qid long, lane short, block long, near array<struct<d: double, id: long>>"
+    schema = "qid long, lane short, block long, near array<struct<d: double, id: long, n: int>>, own int" if chain else "qid long, lane short, block long, near array<struct<d: double, id: long>>"
     if not len(rows):
         return spark.createDataFrame([], schema)
     fitted = Curves.fit(_matrix(rows, element), curves, dims, bits, seed)
@@ -206,11 +209,12 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
             vectors = _matrix(batch.column(0), element)
             for c in range(curves):
                 key = pa.array(fitted.keys(vectors, c))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, np.int16)), key, *batch.columns], names=["curve", "key", "vec", "qid", "bid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, np.int16)), key, *batch.columns], names=["curve", "key", "vec", "qid", "bid", "size"])
 
-    placed = nodes.select("vec", "qid", "bid").mapInArrow(keyed, "curve short, key long, vec binary, qid long, bid long")
+    size = F.least("size", F.lit(SIZE_MOST)) if chain else F.lit(1)
+    placed = nodes.select("vec", "qid", "bid", size.cast("int").alias("size")).mapInArrow(keyed, "curve short, key long, vec binary, qid long, bid long, size int")
     runs, _ = sorted_runs(placed, ["curve", "key"])
-    item = pa.struct([("d", pa.float64()), ("id", pa.int64())])
+    item = pa.struct([("d", pa.float64()), ("id", pa.int64()), *([("n", pa.int32())] if chain else [])])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, was = None, None
@@ -234,15 +238,15 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
     seen = [0]
 
     def rows_of(lane: int, found: Iterator) -> Iterator[pa.RecordBatch]:
-        for qid, ids, dist in found:
+        for qid, own, ids, dist, sizes in found:
             keep = ids.ravel() >= 0
             offsets = np.concatenate([[0], np.cumsum((ids >= 0).sum(1))]).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(dist.ravel()[keep]), pa.array(ids.ravel()[keep])], fields=list(item))
+            values = pa.StructArray.from_arrays([pa.array(x.ravel()[keep]) for x in ((dist, ids, sizes) if chain else (dist, ids))], fields=list(item))
             seen[0] += len(qid)
             block = pa.array(np.full(len(qid), seen[0] // BLOCK_ROWS))
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), block, pa.ListArray.from_arrays(pa.array(offsets), values)], names=["qid", "lane", "block", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), block, pa.ListArray.from_arrays(pa.array(offsets), values), *([pa.array(own)] if chain else [])], names=["qid", "lane", "block", "near", *(["own"] if chain else [])])
 
-    return runs.select(RUN, "curve", "vec", "qid", "bid").mapInArrow(search, schema)
+    return runs.select(RUN, "curve", "vec", "qid", "bid", "size").mapInArrow(search, schema)
 
 
 def similar_vectors(df: DataFrame, key: str, vector: str, k: int, query: str | None = None, base: str | None = None, dtype: str = "float32", neighbour: str = "neighbour", distance: str = "distance", **curves: int) -> DataFrame:

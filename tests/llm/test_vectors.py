@@ -80,6 +80,17 @@ def test_clusters(spark, local_edges):
     assert all(len(r.exemplars) == 3 and {got[e] for e in r.exemplars} == {c} for c, r in rows.items())
 
 
+def test_groups_of_few_vectors_with_many_copies(spark):
+    rng = np.random.default_rng(9)
+    far = np.round(rng.uniform(0, 400, (40, 16)), 3)
+    few = far[0] + np.round(rng.normal(0, 3, (3, 16)), 3)
+    two = far[1] + np.round(rng.normal(0, 3, (2, 16)), 3)
+    x = np.concatenate([np.repeat(few, 10, 0), np.repeat(two, [90, 10], 0), far[2:]])
+    members, summary = C.density_clusters(frame(spark, x), "id", "v", resolution=60.0, least=20)
+    assert {r.id: r.cluster for r in members.collect()} == {i: 0 if i < 30 else 30 for i in range(130)}
+    assert {(r.cluster, r.num_elements) for r in summary.collect()} == {(0, 30), (30, 100)}
+
+
 def test_clusters_empty(spark):
     df = frame(spark, blobs(6, 1, 5))
     for part in (df, df.limit(0)):
