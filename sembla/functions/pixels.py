@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sembla.session import ship_package
+
 # The edge kernels (2 x 2 blocks) of the MPEG-7 edge histogram.
 EDGE_KERNELS = {"vertical": ((1, -1), (1, -1)), "horizontal": ((1, 1), (-1, -1)), "diagonal45": ((2**0.5, 0), (0, -(2**0.5))), "diagonal135": ((0, 2**0.5), (-(2**0.5), 0)), "none": ((2, -2), (-2, 2))}
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sembla.operators.ordered import RUN, by_run, key_hash, sorted_runs, summaries
+from sembla.session import map_arrow
 
 _SUMMARY = "run long, last_g long, single boolean, first_g long, has boolean, edge double"
 
@@ -101,6 +102,6 @@ def asof_join(points: DataFrame, edges: DataFrame, keys: list[str], point: str,
                 yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("__row")).take(pa.array(at)), edge_column], names=["__row", "__edge"])
 
     row = both.schema["__row"].dataType.simpleString()
-    found = runs.mapInArrow(scan, f"__row {row}, __edge double")
+    found = runs.transform(map_arrow, scan, f"__row {row}, __edge double")
     out = found.unionByName(lost.select("__row", F.lit(None).cast("double").alias("__edge")))
     return out.select("__row.*", F.col("__edge").alias(name))

@@ -14,6 +14,7 @@ from sembla.functions.distances import distance_kernel
 from sembla.functions.vectors import mix
 from sembla.operators.dataset import nearest_chain
 from sembla.operators.search import _matrix, select_pivots
+from sembla.session import map_arrow
 
 _NEAR = "id long, centroid_id long, distance double"
 
@@ -30,7 +31,7 @@ def assign(df: DataFrame, key: str, vector: str, centroids: np.ndarray, distance
                 c = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(c), pa.array(d[np.arange(len(c)), c])], names=["id", "centroid_id", "distance"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, _NEAR)
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).transform(map_arrow, run, _NEAR)
 
 
 def _step(df: DataFrame, vector: str, points: np.ndarray, distance: str, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -49,7 +50,7 @@ def _step(df: DataFrame, vector: str, points: np.ndarray, distance: str, before:
                 mine = c == k
                 yield pa.RecordBatch.from_pylist([{"c": int(k), "n": int(mine.sum()), "s": x[mine].sum(0).tolist(), "e": float((d[mine, k] ** 2).sum()), "m": int(moved[mine].sum())}], schema=pa.schema([("c", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("e", pa.float64()), ("m", pa.int64())]))
 
-    parts = df.select(F.col(vector).cast("array<double>")).mapInArrow(run, "c long, n long, s array<double>, e double, m long")
+    parts = df.select(F.col(vector).cast("array<double>")).transform(map_arrow, run, "c long, n long, s array<double>, e double, m long")
     flat = parts.select("c", "n", "e", "m", F.posexplode("s").alias("d", "x"))
     sums = flat.groupBy("c", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("m").alias("m")).collect()
     total, counts, error, moved = np.zeros_like(points), np.zeros(len(points), np.int64), np.zeros(len(points)), np.zeros(len(points), np.int64)
@@ -146,7 +147,7 @@ def pca_fit(df: DataFrame, vector: str) -> PCAState:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([x.sum(0).tolist()]), pa.array([(x.T @ x).ravel().tolist()])], names=["n", "s", "ss"])
 
-    parts = df.select(F.col(vector).cast("array<double>")).mapInArrow(run, "n long, s array<double>, ss array<double>")
+    parts = df.select(F.col(vector).cast("array<double>")).transform(map_arrow, run, "n long, s array<double>, ss array<double>")
     add = lambda c: parts.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
     n = parts.agg(F.sum("n")).first()[0] or 0
     if not n:
@@ -171,7 +172,7 @@ def pca_apply(df: DataFrame, key: str, vector: str, state: PCAState, dims: int)
             if len(good):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(((x - mean) @ axes).tolist(), pa.list_(pa.float64()))], names=["id", "vector"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>")).mapInArrow(run, "id long, vector array<double>")
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>")).transform(map_arrow, run, "id long, vector array<double>")
 
 
 def pca_report(state: PCAState) -> list[tuple[int, float, float]]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sembla.session import map_arrow
+
 
 def apply_groups(df: DataFrame, keys: list[str], order: list[str], f: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """f of the rows of every group, in order, as rows of schema.
@@ -44,4 +46,4 @@ def apply_groups(df: DataFrame, keys: list[str], order: list[str], f: Callable[[
             out += f(group)
         yield pack()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).transform(map_arrow, run, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sembla.operators.ordered import RUN, by_run, key_hash, running_max, sorted_runs, summaries
+from sembla.session import map_arrow
 
 _LOW = -(2**63)
 _SUMMARY = "run long, first_g long, first_s long, last_g long, single boolean, top long, opened long"
@@ -150,7 +151,7 @@ def merge_intervals(df: DataFrame, entity: list[str], start: str, end: str, kind
         taken = [keys.column(i).take(pa.array(pick)) for i in range(keys.num_columns)]
         return pa.RecordBatch.from_arrays([*taken, pa.array(what, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=[*names, "kind", "s", "e"])
 
-    out = runs.mapInArrow(scan, schema)
+    out = runs.transform(map_arrow, scan, schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, entity)), F.col("kind").alias(kind), F.col("s").alias(start), F.col("e").alias(end))
 
 

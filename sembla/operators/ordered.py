@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sembla.session import write_table
+from sembla.session import map_arrow, write_table
 
 RUN = "__run"
 _PART = "__part"
@@ -70,7 +70,7 @@ def by_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
 
 def summaries(runs: DataFrame, make: Callable, schema: str) -> list[dict[str, Any]]:
     """One row per run, in order. make: batches of a task -> record batches of schema."""
-    table = runs.mapInArrow(make, schema).toArrow()
+    table = runs.transform(map_arrow, make, schema).toArrow()
     return sorted(table.to_pylist(), key=lambda r: r["run"])
 
 
@@ -118,5 +118,5 @@ def with_positions(df: DataFrame, keys: list[str], name: str = "pos") -> DataFra
         offsets[run] = total
         total += n
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "__pos long"])
-    out = runs.select(*columns, RUN).mapInArrow(_number(offsets), schema)
+    out = runs.select(*columns, RUN).transform(map_arrow, _number(offsets), schema)
     return out.withColumnRenamed("__pos", name)

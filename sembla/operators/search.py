@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sembla.functions.distances import Kernel, distance_kernel
+from sembla.session import map_arrow, ship_package
 
 #: Queries that are broadcast at a time; more are searched in several such blocks.
 QUERY_BLOCK = 20_000
@@ -107,7 +108,7 @@ def knn_join(
                 keep = ~bad[rows, cols]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]]), pa.array(refs_of[cols[keep]]), pa.array(d[rows[keep], cols[keep]])], names=["query_id", "ref_id", "distance"])
 
-        part = refs.mapInArrow(run, _PAIRS)
+        part = refs.transform(map_arrow, run, _PAIRS)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], _PAIRS)
@@ -133,13 +134,14 @@ def range_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
                     rows, cols = np.nonzero(d <= radius)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(batch.column(0).to_numpy()[good][cols]), pa.array(d[rows, cols])], names=["query_id", "ref_id", "distance"])
 
-        part = refs.mapInArrow(run, _PAIRS)
+        part = refs.transform(map_arrow, run, _PAIRS)
         found = part if found is None else found.unionByName(part)
     return (found if found is not None else spark.createDataFrame([], _PAIRS)).distinct()
 
 
 def pivot_table(df: DataFrame, pivots: list[list[float]], vector: str, distance: str, name: str = "pivot_distances") -> DataFrame:
     """df with the distances of every vector to the pivots (a bounded set)."""
+    ship_package(df.sparkSession)
     kernel, points = distance_kernel(distance), np.array(pivots, np.float64)
 
     @F.pandas_udf("array<double>")
@@ -241,7 +243,7 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
                     out_b.append(bound[i][pick])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (out_q, out_r, out_d, out_b)], names=["query_id", "ref_id", "distance", "bound"])
 
-        part = refs.mapInArrow(run, _PAIRS + ", bound double")
+        part = refs.transform(map_arrow, run, _PAIRS + ", bound double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, ref_id long, distance double")
@@ -304,7 +306,7 @@ def lsh_join(queries: DataFrame, references: DataFrame, key: str, vector: str, k
                     for c in codes:
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(c.astype(np.int64) + (t << 32))], names=["id", "v", "bucket"])
 
-        return _prepare(df, key, vector, None).select("id", "v").mapInArrow(run, "id long, v array<double>, bucket long")
+        return _prepare(df, key, vector, None).select("id", "v").transform(map_arrow, run, "id long, v array<double>, bucket long")
 
     q = bucketed(queries, probes).select(F.col("id").alias("query_id"), "bucket").distinct()
     r = bucketed(references, 0).select(F.col("id").alias("ref_id"), "bucket").distinct()
@@ -331,7 +333,7 @@ def ivf_join(queries: DataFrame, references: DataFrame, key: str, vector: str, c
                 for j in range(near.shape[1]):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(near[:, j].astype(np.int64))], names=["id", "v", "cell"])
 
-        return _prepare(df, key, vector, None).select("id", "v").mapInArrow(run, "id long, v array<double>, cell long")
+        return _prepare(df, key, vector, None).select("id", "v").transform(map_arrow, run, "id long, v array<double>, cell long")
 
     q = cells(queries, probe).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), "cell")
     r = cells(references, 1).select(F.col("id").alias("ref_id"), F.col("v").alias("rv"), "cell")
@@ -387,6 +389,7 @@ def spatial_inliers(pairs: DataFrame, keys: list[str], model: str = "translation
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "matches": len(a), "inliers": best}])
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "matches long", "inliers long"])
+    ship_package(pairs.sparkSession)
     clean = pairs.select(*keys, "x1", "y1", "x2", "y2").dropna(subset=["x1", "y1", "x2", "y2"])
     return clean.groupBy(*keys).applyInPandas(verify, schema)
 

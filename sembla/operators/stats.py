@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sembla.operators.ordered import with_positions
+from sembla.session import map_arrow
 
 #: The quantiles of the statistics report.
 FRACTIONS = (0.0001, 0.001, 0.01, 0.02, 0.05, 0.1, 0.2, 0.25, 0.4, 0.5, 0.6, 0.75, 0.8, 0.9, 0.95, 0.98, 0.99, 0.999, 0.9999)
@@ -35,7 +36,7 @@ def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
                 d = np.arange(x.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.full(len(d), len(x))), pa.array(x.min(0)), pa.array(x.max(0)), pa.array(y.sum(0)), pa.array((y * y).sum(0)), pa.array(base)], names=["dim", "n", "low", "high", "s", "ss", "base"])
 
-    parts = df.select(F.col(vector).cast("array<double>")).mapInArrow(run, "dim long, n long, low double, high double, s double, ss double, base double")
+    parts = df.select(F.col(vector).cast("array<double>")).transform(map_arrow, run, "dim long, n long, low double, high double, s double, ss double, base double")
     total = parts.groupBy("dim").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.first("base").alias("base"))
     mean, variance = F.col("s") / F.col("n"), F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2))
     out = total.select("dim", "n", "low", "high", (mean + F.col("base")).alias("mean"), variance.alias("variance"))

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sembla.session import map_arrow, ship_package
+
+
 class Porter:
     """The published suffix-stripping algorithm of 1980 for lower-case English words."""
 
@@ -91,6 +94,7 @@ def words(text: Column) -> Column:
 
 def stems(word_list: Column) -> Column:
     """Each word of the list by its stem."""
+    ship_package()
 
     @F.pandas_udf("array<string>")
     def run(lists):
@@ -180,7 +184,7 @@ def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "ref_id", "distance"])
 
-        piece = packed.mapInArrow(_l1_to_all(shared, k) if unrelated else run, schema)
+        piece = packed.transform(map_arrow, _l1_to_all(shared, k) if unrelated else run, schema)
         found = piece if found is None else found.unionByName(piece)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")

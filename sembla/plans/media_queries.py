@@ -17,7 +17,7 @@ from sembla.operators.intervals import overlap_join, overlap_ratio
 from sembla.operators.ordered import with_positions
 from sembla.operators.search import find_segments, join_truth, spatial_inliers
 from sembla.operators.stats import pixel_stats, shape_stats, static_crop
-from sembla.session import read_table
+from sembla.session import map_pandas, read_table
 
 QUERIES = {}
 SQL = {}
@@ -337,7 +337,7 @@ def _made(spark: SparkSession, sf_dir: str, color: bool) -> DataFrame:
             yield pdf.assign(frame=[v.astype(float).tolist() for v in images])
 
     kind = "array<array<array<double>>>" if color else "array<array<double>>"
-    return read_table(spark, sf_dir, "embeddings").select("vec_id").mapInPandas(run, f"vec_id long, frame {kind}")
+    return read_table(spark, sf_dir, "embeddings").select("vec_id").transform(map_pandas, run, f"vec_id long, frame {kind}")
 
 
 def _entries(df: DataFrame, code: str) -> DataFrame:

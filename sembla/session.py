@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of a session, once, so that they needn't find it on a path of their own."""
-    context = spark.sparkContext
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Sends this package to the Python workers of a session (the active one), once, so that they needn't find it on a path of their own."""
+    context = (spark or SparkSession.active()).sparkContext
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
@@ -64,6 +65,18 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(f"{folder}/{root.name}.zip")
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, with the package sent along."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def map_pandas(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInPandas, with the package sent along."""
+    ship_package(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
 _kept: set[str] = set()
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sembla.session import map_pandas, ship_package
 
 
 class _Range(InputPartition):
@@ -49,6 +50,7 @@ class _RandomReader(DataSourceReader):
 
 def register_sources(spark: SparkSession) -> None:
     """Makes the sources of this module known to a session."""
+    ship_package(spark)
     spark.dataSource.register(RandomVectors)
 
 
@@ -62,7 +64,7 @@ def custom_dataset(spark: SparkSession, count: int, get: Callable[[int], tuple],
             yield pd.DataFrame([get(int(i)) for i in pdf["id"]], columns=names)
 
     names = [part.strip().split(" ")[0].split(":")[0] for part in _split(schema)]
-    return spark.range(0, count, 1, partitions).mapInPandas(run, schema)
+    return spark.range(0, count, 1, partitions).transform(map_pandas, run, schema)
 
 
 def _split(schema: str) -> list[str]:

@@ -17,6 +17,7 @@ from sembla.functions.strings import format_seconds, parse_fraction, parse_secon
 from sembla.operators.detect import rank_detections
 from sembla.operators.ordered import with_positions
 from sembla.operators.text import stems, words
+from sembla.session import map_pandas
 
 # Element types by name, as NumPy and as Spark types (unsigned ones are widened).
 TYPES = {"INT8": ("i1", "tinyint"), "INT16": ("<i2", "smallint"), "INT32": ("<i4", "int"), "INT64": ("<i8", "bigint"), "UINT8": ("u1", "smallint"), "UINT16": ("<u2", "int"), "UINT32": ("<u4", "bigint"), "UINT64": ("<u8", "decimal(20,0)"), "FLOAT": ("<f4", "float"), "DOUBLE": ("<f8", "double")}
@@ -73,7 +74,7 @@ def random_vectors(spark: SparkSession, count: int, dims: int, low: float, high:
             made = [np.random.default_rng([seed, int(i)]).uniform(low, high, dims) for i in pdf["id"]]
             yield pdf.assign(vector=[v.tolist() for v in made])
 
-    out = spark.range(count).mapInPandas(run, "id long, vector array<double>")
+    out = spark.range(count).transform(map_pandas, run, "id long, vector array<double>")
     return out.select("id", F.col("vector").cast(f"array<{spark_type}>").alias("vector"))
 
 
@@ -106,7 +107,7 @@ def write_vectors_raw(df: DataFrame, key: str, vector: str, kind: str, path: str
         os.replace(f.name, name)
         yield pd.DataFrame({"n": [n]})
 
-    df.select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy("k").mapInPandas(write, "n long").collect()
+    df.select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy("k").transform(map_pandas, write, "n long").collect()
 
 
 def read_catalog(spark: SparkSession, path: str, options: str = "") -> DataFrame:
@@ -192,7 +193,7 @@ def read_neighbours(spark: SparkSession, path: str, max_nn: int | None = None, m
                         out.append((file, seconds, parts[0], rank, name, d))
             yield pd.DataFrame(out, columns=["name_file", "search_time", "name_query", "rank", "name_nn", "distance"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "name_file string, search_time double, name_query string, rank int, name_nn string, distance double")
+    return spark.read.text(path, wholetext=True).transform(map_pandas, run, "name_file string, search_time double, name_query string, rank int, name_nn string, distance double")
 
 
 def load_profile(result: DataFrame, max_nn: int | None = None, max_distance: float | None = None) -> DataFrame:
@@ -272,7 +273,7 @@ def read_segmentation(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["file", "num_segment", "start_frame", "selected_frame", "end_frame", "start_second", "selected_second", "end_second", "fps"])
 
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^.*/", "").alias("file"), "value")
-    return text.mapInPandas(run, "file string, num_segment long, start_frame long, selected_frame long, end_frame long, start_second double, selected_second double, end_second double, fps double")
+    return text.transform(map_pandas, run, "file string, num_segment long, start_frame long, selected_frame long, end_frame long, start_second double, selected_second double, end_second double, fps double")
 
 
 def write_segmentation(segments: DataFrame, key: str, path: str) -> None:
@@ -316,7 +317,7 @@ def read_shots(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
             out = [row for text in pdf["value"] for row in shots_of([x for x in text.split("\n") if x.strip() and not x.startswith("#")])]
             yield pd.DataFrame(out, columns=["name", "num_shot", "start_second", "selected_second", "end_second"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "name string, num_shot long, start_second double, selected_second double, end_second double")
+    return spark.read.text(path, wholetext=True).transform(map_pandas, run, "name string, num_shot long, start_second double, selected_second double, end_second double")
 
 
 def read_truth_frames(spark: SparkSession, path: str) -> DataFrame:
