@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sembla.llm.groups import _propagate
 from sembla.llm.neighbours import distinct_vectors, pack, window_neighbours
 from sembla.llm.topn import top_n
-from sembla.session import drop_table, write_table
+from sembla.session import drop_table, map_arrow, write_table
 
 #: A graph of at most so many edges is finished by one task; beyond, by further distributed rounds.
 LOCAL_EDGES = 1_000_000
@@ -98,13 +98,13 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFra
     """
     spark = edges.sparkSession
     named = edges.select("a", "b", "w", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("a <> b")
-    graph, path = write_table(named.mapInArrow(_reduce, _EDGE), "graph")
+    graph, path = write_table(named.transform(map_arrow, _reduce, _EDGE), "graph")
     done: list[DataFrame] = []
     left, parts = graph.count(), max(1, graph.rdd.getNumPartitions())
     while left > local_edges and parts > 1 and 4 * left / parts <= MERGED:
         # forests of several regions share most of their nodes: reduced together they lose edges again
         parts = max(1, parts // 4)
-        graph, new_path = write_table(graph.coalesce(parts).mapInArrow(_reduce, _EDGE), "graph")
+        graph, new_path = write_table(graph.coalesce(parts).transform(map_arrow, _reduce, _EDGE), "graph")
         drop_table(spark, path)
         before, path, left = left, new_path, graph.count()
         if left > 0.8 * before:
@@ -126,7 +126,7 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFra
         for old in (path, links_path, labels_path):
             drop_table(spark, old)
         path, left = new_path, graph.count()
-    last = graph.coalesce(1).mapInArrow(_reduce, _EDGE).select("low", "high", "w")
+    last = graph.coalesce(1).transform(map_arrow, _reduce, _EDGE).select("low", "high", "w")
     out = last
     for part in done:
         out = out.unionByName(part)
@@ -159,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each partition first turns its edges into stars, which shortens paths to the
     number of partitions they cross; minimum propagation joins the stars.
     """
-    stars = edges.select("low", "high").mapInArrow(_stars, "src long, dst long")
+    stars = edges.select("low", "high").transform(map_arrow, _stars, "src long, dst long")
     both = stars.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
     links, _ = write_table(both, "stars")
     return _propagate(links)[0] if links.limit(1).count() else links.select(F.col("src").alias("v"), F.col("dst").alias("f"))
@@ -340,7 +340,7 @@ def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, le
         got = condensed_clusters(*(v[c].to_numpy() for c in ("leaf", "size", "inner", "late", "late_l")), e["leaf"].to_numpy(np.int64), e["b"].to_numpy().astype(np.int64), e["w"].to_numpy(), least)
         yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["leaf", "c", "stability"])
 
-    chosen, _ = write_table(both.coalesce(1).mapInArrow(select, "leaf long, c long, stability double"), "chosen")
+    chosen, _ = write_table(both.coalesce(1).transform(map_arrow, select, "leaf long, c long, stability double"), "chosen")
     inside = placed.join(chosen, "leaf").select("v", "c", "stability", "persistence")
     # every key of a node, by its vector
     twins = nodes.select(F.col("vec").alias("__vec"), F.col("bid").alias("v"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sembla.session import write_table
+from sembla.session import map_arrow, write_table
 
 # Letters of other scripts that look like a Latin letter, and the letter each looks like.
 LOOKALIKES = "аеорсухіјѕԁһԛԝьгвкмнтΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοερικυνηωАВЕЅІЈКМНОРСТУХҮɡıɑ"
@@ -211,7 +211,7 @@ def leaked_items(docs: DataFrame, doc_key: str, text: str, items: DataFrame, ite
                     keys = batch.column(0).take(pa.array([f[0] for f in found]))
                     yield pa.RecordBatch.from_arrays([keys, *result(found)], names=["doc", "item", "words", "changed"])
 
-        out = source.mapInArrow(scan, schema)
+        out = source.transform(map_arrow, scan, schema)
     else:
         out = _joined(source, wanted, templates, least, kind, schema, result)
     best = out.groupBy("doc", "item").agg(F.max(F.struct("words", F.col("changed"))).alias("m"))
@@ -233,9 +233,9 @@ def _joined(source: DataFrame, wanted: DataFrame, templates: Templates, least: i
         return run, f"{key} {type_}, h long, p int"
 
     run, shape = windows_of("item", "long")
-    item_windows = wanted.mapInArrow(run, shape).withColumnRenamed("p", "at")
+    item_windows = wanted.transform(map_arrow, run, shape).withColumnRenamed("p", "at")
     run, shape = windows_of("doc", kind)
-    doc_windows = source.distinct().mapInArrow(run, shape)
+    doc_windows = source.distinct().transform(map_arrow, run, shape)
     hits = doc_windows.join(item_windows, "h").groupBy("doc", "item", (F.col("p") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
     pairs = hits.groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "n")).alias("shifts")).where(F.aggregate("shifts", F.lit(0).cast("long"), lambda s, x: s + x["n"]) >= 2)
     pairs, _ = write_table(pairs, "candidates")
@@ -253,4 +253,4 @@ def _joined(source: DataFrame, wanted: DataFrame, templates: Templates, least: i
                 keys = batch.column(0).take(pa.array([f[0] for f in found]))
                 yield pa.RecordBatch.from_arrays([keys, *result(found)], names=["doc", "item", "words", "changed"])
 
-    return both.mapInArrow(verify, schema)
+    return both.transform(map_arrow, verify, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sembla.operators.ordered import RUN, by_run, sorted_runs
-from sembla.session import write_table
+from sembla.session import map_arrow, write_table
 
 #: Vectors read to fit the scale of the curves, at most.
 FIT_ROWS = 20_000
@@ -169,7 +169,7 @@ def pack(df: DataFrame, vector: str, dtype: str = "float32") -> DataFrame:
             packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, raw])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), packed], names=[*keep, "__vec"])
 
-    return clean.select(*keep, F.col(vector)).mapInArrow(run, schema)
+    return clean.select(*keep, F.col(vector)).transform(map_arrow, run, schema)
 
 
 def distinct_vectors(rows: DataFrame, key: str, query: str, base: str) -> DataFrame:
@@ -212,7 +212,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, np.int16)), key, *batch.columns], names=["curve", "key", "vec", "qid", "bid", "size"])
 
     size = F.least("size", F.lit(SIZE_MOST)) if chain else F.lit(1)
-    placed = nodes.select("vec", "qid", "bid", size.cast("int").alias("size")).mapInArrow(keyed, "curve short, key long, vec binary, qid long, bid long, size int")
+    placed = nodes.select("vec", "qid", "bid", size.cast("int").alias("size")).transform(map_arrow, keyed, "curve short, key long, vec binary, qid long, bid long, size int")
     runs, _ = sorted_runs(placed, ["curve", "key"])
     item = pa.struct([("d", pa.float64()), ("id", pa.int64()), *([("n", pa.int32())] if chain else [])])
 
@@ -246,7 +246,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
             block = pa.array(np.full(len(qid), seen[0] // BLOCK_ROWS))
             yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), block, pa.ListArray.from_arrays(pa.array(offsets), values), *([pa.array(own)] if chain else [])], names=["qid", "lane", "block", "near", *(["own"] if chain else [])])
 
-    return runs.select(RUN, "curve", "vec", "qid", "bid", "size").mapInArrow(search, schema)
+    return runs.select(RUN, "curve", "vec", "qid", "bid", "size").transform(map_arrow, search, schema)
 
 
 def similar_vectors(df: DataFrame, key: str, vector: str, k: int, query: str | None = None, base: str | None = None, dtype: str = "float32", neighbour: str = "neighbour", distance: str = "distance", **curves: int) -> DataFrame:

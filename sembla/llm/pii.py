@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sembla.llm.pii_table import CARRIERS, KINDS, PLAIN, labelled_lines
+from sembla.session import map_arrow
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Lines a Python worker remembers the items of.
@@ -459,7 +460,7 @@ def _tagged(docs: DataFrame, key: str, text: str, names: DataFrame | None, token
                 if made is not None:
                     yield made
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).transform(map_arrow, run, schema)
 
 
 def personal_items(docs: DataFrame, key: str, text: str, names: DataFrame | None = None, token: str = "token", token_kind: str = "token_kind") -> DataFrame:

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sembla.session import map_arrow
+
 #: Where the vocabulary files lie, unless a path is given.
 TOKENIZERS = os.environ.get("SEMBLA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the published split pattern of the byte_bpe vocabularies.
@@ -222,5 +224,5 @@ def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str | None =
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["k", "ids"])
 
-    out = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>")
+    out = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).transform(map_arrow, run, f"k {kind}, ids array<int>")
     return out.select(F.col("k").alias(key), F.col("ids").alias(ids))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sembla.operators.ordered import RUN, by_run, key_hash, sorted_runs, summaries
+from sembla.session import map_arrow
 
 _SUMMARY = pa.schema([(n, pa.int64()) for n in ("run", "first_g", "first_k", "last_g", "last_k", "single", "n")])
 
@@ -121,6 +122,6 @@ def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, ascend
                 taken = [piece.column(piece.schema.get_field_index(x)).take(pa.array(good)) for x in [*names, "__s", "__i"]]
                 yield pa.RecordBatch.from_arrays([*taken, pa.array(at[good], pa.int64())], names=[*names, "__s", "__i", "__p"])
 
-    out = runs.mapInArrow(keep, schema)
+    out = runs.transform(map_arrow, keep, schema)
     columns = [*(F.col(x).alias(c) for x, c in zip(names, group)), F.col("__s").alias(score), F.col("__i").alias(item)]
     return out.select(*columns, *([F.col("__p").alias(position)] if position else []))
