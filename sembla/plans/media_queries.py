@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,7 +18,7 @@ from sembla.operators.intervals import overlap_join, overlap_ratio
 from sembla.operators.ordered import with_positions
 from sembla.operators.search import find_segments, join_truth, spatial_inliers
 from sembla.operators.stats import pixel_stats, shape_stats, static_crop
-from sembla.session import map_pandas, read_table
+from sembla.session import map_arrow, read_table
 
 QUERIES = {}
 SQL = {}
@@ -152,9 +153,9 @@ def detect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.merge_detections(_spans(spark, sf_dir))
 
 
-@query(_DET + ", r AS (SELECT *, row_number() OVER (PARTITION BY video_q ORDER BY score DESC, video_r, sec_start_q, sec_start_r) AS rank FROM k WHERE score > 0) SELECT video_q, rank, format('{:.4f}', score) || chr(9) || video_q || chr(9) || format('{:.3f}', sec_start_q) || chr(9) || format('{:.3f}', sec_end_q) || chr(9) || video_r || chr(9) || format('{:.3f}', sec_start_r) || chr(9) || format('{:.3f}', sec_end_r) || chr(9) || num_voters || chr(9) || num_misses AS line FROM r WHERE rank <= 3 AND num_voters IS NOT NULL AND num_misses IS NOT NULL")
+@query(_DET + ", r AS (SELECT *, row_number() OVER (PARTITION BY video_q ORDER BY score DESC, video_r, sec_start_q, sec_start_r) AS rank FROM k WHERE score > 0) SELECT video_q, rank, format('{:.4f}', score) || chr(9) || video_q || chr(9) || format('{:.3f}', sec_start_q) || chr(9) || format('{:.3f}', sec_end_q) || chr(9) || video_r || chr(9) || format('{:.3f}', sec_start_r) || chr(9) || format('{:.3f}', sec_end_r) || chr(9) || coalesce(num_voters, 0) || chr(9) || coalesce(num_misses, 0) AS line FROM r WHERE rank <= 3")
 def detect_print_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best detections of every video as lines, also those without counts, which the SQL leaves out."""
+    """The three best detections of every video as lines, 0 for an unknown count."""
     d = D.printable(_spans(spark, sf_dir), 3)
     return d.withColumn("rank", F.col("rank").cast("long"))
 
@@ -319,82 +320,172 @@ def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.vocabulary(T.terms(docs, "doc_id", "text", stem=True), "doc_id", docs.count())
 
 
-# frames: pixels made from the vectors (one frame of 16 x 16 per vector)
+# frames: 16 x 16 pixels made from the vectors
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id and a frame whose pixel at row y, column x is (17 y + 29 x + 3 id + x y) mod 256."""
-    return _made(spark, sf_dir, False)
+def frames(spark: SparkSession, sf_dir: str, color: bool = False) -> DataFrame:
+    """vec_id and a frame; the pixel at row y, column x is (floor(1000 |entry 16 y + x mod 64|) + 17 y + 29 x + x y) mod 256.
 
+    With color it is the red of the pixel; green is (2 red + 40 y) mod 256, blue (255 - red + 9 x) mod 256.
+    """
+    y, x = np.mgrid[0:16, 0:16]
 
-def _made(spark: SparkSession, sf_dir: str, color: bool) -> DataFrame:
     def run(batches):
-        y, x = np.mgrid[0:16, 0:16]
-        for pdf in batches:
-            images = [(17 * y + 29 * x + 3 * i + x * y) % 256 for i in pdf["vec_id"]]
-            if color:
-                images = [np.stack([v, 255 - v, 3 * v % 256], 2) for v in images]
-            yield pdf.assign(frame=[v.astype(float).tolist() for v in images])
+        for batch in batches:
+            flat = np.abs(batch.column(1).flatten().to_numpy()) * 1000
+            v = (np.floor(flat).astype(np.int64).reshape(-1, 64)[:, (16 * y + x) % 64] + 17 * y + 29 * x + x * y) % 256
+            made = np.stack([v, (2 * v + 40 * y) % 256, (255 - v + 9 * x) % 256], -1) if color else v
+            yield pa.RecordBatch.from_arrays([batch.column(0), P.image_lists(list(made), kind)], names=["vec_id", "frame"])
 
-    kind = "array<array<array<double>>>" if color else "array<array<double>>"
-    return read_table(spark, sf_dir, "embeddings").select("vec_id").transform(map_pandas, run, f"vec_id long, frame {kind}")
+    kind, text = P.image_type(color)
+    rows = read_table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.col("embedding").cast("array<double>"))
+    return rows.transform(map_arrow, run, f"vec_id long, frame {text}")
+
+
+_PIXELS = "WITH p AS (SELECT vec_id, y, x, (CAST(floor(abs(CAST(embedding[(16 * y + x) % 64 + 1] AS DOUBLE)) * 1000) AS BIGINT) + 17 * y + 29 * x + x * y) % 256 AS v FROM embeddings, range(16) a(y), range(16) b(x) WHERE len(embedding) = 64)"
+_COLORS = _PIXELS + ", c AS (SELECT vec_id, y, x, CAST(v AS DOUBLE) AS r, CAST((2 * v + 40 * y) % 256 AS DOUBLE) AS g, CAST((255 - v + 9 * x) % 256 AS DOUBLE) AS b FROM p)"
 
 
 def _entries(df: DataFrame, code: str) -> DataFrame:
     """One row per entry of the descriptor of every frame."""
     made = df.select("vec_id", P.extract(F.col("frame"), code).alias("d"))
-    return made.select("vec_id", F.posexplode("d").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
+    return made.select("vec_id", F.posexplode("d").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
-_PIXELS = "WITH p AS (SELECT vec_id, y, x, (17 * y + 29 * x + 3 * vec_id + x * y) % 256 AS v FROM embeddings, range(16) a(y), range(16) b(x))"
+def _rows(df: DataFrame, code: str, color: bool = False) -> DataFrame:
+    """One row per pixel of the transformed frames; with color per channel too."""
+    made = df.select("vec_id", P.transform(F.col("frame"), code, color).alias("t"))
+    made = made.select("vec_id", F.posexplode("t").alias("y", "r")).select("vec_id", "y", F.posexplode("r").alias("x", "value"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    if color:
+        return made.select("vec_id", long("y"), long("x"), F.posexplode("value").alias("channel", "value")).select("vec_id", "y", "x", long("channel"), "value")
+    return made.select("vec_id", long("y"), long("x"), (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query(_PIXELS + ", b AS (SELECT vec_id, y // 8 * 2 + x // 8 AS z, v // 64 AS b, count(*) / 64 AS n FROM p GROUP BY 1, 2, 3), g AS (SELECT vec_id, z, b FROM (SELECT vec_id FROM embeddings), range(4) q(z), range(4) r(b)) SELECT vec_id, z * 4 + b AS dim, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM g LEFT JOIN b USING (vec_id, z, b)")
-def px_histgray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey histograms of four zones."""
-    return _entries(frames(spark, sf_dir), "HISTGRAY_2x2_4")
+def _image_query(name: str, code: str, sql: str | None = None, color: bool = False) -> None:
+    """Registers the descriptor (px_) or transformation (tr_) ``code`` of every frame."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = frames(spark, sf_dir, color)
+        return _entries(df, code) if name.startswith("px") else _rows(df, code, color and code.startswith("COLOR"))
 
-@query(_PIXELS + ", m AS (SELECT vec_id, y // 4 * 4 + x // 4 AS z, avg(v) AS v FROM p GROUP BY 1, 2) SELECT vec_id, z AS dim, v AS value FROM m")
-def px_kf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames shrunk to 4 x 4."""
-    return _entries(frames(spark, sf_dir), "KF_4x4")
+    run.__doc__ = f"{code} of every frame."
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
 
 
-@query(_PIXELS + ", m AS (SELECT vec_id, y // 4 * 4 + x // 4 AS z, floor(avg(v) / 4 + 0.5) AS v FROM p GROUP BY 1, 2), r AS (SELECT vec_id, z, row_number() OVER (PARTITION BY vec_id ORDER BY v, z) - 1 AS r FROM m) SELECT vec_id, z AS dim, CAST(r AS DOUBLE) AS value FROM r")
-def px_omd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of 16 zones by brightness."""
-    return _entries(frames(spark, sf_dir), "OMD_4x4")
+_DIM = " SELECT vec_id, CAST({dim} AS BIGINT) AS dim, round(CAST({value} AS DOUBLE), 6) + 0.0 AS value FROM "
+_PIX = " SELECT vec_id, y, x, round(CAST({value} AS DOUBLE), 6) + 0.0 AS value FROM "
+_IDS = "(SELECT DISTINCT vec_id FROM p)"
+_BYTE = "greatest(0, least(255, floor(round(CAST({} AS DOUBLE), 6) + 0.5)))"
 
 
-def _register(prefix: str, codes: dict[str, str]) -> None:
-    for name, code in codes.items():
+def _dims(value: str, source: str, dim: str = "z") -> str:
+    return _DIM.format(dim=dim, value=value) + source
 
-        def run(spark: SparkSession, sf_dir: str, code=code) -> DataFrame:
-            df = frames(spark, sf_dir)
-            return _entries(df, code) if prefix == "px" else df.select("vec_id", P.transform(F.col("frame"), code).alias("frame"))
 
-        run.__doc__ = f"{code} of every frame."
-        QUERIES[f"{prefix}_{name}"] = run
+def _pixel_sql(value: str, source: str) -> str:
+    return _PIX.format(value=value) + source
 
 
-_register("px", {"ehd": "EHD_2x2_8x8_10", "edges": "EDGES_8x8_10", "gdh": "GDH_2x2_8_20", "hampapur": "HAMP_4x4_40", "canny": "CANNY_16x16_50_100"})
-_register(
-    "tr",
-    {"gray": "GRAY_0.5_10", "equalize": "EQUALIZE", "crop": "CROP_8x8", "filter_median": "MEDIAN_3x3", "filter_avg": "AVG_3x3", "erode": "ERODE_3x3", "dilate": "DILATE_3x3", "sobel": "SOBEL", "laplace": "LAPLACE", "dog": "DOG_0.8_1.6", "canny": "CANNY_50_100", "rotate": "ROTATE_90", "flip": "HFLIP", "resize": "RESIZE_8x8", "noise": "NOISE_0.1_0.1_7", "threshold": "THRESHOLD_0", "crop_black": "CROPBLACK"},
-)
+def _counted(cells: str, bins: int, share: str) -> str:
+    """Shares n of every bin b of every zone z, from rows (vec_id, z, b)."""
+    return f", h AS ({cells}), k AS (SELECT vec_id, z, b, {share} AS n FROM h GROUP BY 1, 2, 3), g AS (SELECT vec_id, z, b, coalesce(n, 0) AS n FROM {_IDS} i CROSS JOIN (SELECT DISTINCT z FROM h) q CROSS JOIN range({bins}) r(b) LEFT JOIN k USING (vec_id, z, b))"
 
 
-@query()
-def px_histcolor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joint colour histograms."""
-    return _entries(_made(spark, sf_dir, True), "HISTCOLOR_1x1_2x2x2")
+_QUARTER = "y // 8 * 2 + x // 8"
+_image_query("px_histgray", "HISTGRAY_2x2_8F_4", _PIXELS + _counted(f"SELECT vec_id, {_QUARTER} AS z, v // 64 AS b FROM p", 4, "count(*) / 64") + _dims("n", "g", "z * 4 + b"))
+_image_query("px_histgray_zones", "HISTGRAY_1x1+2x2_1U_4", _PIXELS + _counted(f"SELECT vec_id, 0 AS z, v // 64 AS b FROM p UNION ALL SELECT vec_id, 1 + {_QUARTER}, v // 64 FROM p", 4, "count(*) / (CASE WHEN z = 0 THEN 256 ELSE 64 END)") + _dims("ceil(round(n * 255, 9))", "g", "z * 4 + b"))
+_image_query("px_kf", "KF_4x4_GRAY_8F", _PIXELS + ", m AS (SELECT vec_id, y // 4 * 4 + x // 4 AS z, avg(v) AS v FROM p GROUP BY 1, 2)" + _dims("v", "m"))
+_image_query("px_omd", "OMD_4x4", _PIXELS + ", m AS (SELECT vec_id, y // 4 * 4 + x // 4 AS z, floor(avg(v) / 4 + 0.5) AS v FROM p GROUP BY 1, 2), r AS (SELECT vec_id, z, row_number() OVER (PARTITION BY vec_id ORDER BY v, z) - 1 AS r FROM m)" + _dims("r", "r"))
 
+# The kernels of the edge histograms as SQL over the corners a b / c d of a block.
+_FIVE = ["a - b + c - d", "a + b - c - d", "sqrt(2) * a - sqrt(2) * d", "sqrt(2) * b - sqrt(2) * c", "2 * a - 2 * b - 2 * c + 2 * d"]
+_TEN = ["b - a + d - c", _FIVE[3], _FIVE[1], _FIVE[2], _FIVE[0], "sqrt(2) * c - sqrt(2) * b", "c + d - a - b", "sqrt(2) * d - sqrt(2) * a", _FIVE[4], "2 * b + 2 * c - 2 * a - 2 * d"]
 
-@query()
-def px_histbychannel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histograms of each channel."""
-    return _entries(_made(spark, sf_dir, True), "HISTBYCHANNEL_1x1_4")
+
+def _edge_sql(kernels: list[str], size: int, threshold: float, absolute: bool) -> str:
+    """m: of every block (yy, xx) of 2 x 2 cells of size x size pixels the number k of its strongest kernel, or -1."""
+    strength = "[" + ", ".join(f"round({f'abs({k})' if absolute else k}, 9)" for k in kernels) + "]"
+    cell = f"CAST(y // {size} AS BIGINT)", f"CAST(x // {size} AS BIGINT)"
+    corner = lambda i, j: f"max(CASE WHEN cy % 2 = {i} AND cx % 2 = {j} THEN v END)"
+    return f", cells AS (SELECT vec_id, {cell[0]} AS cy, {cell[1]} AS cx, avg(v) AS v FROM p GROUP BY 1, 2, 3), q AS (SELECT vec_id, cy // 2 AS yy, cx // 2 AS xx, {corner(0, 0)} AS a, {corner(0, 1)} AS b, {corner(1, 0)} AS c, {corner(1, 1)} AS d FROM cells GROUP BY 1, 2, 3), s AS (SELECT vec_id, yy, xx, {strength} AS s FROM q), m AS (SELECT vec_id, yy, xx, CASE WHEN list_max(s) >= {threshold} THEN {len(kernels)} - list_position(list_reverse(s), list_max(s)) ELSE -1 END AS k FROM s)"
+
+
+def _ehd_sql(kernels: list[str], absolute: bool) -> str:
+    n = len(kernels)
+    return _PIXELS + _edge_sql(kernels, 1, 10, absolute) + f", k AS (SELECT vec_id, yy // 4 * 2 + xx // 4 AS z, k, count(*) AS n FROM m WHERE k >= 0 GROUP BY 1, 2, 3), t AS (SELECT vec_id, z, sum(n) AS t FROM k GROUP BY 1, 2), g AS (SELECT vec_id, z, b, coalesce(n, 0) / greatest(coalesce(t, 1), 1) AS n FROM {_IDS} i CROSS JOIN range(4) q(z) CROSS JOIN range({n}) r(b) LEFT JOIN k ON k.vec_id = i.vec_id AND k.z = q.z AND k.k = r.b LEFT JOIN t ON t.vec_id = i.vec_id AND t.z = q.z)".replace("SELECT vec_id, z, b, coalesce(n", "SELECT i.vec_id, q.z, b, coalesce(n") + _dims("n", "g", f"z * {n} + b")
+
+
+_image_query("px_ehd", "EHD_2x2_4x4_10_K5_ABS_8F", _ehd_sql(_FIVE, True))
+_image_query("px_ehd_ten", "EHD_2x2_4x4_10_K10_8F", _ehd_sql(_TEN, False))
+_image_query("px_edges", "EDGES_4x4_10_K5_ABS", _PIXELS + _edge_sql(_FIVE, 2, 10, True) + _dims("k", "m", "yy * 4 + xx"))
+_image_query("px_edges_ten", "EDGES_4x4_10_K10", _PIXELS + _edge_sql(_TEN, 2, 10, False) + _dims("k", "m", "yy * 4 + xx"))
+
+#: n: every pixel with those around it (dy, dx; borders repeated).
+_AROUND = ", n AS (SELECT a.vec_id, a.y, a.x, dy - 1 AS dy, dx - 1 AS dx, b.v FROM p a CROSS JOIN range(3) s(dy) CROSS JOIN range(3) t(dx) JOIN p b ON b.vec_id = a.vec_id AND b.y = greatest(0, least(15, a.y + dy - 1)) AND b.x = greatest(0, least(15, a.x + dx - 1)))"
+_GRADIENT = _AROUND + ", d AS (SELECT vec_id, y, x, CAST(sum(v * dx * (2 - abs(dy))) AS DOUBLE) AS gx, CAST(sum(v * dy * (2 - abs(dx))) AS DOUBLE) AS gy FROM n GROUP BY 1, 2, 3)"
+
+
+def _near(value: str) -> str:
+    return _PIXELS + _AROUND + f", o AS (SELECT vec_id, y, x, {value} AS w FROM n GROUP BY 1, 2, 3)" + _pixel_sql("w", "o")
+
+
+_PI = "3.141592653589793"
+_TURN = f"(CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + {_PI} WHEN atan2(gy, gx) >= {_PI} THEN 0 ELSE atan2(gy, gx) END)"
+_image_query("px_gdh", "GDH_2x2_8_20", _PIXELS + _GRADIENT + _counted(f"SELECT vec_id, {_QUARTER} AS z, CASE WHEN sqrt(gx * gx + gy * gy) > 20 THEN least(7, CAST(floor({_TURN} / {_PI} * 8) AS BIGINT)) ELSE -1 END AS b FROM d", 8, "count(*) / 64") + _dims("n", "g", "z * 8 + b"))
+_image_query("px_hampapur", "HAMP_4x4_40", _PIXELS + _GRADIENT + ", z AS (SELECT vec_id, y // 4 * 4 + x // 4 AS z, avg(CASE WHEN sqrt(gx * gx + gy * gy) > 40 THEN x % 4 END) AS mx, avg(CASE WHEN sqrt(gx * gx + gy * gy) > 40 THEN y % 4 END) AS my FROM d GROUP BY 1, 2), u AS (SELECT vec_id, 2 * z AS z, coalesce((mx + 0.5) / 4, 0.5) AS v FROM z UNION ALL SELECT vec_id, 2 * z + 1, coalesce((my + 0.5) / 4, 0.5) FROM z)" + _dims("v", "u"))
+_image_query("px_canny", "CANNY_16x16_50_100")
+
+_image_query("tr_gray", "GRAY_c1/2_b-40_ABS_t30", _PIXELS + _pixel_sql(f"CASE WHEN {_BYTE.format('abs(v * 0.5 - 40)')} > 30 THEN 255 ELSE 0 END", "p"))
+_image_query("tr_gray_erode", "GRAY_ERODE_DILATE", _PIXELS + _AROUND + ", e AS (SELECT vec_id, y, x, min(v) AS v FROM n WHERE dx * dy = 0 GROUP BY 1, 2, 3), f AS (SELECT a.vec_id, a.y, a.x, max(b.v) AS w FROM e a CROSS JOIN range(3) s(dy) CROSS JOIN range(3) t(dx) JOIN e b ON b.vec_id = a.vec_id AND b.y = greatest(0, least(15, a.y + dy - 1)) AND b.x = greatest(0, least(15, a.x + dx - 1)) WHERE (dx - 1) * (dy - 1) = 0 GROUP BY 1, 2, 3)" + _pixel_sql("w", "f"))
+_image_query("tr_equalize", "EQUALIZE", _PIXELS + ", k AS (SELECT vec_id, v, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT vec_id, v, sum(n) OVER (PARTITION BY vec_id ORDER BY v) AS t FROM k), f AS (SELECT vec_id, min(t) AS f FROM t GROUP BY 1)" + _pixel_sql(_BYTE.format("(t - f) / greatest(1, 256 - f) * 255"), "(SELECT p.vec_id, y, x, t, f FROM p JOIN t USING (vec_id, v) JOIN f USING (vec_id))"))
+_image_query("tr_crop", "CROP_8x8", _PIXELS + " SELECT vec_id, y - 4 AS y, x - 4 AS x, CAST(v AS DOUBLE) AS value FROM p WHERE y BETWEEN 4 AND 11 AND x BETWEEN 4 AND 11")
+_image_query("tr_filter_median", "FILTER_3x3_MEDIAN", _near("median(v)"))
+_image_query("tr_filter_avg", "FILTER_3x3_AVG", _near(_BYTE.format("sum(v) / 9.0::DOUBLE")))
+_image_query("tr_filter_kernel", "FILTER_3x3_1/4,-1,1/4,-1,2,-1,1/4,-1,1/4,ABS,MAX,512_ADD", _near("least(255, max(CASE WHEN dx = 0 AND dy = 0 THEN v END) + " + _BYTE.format("abs(sum(v * (CASE WHEN dx = 0 AND dy = 0 THEN 2 WHEN dx * dy = 0 THEN -1 ELSE 0.25 END))) * 0.5") + ")"))
+_image_query("tr_erode", "FILTER_3x3_MIN", _near("min(v)"))
+_image_query("tr_dilate", "FILTER_3x3_MAX", _near("max(v)"))
+_image_query("tr_sobel", "SOBEL", _PIXELS + _GRADIENT + _pixel_sql(_BYTE.format("sqrt(gx * gx + gy * gy)"), "d"))
+_image_query("tr_sobel_approx", "SOBEL_120_APROX", _PIXELS + _GRADIENT + _pixel_sql("CASE WHEN abs(gx) + abs(gy) >= 120 THEN 255 ELSE 0 END", "d"))
+_image_query("tr_laplace", "LAPLACE", _near(_BYTE.format("abs(sum(v * (CASE WHEN dx = 0 AND dy = 0 THEN -4 WHEN dx * dy = 0 THEN 1 ELSE 0 END)))")))
+_image_query("tr_rotate", "ROTATE_90", _PIXELS + " SELECT vec_id, x AS y, 15 - y AS x, CAST(v AS DOUBLE) AS value FROM p")
+_image_query("tr_flip", "ROTATE_HFLIP", _PIXELS + " SELECT vec_id, y, 15 - x AS x, CAST(v AS DOUBLE) AS value FROM p")
+_image_query("tr_resize", "RESIZE_8x8", _PIXELS + " SELECT vec_id, y // 2 AS y, x // 2 AS x, avg(v) + 0.0 AS value FROM p GROUP BY 1, 2, 3")
+_image_query("tr_threshold", "THRESHOLD_0", _PIXELS + ", k AS (SELECT vec_id, v, count(*) AS n FROM p GROUP BY 1, 2), c AS (SELECT vec_id, v, CAST(sum(n) OVER w AS DOUBLE) AS w, CAST(sum(n * v) OVER w AS DOUBLE) AS m, CAST(sum(n * v) OVER (PARTITION BY vec_id) AS DOUBLE) AS total FROM k WINDOW w AS (PARTITION BY vec_id ORDER BY v)), o AS (SELECT vec_id, arg_min(v, (-round(power(total * w / 256 - m, 2) / (w * (256 - w)), 6), v)) AS cut FROM c WHERE w < 256 GROUP BY 1)" + _pixel_sql("CASE WHEN v > cut THEN 255 ELSE 0 END", "(SELECT p.vec_id, y, x, v, cut FROM p JOIN o USING (vec_id))"))
+_image_query("tr_crop_black", "CROPBLACK", _PIXELS + ", r AS (SELECT vec_id, min(y) AS a, max(y) AS b FROM (SELECT vec_id, y FROM p GROUP BY 1, 2 HAVING avg(CASE WHEN v > 16 THEN 1 ELSE 0 END) > 0.125) GROUP BY 1), c AS (SELECT vec_id, min(x) AS d, max(x) AS e FROM (SELECT vec_id, x FROM p GROUP BY 1, 2 HAVING avg(CASE WHEN v > 16 THEN 1 ELSE 0 END) > 0.125) GROUP BY 1) SELECT vec_id, y - a AS y, x - d AS x, CAST(v AS DOUBLE) AS value FROM p JOIN r USING (vec_id) JOIN c USING (vec_id) WHERE y BETWEEN a AND b AND x BETWEEN d AND e")
+_image_query("tr_template", "TEMPLATE_100_3x3_128", _PIXELS + ", t AS (SELECT vec_id, b.y AS ty, a.x AS tx, round(avg(abs(p.v - 128)), 9) AS d FROM p JOIN (SELECT range * 3 AS y FROM range(5)) b ON p.y BETWEEN b.y AND b.y + 2 JOIN (SELECT range * 3 AS x FROM range(5)) a ON p.x BETWEEN a.x AND a.x + 2 GROUP BY 1, 2, 3), f AS (SELECT vec_id, arg_min(ty, (d, ty, tx)) AS ty, arg_min(tx, (d, ty, tx)) AS tx FROM t WHERE d < 100 GROUP BY 1)" + _pixel_sql("CASE WHEN y BETWEEN ty AND ty + 2 AND x BETWEEN tx AND tx + 2 THEN 0 ELSE v END", "(SELECT p.*, ty, tx FROM p LEFT JOIN f USING (vec_id))"))
+for _n, _c in {"canny": "CANNY_50_100", "dog": "DOG_0.8_1.6", "noise": "NOISE_0.1_0.1_7", "pca": "PCA_40"}.items():
+    _image_query(f"tr_{_n}", _c)
+
+# colours
+
+_LIGHT = "(CASE WHEN yy > 0.008856 THEN 116 * cbrt(yy) - 16 ELSE 903.3 * yy END)"
+_TOXYZ = ", w AS (SELECT vec_id, y, x, 0.412453::DOUBLE * r + 0.357580::DOUBLE * g + 0.180423::DOUBLE * b AS xx, 0.212671::DOUBLE * r + 0.715160::DOUBLE * g + 0.072169::DOUBLE * b AS yy, 0.019334::DOUBLE * r + 0.119193::DOUBLE * g + 0.950227::DOUBLE * b AS zz FROM c)"
+_TOONE = _TOXYZ + ", o AS (SELECT vec_id, y, x, xx / 255 AS xx, yy / 255 AS yy, zz / 255 AS zz FROM w)"
+_SPAN = ", w AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM c), o AS (SELECT *, top - low AS d, CASE WHEN top = low THEN 0 WHEN top = r THEN 60 * (g - b) / (top - low) WHEN top = g THEN 120 + 60 * (b - r) / (top - low) ELSE 240 + 60 * (r - g) / (top - low) END AS t FROM w), s AS (SELECT *, (CASE WHEN t < 0 THEN t + 360 ELSE t END) / 2 AS hue FROM o)"
+_HUE = "floor(round(hue, 6) + 0.5) % 180"
+
+
+def _channels_sql(prefix: str, one: str, two: str, three: str, source: str) -> str:
+    return _COLORS + prefix + f", z AS (SELECT vec_id, y, x, unnest([0, 1, 2]) AS channel, unnest([CAST({one} AS DOUBLE), CAST({two} AS DOUBLE), CAST({three} AS DOUBLE)]) AS v FROM {source}) SELECT vec_id, y, x, CAST(channel AS BIGINT) AS channel, {_BYTE.format('v')} + 0.0 AS value FROM z"
+
+
+def _lab(t: str) -> str:
+    return f"(CASE WHEN {t} > 0.008856 THEN cbrt({t}) ELSE 7.787 * {t} + 16.0::DOUBLE / 116 END)"
+
+
+_image_query("tr_color_ycrcb", "COLOR_YCRCB", _channels_sql(", w AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM c)", "l", "(r - l) * 0.713 + 128", "(b - l) * 0.564 + 128", "w"), True)
+_image_query("tr_color_xyz", "COLOR_XYZ", _channels_sql(_TOXYZ, "xx", "yy", "zz", "w"), True)
+_image_query("tr_color_hsv", "COLOR_HSV", _channels_sql(_SPAN, _HUE, "CASE WHEN top > 0 THEN 255 * d / top ELSE 0 END", "top", "s"), True)
+_image_query("tr_color_hls", "COLOR_HLS", _channels_sql(_SPAN, _HUE, "(top + low) / 2", "CASE WHEN d > 0 THEN d / (CASE WHEN top + low < 255 THEN top + low ELSE 510 - top - low END) * 255 ELSE 0 END", "s"), True)
+_image_query("tr_color_lab", "COLOR_LAB", _channels_sql(_TOONE, f"{_LIGHT} * 255 / 100", f"500 * ({_lab('(xx / 0.950456)')} - {_lab('yy')}) + 128", f"200 * ({_lab('yy')} - {_lab('(zz / 1.088754)')}) + 128", "o"), True)
+_image_query("tr_color_luv", "COLOR_LUV", _channels_sql(_TOONE + ", s AS (SELECT *, CASE WHEN xx + 15 * yy + 3 * zz > 0 THEN xx + 15 * yy + 3 * zz ELSE 1 END AS d FROM o)", f"{_LIGHT} * 255 / 100", f"(13 * {_LIGHT} * (4 * xx / d - 0.19793943) + 134) * 255 / 354", f"(13 * {_LIGHT} * (9 * yy / d - 0.46831096) + 140) * 255 / 262", "s"), True)
+_image_query("px_histcolor", "HISTCOLOR_1x1_8F_RGB_2x2x2", _COLORS + _counted("SELECT vec_id, 0 AS z, CAST(r AS BIGINT) // 128 * 4 + CAST(g AS BIGINT) // 128 * 2 + CAST(b AS BIGINT) // 128 AS b FROM c", 8, "count(*) / 256") + _dims("n", "g", "b"), True)
+_image_query("px_histcolor_hsv", "HISTCOLOR_1x1_8F_HSV_3x2x2", _COLORS + _SPAN + _counted(f"SELECT vec_id, 0 AS z, least(2, CAST({_HUE} AS BIGINT) * 3 // 180) * 4 + CAST({_BYTE.format('CASE WHEN top > 0 THEN 255 * d / top ELSE 0 END')} AS BIGINT) // 128 * 2 + CAST(top AS BIGINT) // 128 AS b FROM s", 12, "count(*) / 256") + _dims("n", "g", "b"), True)
+_image_query("px_histbychannel", "HISTBYCHANNEL_1x1_RGB_4+2+2_8F", _COLORS + _counted("SELECT vec_id, 0 AS z, CAST(r AS BIGINT) // 64 AS b FROM c UNION ALL SELECT vec_id, 0, 4 + CAST(g AS BIGINT) // 128 FROM c UNION ALL SELECT vec_id, 0, 6 + CAST(b AS BIGINT) // 128 FROM c", 8, "count(*) / 256") + _dims("n", "g", "b"), True)
+_image_query("px_kf_color", "KF_2x2_YCRCB_1U", _COLORS + ", w AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM c), o AS (SELECT vec_id, " + _QUARTER + " AS z, " + ", ".join(f"avg({_BYTE.format(v)}) AS c{i}" for i, v in enumerate(("l", "(r - l) * 0.713 + 128", "(b - l) * 0.564 + 128"))) + " FROM w GROUP BY 1, 2), u AS (SELECT vec_id, z * 3 + unnest([0, 1, 2]) AS z, unnest([c0, c1, c2]) AS v FROM o)" + _dims(_BYTE.format("v"), "u"), True)
 
 
 @query(_PIXELS + ", s AS (SELECT vec_id % 7 AS file, y, x, avg(v) AS mean, var_pop(v) AS variance FROM p GROUP BY 1, 2, 3) SELECT file, y, x, round(mean, 6) AS mean, round(variance, 4) AS variance FROM s")
@@ -404,13 +495,17 @@ def px_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_stats(f, "file", "frame").select("file", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
-@query()
+_STATIC = _PIXELS + ", s AS (SELECT vec_id % 7 AS file, y, x, CASE WHEN var_pop(v) > 6000 THEN 1 ELSE 0 END AS m FROM p GROUP BY 1, 2, 3), r AS (SELECT file, min(y) AS top, max(y) AS bottom FROM (SELECT file, y FROM s GROUP BY 1, 2 HAVING avg(m) > 0.125) GROUP BY 1), c AS (SELECT file, min(x) AS \"left\", max(x) AS \"right\" FROM (SELECT file, x FROM s GROUP BY 1, 2 HAVING avg(m) > 0.125) GROUP BY 1) SELECT file, top, bottom, \"left\", \"right\" FROM r JOIN c USING (file)"
+
+
+@query(_STATIC)
 def tr_crop_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rectangle of every file that changes over time."""
-    return static_crop(pixel_stats(frames(spark, sf_dir).withColumn("file", F.col("vec_id") % 7), "file", "frame"), "file")
+    out = static_crop(pixel_stats(frames(spark, sf_dir).withColumn("file", F.col("vec_id") % 7), "file", "frame"), "file", 6000.0)
+    return out.select("file", *(F.col(c).cast("long").alias(c) for c in ("top", "bottom", "left", "right")))
 
 
-@query()
+@query("WITH k AS (SELECT vec_id, k, k * 11.0 AS d FROM embeddings, range(30) r(k)) SELECT vec_id, count(*) AS matches, count(*) FILTER (k % 3 <> 0 OR abs(d - 5) <= 2) AS inliers FROM k GROUP BY 1")
 def ransac_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of keypoints that agree with one shift; keypoints and outliers made from ids."""
     ids = read_table(spark, sf_dir, "embeddings").select("vec_id")

@@ -194,8 +194,16 @@ def test_pixels(spark):
     assert P.ordinal(ramp, 2, 2).tolist() == [0, 1, 2, 3] and P.ordinal(np.zeros((4, 4)), 2, 2).tolist() == [0, 1, 2, 3]
     step = np.zeros((8, 8))
     step[:, 4:] = 200
-    assert P.edges(step[:, 3:5], 1, 1).tolist() == [0] and P.edges(step.T[3:5], 1, 1).tolist() == [1] and P.edges(np.zeros((2, 2)), 1, 1).tolist() == [-1]
-    assert P.edge_histogram(step, 1, 1, 8, 8).shape == (5,) and P.gradient_histogram(step, 1, 1, 4)[0] > 0
+    both = dict(absolute=True)
+    assert P.edges(step[:, 3:5], 1, 1, **both).tolist() == [0] and P.edges(step.T[3:5], 1, 1, **both).tolist() == [1] and P.edges(np.zeros((2, 2)), 1, 1).tolist() == [-1]
+    assert P.edges(step[:, 3:5], 1, 1).tolist() == [3] and P.edges(step[:, 3:5], 1, 1, kernels=10).tolist() == [0] and P.edges(255 - step[:, 3:5], 1, 1, kernels=10).tolist() == [4]
+    assert P.edge_histogram(step, 1, 1, 4, 4, **both).tolist() == [0] * 5 and P.edge_histogram(step[:, 1:7], 1, 1, 3, 4, **both).tolist() == [1, 0, 0, 0, 0]
+    assert P.quantize(np.array([0, 0.001, 0.5, 1]), "1U").tolist() == [0, 1, 128, 255] and P.quantize(np.array([0.001]), "R1U").tolist() == [0]
+    red = np.zeros((1, 1, 3))
+    red[..., 0] = 255
+    assert P.color_space(red, "HSV").ravel().tolist() == [0, 255, 255] and P.color_space(red, "HLS").ravel().tolist() == [0, 128, 255] and P.color_space(red, "LAB").ravel().tolist() == [136, 208, 195]
+    assert P.gray_chain(step, ["c1/2", "b10", "t100"]).max() == 255 and P.gray_chain(step, ["ERODE"]).sum() == 200 * 24 and P.straighten(step) is step
+    assert P.mark_template(ramp, ramp[3:6, 3:6], 1.0)[3:6, 3:6].sum() == 0 and P.gradient_histogram(step, 1, 1, 4)[0] > 0
     assert P.canny(step).any() and not P.canny(np.zeros((8, 8))).any() and P.canny_bits(step, 8, 8).shape == (8,)
     assert P.edge_centroids(np.zeros((8, 8)), 2, 2).tolist() == [0.5] * 8
     color = np.stack([step, step, 255 - step], 2)
