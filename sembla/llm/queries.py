@@ -122,10 +122,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "eval_items")
+    return leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of an evaluation item, with the item."""
-    items = read_table(spark, sf_dir, "eval_items")
-    return leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).where("literal").select("doc_id", "item_id")
+
+
+def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with passages that ask an item again with other values: words, words that differ, and whether it is literal."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", F.col("words").cast("long").alias("words"), F.col("changed").cast("long").alias("changed"), "literal")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,5 +148,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_personal(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "name_lexicon"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_templates": p8_templates, "p9_found": p9_found, "p9_redacted": p9_redacted}
 SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}

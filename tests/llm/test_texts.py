@@ -56,7 +56,7 @@ def leaks(spark, docs, **kw):
     return {(r.doc, r.item) for r in L.leaked_items(df, "doc", "text", items, "item", "text", **kw).collect()}
 
 
-@pytest.mark.parametrize("limit", [L.BROADCAST_WINDOWS, 5])
+@pytest.mark.parametrize("limit", [L.BROADCAST_WORDS, 5])
 def test_leaks(spark, limit):
     w = ITEM.split()
     changed = w.copy()
@@ -65,9 +65,34 @@ def test_leaks(spark, limit):
         (1, "so " + " ".join(w[3:20]) + " end"), (2, " ".join(w[:6])), (3, " ".join(sorted(w))), (4, " ".join(changed)), (5, None), (6, ""),
         (7, ITEM.upper().replace("A", "А").replace(" THE ", " <b>THE</b> ")), (8, "> " + "\n> ".join(" ".join(w[i : i + 4]) for i in range(0, 24, 4))),
         (9, " ".join(x if i % 3 else "zzz" for i, x in enumerate(w))), (10, ITEM + " and then " + OTHER), (11, ITEM.replace("lantern", "lan-\ntern")), (1, "so " + " ".join(w[3:20]) + " end"),
-        (12, "word " * 20_000 + ITEM),
+        (12, "word " * 20_000 + ITEM), (None, "see [" + ITEM + "] or <" + OTHER + ">"),
     ]
-    assert leaks(spark, docs, broadcast_windows=limit) == {(1, 1), (4, 1), (7, 1), (8, 1), (10, 1), (10, 2), (11, 1), (12, 1)}
+    assert leaks(spark, docs, broadcast_words=limit) == {(1, 1), (4, 1), (7, 1), (8, 1), (10, 1), (10, 2), (11, 1), (12, 1), (None, 1), (None, 2)}
+
+
+def test_markup_goes_and_bracketed_text_stays():
+    assert L.words_of('[quote=ann]A <b>bold</b> <a href="x y">link</a>[/quote] [a plain remark] <note to self> <i kept> [b]w[/b]ord</p><p>next') == "a bold link a plain remark note to self i kept word next".split()
+
+
+def test_asked_again_with_other_values(spark):
+    """The slots of a passage are filled anew: found when the filling is consistent, and not counted as literal."""
+    templates = [f"When {{0}} lends {{1}} coins to {{2}} and {{2}} keeps {{1}} coins how many coins does {{0}} want from {{2}} after the {w} week" for w in ("first", "second", "third")]
+    name = lambda i: "Teb" + "abcdefghijklmnopqrstuvwxyz"[i] + "rok"
+    items = [(i, templates[i % 3].format(name(2 * i), 10 + i, name(2 * i + 1))) for i in range(12)]
+    again = templates[0].format("Plirt", 777, "Grabo")
+    mixed = "When Plirt lends 777 coins to Grabo and Hosk keeps 12 coins how many coins does Unda want from Rild after the first week"
+    docs = spark.createDataFrame([(1, again), (2, mixed), (3, items[0][1])], "doc long, text string")
+    rows = L.leaked_items(docs, "doc", "text", spark.createDataFrame(items, "item long, text string"), "item", "text").collect()
+    assert {r.doc for r in rows if not r.literal and r.doc < 3} == {1} and (3, 0) in {(r.doc, r.item) for r in rows if r.literal}
+
+
+def test_longest_stretch_like_every_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x = rng.random(rng.integers(1, 40)) < rng.uniform(0.3, 1)
+        every = [(b - a, a, b) for a in range(len(x)) for b in range(a, len(x)) if x[a] and x[b] and x[a : b + 1].sum() - 5 * (~x[a : b + 1]).sum() >= 0]
+        found = L._longest(x, 5)
+        assert (found is None) == (not every) and (not every or found[1] - found[0] == max(every)[0])
 
 
 def test_leaks_empty(spark):
