@@ -137,9 +137,17 @@ class Templates:
             at = np.flatnonzero(room >= width)
             anchored = anchors[at + width] - anchors[at] >= ANCHORS
             # a bound window says which values fill its slots; without an anchor or slot it says nothing
-            # and a template one needs anchors, or fixed words only
-            slotted = slots[at + width] > slots[at]
-            at = at[anchored | slotted] if not kind else at[anchored | ~slotted]
+            # and a template one needs anchors, or different fixed words but for one slot at most
+            filled = slots[at + width] - slots[at]
+            good = anchored | (filled > 0) if not kind else anchored
+            if kind:
+                some = np.flatnonzero(~anchored & (filled <= 1))
+                many = np.ones(len(some), bool)
+                for j in range(width):
+                    for k in range(j):
+                        many &= code[at[some] + j] != code[at[some] + k]
+                good[some[many]] = True
+            at = at[good]
             h = np.full(len(at), 0x9E3779B97F4A7C15 + kind, np.uint64)
             with np.errstate(over="ignore"):
                 for j in range(width):

@@ -76,14 +76,15 @@ def test_markup_goes_and_bracketed_text_stays():
 
 def test_asked_again_with_other_values(spark):
     """The slots of a passage are filled anew: found when the filling is consistent, and not counted as literal."""
-    templates = [f"When {{0}} lends {{1}} coins to {{2}} and {{2}} keeps {{1}} coins how many coins does {{0}} want from {{2}} after the {w} week" for w in ("first", "second", "third")]
+    templates = [f"When {{0}} lends {{1}} coins to {{2}} the {{2}} hands {{1}} coins back and {{0}} owes {{2}} how many of {{1}} coins in the {w} week" for w in ("first", "second", "third")]
     name = lambda i: "Teb" + "abcdefghijklmnopqrstuvwxyz"[i] + "rok"
     items = [(i, templates[i % 3].format(name(2 * i), 10 + i, name(2 * i + 1))) for i in range(12)]
     again = templates[0].format("Plirt", 777, "Grabo")
-    mixed = "When Plirt lends 777 coins to Grabo and Hosk keeps 12 coins how many coins does Unda want from Rild after the first week"
+    mixed = "When Plirt lends 777 coins to Grabo the Hosk hands 12 coins back and Unda owes Rild how many of 45 coins in the first week"
     docs = spark.createDataFrame([(1, again), (2, mixed), (3, items[0][1])], "doc long, text string")
     rows = L.leaked_items(docs, "doc", "text", spark.createDataFrame(items, "item long, text string"), "item", "text").collect()
-    assert {r.doc for r in rows if not r.literal and r.doc < 3} == {1} and (3, 0) in {(r.doc, r.item) for r in rows if r.literal}
+    assert {(r.doc, r.item): r.words for r in rows if not r.literal}[1, 0] == 26 and all(r.words < 20 for r in rows if r.doc == 2)
+    assert (3, 0) in {(r.doc, r.item) for r in rows if r.literal}
 
 
 def test_longest_stretch_like_every_stretch():
