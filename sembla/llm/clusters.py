@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sembla.llm.groups import _propagate
-from sembla.llm.neighbours import distinct_vectors, pack, window_neighbours
+from sembla.llm.groups import _propagate, smallest_linked, symmetric
+from sembla.llm.neighbours import NEAR, distinct_vectors, pack, window_neighbours
 from sembla.llm.topn import top_n
 from sembla.session import drop_table, map_arrow, write_table
 
-#: A graph of at most so many edges is finished by one task; beyond, by further distributed rounds.
+#: After the first distributed round, a graph of at most so many edges is finished by one task; beyond, by further rounds.
 LOCAL_EDGES = 1_000_000
 #: Edges that a region takes up before it drops what the cycle rule excludes.
 BLOCK = 1_000_000
@@ -44,21 +45,31 @@ class _Union:
 
 
 def _forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Indices of the minimum spanning forest of the edges (a, b); ties by the ends (low, high) the edge had at first."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)].tolist(), ends[len(a) :].tolist()
-    sets = _Union(len(nodes))
-    find, up = sets.find, sets.up
-    kept = []
-    for i in np.lexsort((high, low, w)).tolist():
-        p, q = find(x[i]), find(y[i])
-        if p != q:
-            if p < q:
-                up[q] = p
-            else:
-                up[p] = q
-            kept.append(i)
-    return np.array(kept, np.int64)
+    """Indices of the minimum spanning forest of the edges (a, b), by Borůvka rounds; ties by the ends (low, high) the edge had at first.
+
+    Edges of one (w, low, high) are one edge. With them in order, the first edge of every component is
+    its cheapest; these edges make no cycle, as their order is strict.
+    """
+    order = np.lexsort((high, low, w))
+    nodes, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label, alive, kept = np.arange(len(nodes)), np.arange(len(order)), []
+    while True:
+        p, q = label[x[alive]], label[y[alive]]
+        between = p != q
+        alive, p, q = alive[between], p[between], q[between]
+        if not len(alive):
+            return np.sort(order[np.concatenate(kept)]) if kept else np.zeros(0, np.int64)
+        first = np.full(len(nodes), len(alive))
+        # written from the last to the first, so that the first edge of a component stays
+        back = np.arange(len(alive) - 1, -1, -1)
+        first[p[::-1]] = back
+        other = np.full(len(nodes), len(alive))
+        other[q[::-1]] = back
+        chosen = np.unique(np.minimum(first, other))
+        chosen = chosen[chosen < len(alive)]
+        kept.append(alive[chosen])
+        label = smallest_linked(p[chosen], q[chosen], len(nodes))[label]
 
 
 _EDGE = "a long, b long, w double, low long, high long"
@@ -90,14 +101,14 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFra
     """Minimum spanning forest of edges (a, b, w): its edges, as low < high and w.
 
     edges should be spread so that a partition holds a neighbourhood: each
-    partition first drops what the cycle rule excludes, then several partitions together do. Then Borůvka rounds: every
-    component takes its cheapest edge, the components these edges join become
-    one (minimum propagation), and edges within a component vanish. Once at most
-    local_edges are left, one task finishes. Ties are decided by (w, low, high),
-    so the result doesn't depend on the partitions.
+    partition first drops what the cycle rule excludes, then several partitions
+    together do. Then Borůvka rounds, one at least: every component takes its cheapest
+    edge, the components these edges join become one (minimum propagation), and
+    edges within a component vanish. Once at most local_edges are left, one task
+    finishes. Ties are decided by (w, low, high), so the result doesn't depend on the partitions.
     """
     spark = edges.sparkSession
-    named = edges.select("a", "b", "w", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("a <> b")
+    named = edges.select("a", "b", F.col("w").cast("double").alias("w"), F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("a <> b")
     graph, path = write_table(named.transform(map_arrow, _reduce, _EDGE), "graph")
     done: list[DataFrame] = []
     left, parts = graph.count(), max(1, graph.rdd.getNumPartitions())
@@ -109,60 +120,32 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFra
         before, path, left = left, new_path, graph.count()
         if left > 0.8 * before:
             break
-    while left > local_edges:
+    while left and (left > local_edges or not done):
         order = F.struct("w", "low", "high")
         ends = graph.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("w").alias("w"), "low", "high", F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("w").alias("w"), "low", "high", F.col("a").alias("to")))))
-        cheapest, _ = write_table(ends.groupBy("v").agg(F.min_by(F.struct("w", "low", "high", "to"), order).alias("e")).select("v", "e.*"), "cheapest")
+        cheapest, _ = write_table(ends.groupBy("v").agg(F.min(F.struct("w", "low", "high", "to")).alias("e")).select("v", "e.*"), "cheapest")
         done.append(cheapest.select("low", "high", "w").distinct())
-        links = cheapest.select(F.inline(F.array(F.struct(F.col("v").alias("src"), F.col("to").alias("dst")), F.struct(F.col("to").alias("src"), F.col("v").alias("dst"))))).distinct()
-        links, links_path = write_table(links, "links")
-        labels, labels_path = _propagate(links)
+        labels, labels_path = _propagate(cheapest.select(F.col("v").alias("src"), F.col("to").alias("dst")))
         moved = graph
         for end in ("a", "b"):
             moved = moved.join(labels.select(F.col("v").alias(end), F.col("f").alias("f")), end).drop(end).withColumnRenamed("f", end)
         moved = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "low", "high")
         moved = moved.groupBy("a", "b").agg(F.min(order).alias("e")).select("a", "b", "e.*")
         graph, new_path = write_table(moved, "graph")
-        for old in (path, links_path, labels_path):
+        for old in (path, labels_path):
             drop_table(spark, old)
         path, left = new_path, graph.count()
-    last = graph.coalesce(1).transform(map_arrow, _reduce, _EDGE).select("low", "high", "w")
-    out = last
+    out = graph.coalesce(1).transform(map_arrow, _reduce, _EDGE).select("low", "high", "w")
     for part in done:
         out = out.unionByName(part)
-    forest, _ = write_table(out.distinct() if done else out, "forest")
+    forest, _ = write_table(out, "forest")
+    drop_table(spark, path)
     return forest
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: every node with the smallest node that the partition's edges join it to."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-    nodes, ends = np.unique(np.concatenate([low, high]), return_inverse=True)
-    x, y = ends[: len(low)].tolist(), ends[len(low) :].tolist()
-    sets = _Union(len(nodes))
-    for i, j in zip(x, y):
-        p, q = sets.find(i), sets.find(j)
-        if p != q:
-            sets.up[max(p, q)] = min(p, q)
-    root = nodes[[sets.find(i) for i in range(len(nodes))]]
-    keep = root != nodes
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], names=["src", "dst"])
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(v, f): every node of edges (low, high) with the smallest node of its component.
-
-    Each partition first turns its edges into stars, which shortens paths to the
-    number of partitions they cross; minimum propagation joins the stars.
-    """
-    stars = edges.select("low", "high").transform(map_arrow, _stars, "src long, dst long")
-    both = stars.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
-    links, _ = write_table(both, "stars")
-    return _propagate(links)[0] if links.limit(1).count() else links.select(F.col("src").alias("v"), F.col("dst").alias("f"))
+    """(v, f): every node of edges (low, high) with the smallest node of its component."""
+    return _propagate(edges.select(F.col("low").alias("src"), F.col("high").alias("dst")))[0]
 
 
 def _accrete(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -261,8 +244,47 @@ def condensed_clusters(leaf: np.ndarray, size: np.ndarray, inner: np.ndarray, la
     return [(x, names[c], s) for x, c, s in out]
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, least: int = 20, neighbours: int = 6, dtype: str = "float32", local_edges: int = LOCAL_EDGES, **curves: int) -> tuple[DataFrame, DataFrame]:
-    """Members and summary of the clusters of similar vectors.
+def _merged(neighbours: int):
+    """Neighbour lists of a node on all curves as one: each neighbour once, and the core distance.
+
+    Copies count: the node's own ones are at distance 0, a neighbour counts as often as it has records.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            counts = np.diff(lists.offsets.to_numpy())
+            parts = lists.flatten()
+            bytes_ = pc.binary_length(parts).to_numpy()
+            found = np.frombuffer(b"".join(parts.to_pylist()), NEAR)
+            row = np.repeat(np.repeat(np.arange(batch.num_rows), counts), bytes_ // NEAR.itemsize)
+            order = np.lexsort((found["id"], row))
+            row, found = row[order], found[order]
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (found["id"][1:] != found["id"][:-1])
+            row, found = row[fresh], found[fresh]
+            order = np.lexsort((found["id"], found["d"], row))
+            row, found = row[order], found[order]
+            starts = np.searchsorted(row, np.arange(batch.num_rows))
+            ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
+            wanted = neighbours + 1 - batch.column(3).to_numpy()
+            total = np.concatenate([[0], np.cumsum(found["n"].astype(np.int64))])
+            # the neighbour with which as many records are reached as wanted, or the last
+            at = np.searchsorted(total, total[starts] + np.maximum(wanted, 1)) - 1
+            core = np.where(wanted > 0, found["d"][np.minimum(at, np.maximum(ends - 1, 0))] if len(found) else 0.0, 0.0).astype(np.float32)
+            some = ends > starts
+            offsets = np.concatenate([[0], np.cumsum((ends - starts)[some])]).astype(np.int32)
+            near = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found["d"])), pa.array(np.ascontiguousarray(found["id"]))], names=["d", "b"])
+            keep = pa.array(np.flatnonzero(some))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(2).take(keep), pa.array(core[some]), pa.ListArray.from_arrays(pa.array(offsets), near)], names=["a", "region", "core_a", "near"])
+
+    return run
+
+
+def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, least: int = 20, neighbours: int = 6, dtype: str = "float32", local_edges: int = LOCAL_EDGES, summary: bool = True, **curves: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members and summary of the clusters of similar vectors (no summary unless asked for).
 
     Members: key, cluster (smallest key among the members), persistence (1 / core
     distance: the density up to which the record stays in). Summary: cluster,
@@ -291,25 +313,22 @@ def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, le
     nodes, _ = write_table(distinct_vectors(rows, "key", "q", "b"), "nodes")
     settings = {"curves": 4, "width": 64} | curves
     found = window_neighbours(nodes, neighbours, dtype, chain=True, **settings)
-    # at most curves * (neighbours + 1) entries a node
-    lists = found.groupBy("qid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"), F.min(F.when(F.col("lane") == 0, F.col("block"))).alias("region"), F.max("own").alias("own"))
-    lists = lists.where(F.size("near") > 0)
-    # copies count: the node's own ones are at distance 0, a neighbour counts as often as it has records
-    step = lambda s, x: F.when(s["left"] > 0, F.struct((s["left"] - x["n"]).alias("left"), x["d"].alias("core"))).otherwise(s)
-    core = F.aggregate("near", F.struct((F.lit(neighbours + 1) - F.col("own")).alias("left"), F.lit(0.0).alias("core")), step)["core"]
-    lists, _ = write_table(lists.select("qid", "near", "region", core.alias("core")), "lists")
-    edges = lists.select(F.col("qid").alias("a"), "region", F.col("core").alias("core_a"), F.inline("near")).withColumnRenamed("id", "b")
-    edges = edges.join(lists.select(F.col("qid").alias("b"), F.col("core").alias("core_b")), "b")
+    # one blob per node and curve
+    lists = found.groupBy("qid").agg(F.collect_list("near").alias("near"), F.coalesce(F.min(F.when(F.col("lane") == 0, F.col("block"))), F.lit(-1)).alias("region"), F.max("own").alias("own"))
+    lists, lists_path = write_table(lists.select("qid", "near", "region", "own").transform(map_arrow, _merged(neighbours), "a long, region long, core_a float, near array<struct<d: float, b: long>>"), "lists")
+    cores = lists.select(F.col("a").alias("b"), F.col("core_a").alias("core_b"))
+    edges = lists.select("a", "region", "core_a", F.inline("near")).join(cores, "b")
     edges = edges.select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"), "region")
     # a region is a stretch of the first curve; its edges go to one task, whose number isn't lowered by the size of the shuffle
     edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region").drop("region")
     forest = spanning_forest(edges, local_edges)
 
     labels = components(forest.where(F.col("w") <= resolution))
-    sizes = nodes.select(F.col("bid").alias("v"), "size").join(lists.select(F.col("qid").alias("v"), "core"), "v", "left")
+    sizes = nodes.select(F.col("bid").alias("v"), "size").join(cores.withColumnRenamed("b", "v"), "v", "left")
     floor = max(resolution * 1e-3, 1e-9)
-    lam = 1.0 / F.greatest(F.coalesce("core", F.lit(floor)), F.lit(floor))
+    lam = 1.0 / F.greatest(F.coalesce(F.col("core_b").cast("double"), F.lit(floor)), F.lit(floor))
     placed, _ = write_table(sizes.join(labels, "v", "left").select("v", F.coalesce("f", "v").alias("leaf"), "size", lam.alias("persistence")), "placed")
+    drop_table(df.sparkSession, lists_path)
     inner = F.sum(F.col("size") * (F.greatest(F.col("persistence"), F.lit(1.0 / resolution))))
     leaves = placed.groupBy("leaf").agg(F.sum("size").alias("size"), inner.alias("inner")).select("leaf", "size", "inner", F.lit(0).cast("long").alias("late"), F.lit(0.0).alias("late_l"))
     upper = forest.where(F.col("w") > resolution).select(F.col("low").alias("a"), F.col("high").alias("b"), "w")
@@ -348,8 +367,9 @@ def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, le
     members, _ = write_table(keys.join(inside, "v").select("key", "c", "stability", "persistence"), "members")
     names = members.groupBy("c").agg(F.min("key").alias("cluster"), F.count(F.lit(1)).alias("num_elements"), F.max("stability").alias("stability"))
     names, _ = write_table(names.where(F.col("num_elements") >= least), "names")
+    out = members.join(names.select("c", "cluster"), "c").select(F.col("key").alias(key), "cluster", "persistence")
+    if not summary:
+        return out, None
     ranked = top_n(members.join(names.select("c", "cluster"), "c").withColumn("sparsity", 1.0 / F.col("persistence")), ["cluster"], "sparsity", "key", 3, position="p")
     exemplars = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "key"))), lambda x: x["key"]).alias("exemplars"))
-    summary = names.join(exemplars, "cluster").select("cluster", "num_elements", "stability", "exemplars")
-    out = members.join(names.select("c", "cluster"), "c").select(F.col("key").alias(key), "cluster", "persistence")
-    return out, summary
+    return out, names.join(exemplars, "cluster").select("cluster", "num_elements", "stability", "exemplars")

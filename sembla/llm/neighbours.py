@@ -29,6 +29,8 @@ TILE = 256
 BLOCK_ROWS = 1 << 14
 #: Sizes of nodes are told up to this number.
 SIZE_MOST = 1_000_000
+#: A neighbour in a packed list: its id, its distance and its size.
+NEAR = np.dtype([("id", "<i8"), ("d", "<f4"), ("n", "<i4")])
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -187,7 +189,7 @@ def distinct_vectors(rows: DataFrame, key: str, query: str, base: str) -> DataFr
 
 
 def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves: int = 6, width: int = 256, dims: int = 5, bits: int = 10, seed: int = 7, chain: bool = False) -> DataFrame:
-    """For every query node and curve one row: qid, lane (the curve's number), block (a stretch of the curve), near (array of struct d, id, nearest first; with chain the last is the next on the curve). With chain also own and, in near, n: the sizes of both nodes, at most SIZE_MOST.
+    """For every query node and curve one row: qid, lane (the curve's number), block (a stretch of the curve), near (array of struct d, id, nearest first). With chain near is a packed list (NEAR) that ends with the next node on the curve, and own is the size of the node; sizes are at most SIZE_MOST.
 
     nodes: a written table of distinct_vectors. Windows end at the borders of a
     run; these lie elsewhere on every curve.
@@ -197,7 +199,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
     share = max(1, -(-n // FIT_ROWS))
     rows = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).limit(2 * FIT_ROWS).select("vec").toArrow().column(0)
     element = np.dtype(dtype)
-    schema = "qid long, lane short, block long, near array<struct<d: double, id: long, n: int>>, own int" if chain else "qid long, lane short, block long, near array<struct<d: double, id: long>>"
+    schema = "qid long, lane short, block long, near binary, own int" if chain else "qid long, lane short, block long, near array<struct<d: double, id: long>>"
     if not len(rows):
         return spark.createDataFrame([], schema)
     fitted = Curves.fit(_matrix(rows, element), curves, dims, bits, seed)
@@ -214,7 +216,7 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
     size = F.least("size", F.lit(SIZE_MOST)) if chain else F.lit(1)
     placed = nodes.select("vec", "qid", "bid", size.cast("int").alias("size")).transform(map_arrow, keyed, "curve short, key long, vec binary, qid long, bid long, size int")
     runs, _ = sorted_runs(placed, ["curve", "key"])
-    item = pa.struct([("d", pa.float64()), ("id", pa.int64()), *([("n", pa.int32())] if chain else [])])
+    item = pa.struct([("d", pa.float64()), ("id", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, was = None, None
@@ -239,12 +241,17 @@ def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves:
 
     def rows_of(lane: int, found: Iterator) -> Iterator[pa.RecordBatch]:
         for qid, own, ids, dist, sizes in found:
-            keep = ids.ravel() >= 0
-            offsets = np.concatenate([[0], np.cumsum((ids >= 0).sum(1))]).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(x.ravel()[keep]) for x in ((dist, ids, sizes) if chain else (dist, ids))], fields=list(item))
+            keep = ids >= 0
+            offsets = np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32)
+            if chain:
+                flat = np.zeros(int(offsets[-1]), NEAR)
+                flat["id"], flat["d"], flat["n"] = ids[keep], dist[keep], sizes[keep]
+                near = pa.Array.from_buffers(pa.binary(), len(qid), [None, pa.py_buffer((offsets * NEAR.itemsize).tobytes()), pa.py_buffer(flat.tobytes())])
+            else:
+                near = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(dist[keep]), pa.array(ids[keep])], fields=list(item)))
             seen[0] += len(qid)
             block = pa.array(np.full(len(qid), seen[0] // BLOCK_ROWS))
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), block, pa.ListArray.from_arrays(pa.array(offsets), values), *([pa.array(own)] if chain else [])], names=["qid", "lane", "block", "near", *(["own"] if chain else [])])
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), lane, np.int16)), block, near, *([pa.array(own)] if chain else [])], names=["qid", "lane", "block", "near", *(["own"] if chain else [])])
 
     return runs.select(RUN, "curve", "vec", "qid", "bid", "size").transform(map_arrow, search, schema)
 

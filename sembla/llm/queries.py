@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every usable segment in a group of at least 20 alike segments."""
-    members, _ = density_clusters(usable_segments(spark, sf_dir), "segment_uid", "descriptor", resolution=160.0, dtype="uint8")
+    members, _ = density_clusters(usable_segments(spark, sf_dir), "segment_uid", "descriptor", resolution=160.0, dtype="uint8", summary=False)
     return members.select("segment_uid", F.col("cluster").alias("cluster_uid"))
 
 

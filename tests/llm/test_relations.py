@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from sembla.llm import groups as G
 from sembla.llm.groups import group_ids
 from sembla.llm.rank_fusion import best_item, ideal_point_scores
 from sembla.llm.topn import top_n
@@ -51,14 +52,18 @@ def components(pairs):
     return {v: find(v) for v in up}
 
 
-@pytest.mark.parametrize("stop", [0.0, 0.1, 5.0])
-def test_groups(spark, stop):
+@pytest.mark.parametrize("levels, block", [(100, 10**6), (3, 10**6), (1, 0), (100, 0)])
+def test_groups(spark, monkeypatch, levels, block):
+    monkeypatch.setattr(G, "BLOCK", block)
+    monkeypatch.setattr(G, "HOT_SHARE", 0.05)
     rng = random.Random(2)
     pairs = [(f"v{rng.randrange(400):03}", f"v{rng.randrange(400):03}") for _ in range(230)]
     pairs += [("v399", f"leaf{i}") for i in range(60)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)]
     pairs += [("leaf3", "c020"), (None, "v001"), ("v002", None), ("self", "self")] + pairs[:30] + [(b, a) for a, b in pairs[:9]]
+    # a second hub, outside the component of the first
+    pairs += [("w0", f"twig{i}") for i in range(50)] + [("twig7", "w1"), ("w1", "w2")]
     df = spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", "1 as v", "2 as f")
-    got = [tuple(r) for r in group_ids(df, "a", "b", stop=stop).collect()]
+    got = [tuple(r) for r in group_ids(df, "a", "b", levels=levels).collect()]
     assert len(got) == len(dict(got)) and dict(got) == components(pairs)
 
 

@@ -55,7 +55,29 @@ def test_neighbours_roles_and_empty(spark):
     assert similar_vectors(df.limit(0), "id", "v", 3).count() == 0
 
 
-@pytest.mark.parametrize("local_edges", [50, 1_000_000])
+def test_forest_like_taking_edges_in_order():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30, 200):
+        a, b = rng.integers(0, n, 4 * n), rng.integers(0, n, 4 * n)
+        a, b = a[a != b], b[a != b]
+        w, low, high = rng.integers(0, 9, len(a)).astype(float), np.minimum(a, b), np.maximum(a, b)
+        up, kept = list(range(n)), 0
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        total = 0.0
+        for i in np.lexsort((high, low, w)).tolist():
+            p, q = root(int(a[i])), root(int(b[i]))
+            if p != q:
+                up[p], kept, total = q, kept + 1, total + w[i]
+        got = C._forest(a, b, w, low, high)
+        assert len(got) == kept and w[got].sum() == total
+
+
+@pytest.mark.parametrize("local_edges", [0, 50, 1_000_000])
 def test_spanning_forest(spark, local_edges):
     rng = np.random.default_rng(3)
     edges = {(int(a), int(b)): float(rng.integers(1, 30)) for a, b in rng.integers(0, 200, (700, 2)) if a != b}
