@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sembla.llm.pii_table import CARRIERS, KINDS, PLAIN, labelled_lines
+from sembla.llm.pii_table import CARRIERS, FUNCTION_WORDS, GENERAL, GENERAL_PLAIN, GIVEN, KINDS, PLAIN, SURNAMES, labelled_lines
 from sembla.session import map_arrow
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -37,7 +37,11 @@ _SIGNED = regex.compile(r"^(?:--+|__+|~~+)$")
 _RUNS = regex.compile(r"(\p{N}+)|(\p{Lu}+)|(\p{L}+)")
 #: Words that stand inside values and tell of their kind.
 _INSIDE = "straße strasse weg close road lane ave st flat calle rue rua reflex at dot van von de di al o example test invalid post mail lists video".split()
-_KNOWN = frozenset(w for line in [*CARRIERS, *PLAIN, " ".join(_INSIDE)] for w in _TOKEN.findall(regex.sub(r"\{\w+\}", " ", line).lower()))
+_KNOWN = frozenset(w for line in [*CARRIERS, *PLAIN, *GENERAL, *(" ".join(w for w in x.split() if w.islower()) for x in GENERAL_PLAIN), *map(" ".join, FUNCTION_WORDS), " ".join(_INSIDE)] for w in _TOKEN.findall(regex.sub(r"\{\w+\}", " ", line).lower()))
+
+
+#: What is said of common names without a name list: g given name, s surname.
+_COMMON = {w.lower(): "s" for w in SURNAMES} | {w.lower(): "g" for w in GIVEN}
 
 
 def _shape(w: str) -> str:
@@ -272,7 +276,7 @@ def _gradient(model: TaggingModel, scores: np.ndarray, gold: np.ndarray, lengths
 
 
 @lru_cache(maxsize=2)
-def train_model(lines: int = 6000, rounds: int = 10, seed: int = 11) -> TaggingModel:
+def train_model(lines: int = 12000, rounds: int = 7, seed: int = 11) -> TaggingModel:
     """The model from ``lines`` fillings of the labelled table, by Adam on the conditional likelihood."""
     rng = random.Random(seed)
     rows, golds, hints = [], [], []
@@ -286,7 +290,9 @@ def train_model(lines: int = 6000, rounds: int = 10, seed: int = 11) -> TaggingM
             # a name list knows some of the names, and a few other words
             word = text[a:b]
             r = rng.random()
-            if not word[0].isalpha() or len(word) < 3 or word.lower() in _KNOWN:
+            if word.lower() in _COMMON:
+                said.append(_COMMON[word.lower()])
+            elif not word[0].isalpha() or len(word) < 3 or word.lower() in _KNOWN:
                 said.append("-")
             elif LABELS[label].endswith("name"):
                 said.append(rng.choice("gs") if r < 0.4 else "-")
@@ -300,46 +306,61 @@ def train_model(lines: int = 6000, rounds: int = 10, seed: int = 11) -> TaggingM
     model = TaggingModel(keys[counts >= 3])
     cuts = np.cumsum([len(g) for g in golds])[:-1]
     data = sorted(zip(np.split(model.ids(features), cuts), golds), key=lambda x: len(x[1]))
-    batches = [data[i : i + 120] for i in range(0, len(data), 120)]
+    batches = [_Batch(data[i : i + 120]) for i in range(0, len(data), 120)]
     m = np.zeros_like(model.weights)
     v = np.zeros_like(model.weights)
     ms, vs = np.zeros_like(model.steps), np.zeros_like(model.steps)
-    step = 0
+    # the mean over the second half of the rounds is steadier than the last state
+    mean, mean_steps, taken = np.zeros_like(model.weights), np.zeros_like(model.steps), 0
     shuffle = np.random.default_rng(seed)
     for round_ in range(rounds):
         rate = 0.08 * (1 - round_ / rounds) + 0.005
-        for at in shuffle.permutation(len(batches)).tolist():
+        for k, at in enumerate(shuffle.permutation(len(batches)).tolist()):
             batch = batches[at]
-            lengths = np.array([len(g) for _, g in batch])
-            t = int(lengths.max())
-            scores = np.zeros((len(batch), t, len(LABELS)), np.float32)
-            gold = np.zeros((len(batch), t), np.int64)
-            for i, (ids, g) in enumerate(batch):
-                scores[i, : len(g)] = model.emissions(ids)
-                gold[i, : len(g)] = g
-            local, pairs = _gradient(model, scores, gold, lengths)
-            flat = np.concatenate([ids for ids, _ in batch]).ravel()
-            per_token = np.concatenate([local[i, :n] for i, n in enumerate(lengths)])
-            used, where = np.unique(flat, return_inverse=True)
-            g = np.zeros((len(used), len(LABELS)))
-            np.add.at(g, where, np.repeat(per_token, TEMPLATES, axis=0))
-            g = g / len(batch) + 2e-4 * model.weights[used]
-            step += 1
-            m[used] = 0.9 * m[used] + 0.1 * g
-            v[used] = 0.99 * v[used] + 0.01 * g * g
-            model.weights[used] -= rate * m[used] / (np.sqrt(v[used]) + 1e-6)
-            gs = pairs / len(batch)
+            n = len(batch.lengths)
+            local, pairs = _gradient(model, batch.scores(model), batch.gold, batch.lengths)
+            used = batch.used
+            g = np.add.reduceat(local[batch.inside].astype(np.float32)[batch.tokens], batch.starts) / n + np.float32(2e-4) * model.weights[used]
+            first, second = 0.9 * m[used] + 0.1 * g, 0.99 * v[used] + 0.01 * g * g
+            m[used], v[used] = first, second
+            model.weights[used] -= rate * first / (np.sqrt(second) + 1e-6)
+            gs = pairs / n
             ms, vs = 0.9 * ms + 0.1 * gs, 0.99 * vs + 0.01 * gs * gs
             model.steps -= rate * ms / (np.sqrt(vs) + 1e-6)
             model.weights[-1] = 0
+            if 2 * round_ >= rounds and k % 20 == 0:
+                mean += model.weights
+                mean_steps += model.steps
+                taken += 1
+    if taken:
+        model.weights, model.steps = mean / taken, mean_steps / taken
     return model
 
 
+class _Batch:
+    """Lines of one training step: their features, labels, and where each feature stands."""
+
+    def __init__(self, lines: list[tuple[np.ndarray, np.ndarray]]):
+        self.lengths = np.array([len(g) for _, g in lines])
+        self.inside = np.arange(self.lengths.max())[None] < self.lengths[:, None]
+        self.ids = np.concatenate([ids for ids, _ in lines])
+        self.gold = np.zeros(self.inside.shape, np.int64)
+        self.gold[self.inside] = np.concatenate([g for _, g in lines])
+        order = np.argsort(self.ids.ravel(), kind="stable")
+        self.used, self.starts = np.unique(self.ids.ravel()[order], return_index=True)
+        self.tokens = order // TEMPLATES
+
+    def scores(self, model: TaggingModel) -> np.ndarray:
+        out = np.zeros((*self.inside.shape, len(LABELS)), np.float32)
+        out[self.inside] = model.emissions(self.ids)
+        return out
+
+
 class Tagger:
     """Finds items in texts with a trained model and a name list."""
 
     def __init__(self, model: TaggingModel, lexicon: dict[str, str]):
-        self.model, self.shapes = model, Shapes(lexicon)
+        self.model, self.shapes = model, Shapes(_COMMON | lexicon)
         self._seen: dict[tuple[str, bool], list[tuple[int, int, str]]] = {}
 
     def __getstate__(self) -> dict:
@@ -424,6 +445,8 @@ def checked(line: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None
     text = line[a:b]
     digits = sum(c.isdigit() for c in text)
     if kind == "email":
+        if _EMAIL.fullmatch(text):
+            return a, b, kind
         for m in _EMAIL.finditer(line, max(0, a - 80), min(len(line), b + 80)):
             if m.start() < b and a < m.end():
                 return m.start(), m.end(), kind

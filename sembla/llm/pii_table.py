@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import random
 
+#: Share of training lines in which an item stands among words that say nothing.
+ANYWHERE = 0.4
 KINDS = ("email", "phone", "idnum", "address", "name")
 
 CARRIERS = """
@@ -210,6 +212,216 @@ Alguém já tem {w} a {w} {w}?
 Obrigado, com a {w} {w} funcionou.
 """.strip().split("\n")
 
+# Sentences of everyday letters, notices and messages, in no relation to any corpus.
+GENERAL = """
+You can reach {name} on {phone} or at {email}.
+Please ask for {name} at the front desk.
+{name} will meet you at the station at noon.
+We spoke with {name} about the contract yesterday.
+Dear {name}, thank you for your letter of 12 March.
+The report was written by {name} and {name}.
+Invoices go to {name}, {address}.
+For questions contact {name} ({email}).
+In an emergency dial {phone} and wait for the tone.
+Our office has moved to {address}.
+The parcel was delivered to {address} on Friday.
+Her new address is {address}.
+She was born in 1984 and holds passport {idnum}.
+The applicant, {name}, gave the number {idnum} as proof.
+Social security number: {idnum}
+Insurance no. {idnum}, valid until 2027
+Reply to {email} before Monday.
+I have copied {email} on this message.
+Forward it to {email} and {email}.
+Phone: {phone}, fax: {phone}
+Name: {name}
+Address: {address}
+Best wishes, {name}
+Yours sincerely, {name}
+Mr. {name} signed the lease in May.
+According to Mrs {name} the meeting is cancelled.
+Professor {name} teaches history on Tuesdays.
+{name} has lived at {address} since 2003.
+When I called {phone} nobody answered.
+Send a text to {phone} when you arrive.
+The winner is {name} from the second year.
+My brother, {name}, works there too.
+Yesterday {name} and I went to the lake.
+It was {name} who found the keys.
+Did you know that {name} plays the violin?
+The package for {name} is still at {address}.
+Have you heard from {name} lately?
+Best, {name} / {email} / {phone}
+Puede llamar a {name} al {phone}.
+El informe lo firmó {name} el lunes.
+Mi hermana {name} vive en {address}.
+La oficina está en {address}.
+Mi correo es {email} y mi teléfono {phone}.
+El pasaporte {idnum} está caducado.
+Estimada {name}: le escribo por la factura.
+Don {name} no estaba en casa ayer.
+Pregunte por {name} en la recepción.
+Un saludo, {name}
+Ayer {name} me llamó desde {phone}.
+El NIF del cliente es {idnum}.
+Contacte con {name} escribiendo a {email}.
+Bitte rufen Sie {name} unter {phone} an.
+Frau {name} wohnt in der {address}.
+Das Paket ging an {name}, {address}.
+Unsere neue Anschrift lautet {address}.
+Meine E-Mail-Adresse ist {email}.
+Der Pass mit der Nummer {idnum} ist abgelaufen.
+Sehr geehrter Herr {name}, vielen Dank für Ihr Schreiben.
+Gestern hat {name} den Vertrag unterschrieben.
+Fragen Sie am Eingang nach {name}.
+Mit freundlichen Grüßen {name}
+Ich habe mit {name} über das Haus gesprochen.
+Die Steuernummer lautet {idnum}.
+Mein Bruder {name} arbeitet auch dort.
+Vous pouvez joindre {name} au {phone}.
+Madame {name} habite au {address}.
+Notre bureau se trouve {address}.
+Le colis a été livré à {name}, {address}.
+Mon adresse électronique est {email}.
+Le passeport {idnum} est périmé.
+Cher {name}, merci pour votre lettre.
+Hier {name} a signé le contrat.
+Demandez {name} à l'accueil.
+Cordialement, {name}
+J'ai parlé avec {name} de la maison.
+Numéro de sécurité sociale : {idnum}
+Mon frère {name} travaille aussi là-bas.
+Pode ligar para {name} no {phone}.
+A senhora {name} mora na {address}.
+O nosso escritório fica na {address}.
+O pacote foi entregue a {name}, {address}.
+O meu e-mail é {email}.
+O passaporte {idnum} já não é válido.
+Caro {name}, obrigado pela sua carta.
+Ontem {name} assinou o contrato.
+Pergunte por {name} na entrada.
+Atenciosamente, {name}
+Falei com {name} sobre a casa.
+O número de contribuinte é {idnum}.
+O meu irmão {name} também trabalha lá.
+We had dinner with {name} last night.
+This is a present from {name} for the children.
+The bridge is named after {name}.
+Everything depends on {name} now.
+Our teacher {name} often tells that story.
+My aunt {name} bakes on Sundays.
+I borrowed a ladder from {name} this morning.
+There was a note for {name}, nothing else.
+She is married to {name} and works in a bank.
+Nobody but {name} knew the code.
+{name} drew the map on page 12.
+{name} opened the door and laughed.
+Give my regards to {name} when you see her.
+He sold the house to {name} for a song.
+The judge, {name}, listened carefully.
+Let {name} know that I will be late.
+Cenamos con {name} anoche.
+Es un regalo de {name} para los niños.
+Mi tía {name} cocina muy bien.
+El cuadro lo pintó {name} en el sur.
+{name} abrió la puerta y se rio.
+Se casó con {name} en otoño.
+La calle lleva el nombre de {name}.
+Le presté la escalera a {name} esta mañana.
+El abogado se llama {name} y trabaja cerca.
+Dale recuerdos a {name} de mi parte.
+Gestern waren wir mit {name} essen.
+Das ist ein Geschenk von {name} für die Kinder.
+Meine Tante {name} kocht sehr gut.
+Unser Lehrer {name} erzählt das oft.
+Das Bild ist von {name} gemalt.
+Den Brief hat {name} geschrieben.
+{name} öffnete die Tür und lachte.
+Der Anwalt heißt {name} und arbeitet hier.
+Die Brücke ist nach {name} benannt.
+Grüß {name} von mir.
+Das Fahrrad gehört {name} aus dem Erdgeschoss.
+Nous avons dîné avec {name} hier soir.
+C'est un cadeau de {name} pour les enfants.
+Ma tante {name} cuisine très bien.
+Le tableau est peint par {name} dans le sud.
+{name} ouvrit la porte et rit.
+L'avocat s'appelle {name} et travaille ici.
+La rue porte le nom de {name}.
+J'ai prêté l'échelle à {name} ce matin.
+Le vélo est à {name} du premier étage.
+Passe le bonjour à {name} de ma part.
+Jantámos com {name} ontem à noite.
+É um presente de {name} para as crianças.
+A minha tia {name} cozinha muito bem.
+O quadro foi pintado por {name} no sul.
+{name} abriu a porta e riu.
+O advogado chama-se {name} e trabalha aqui.
+A rua tem o nome de {name}.
+Emprestei a escada a {name} esta manhã.
+Dá cumprimentos a {name} da minha parte.
+Quem escreveu a carta foi {name}.
+""".strip().split("\n")
+
+GENERAL_PLAIN = """
+The train to New York leaves on Sunday Morning at 10:45.
+We watched Star Wars and then went for a walk in Hyde Park.
+In South Korea the new phone costs 899 dollars.
+Great Britain and Northern Ireland voted on Thursday.
+Chapter 12 of the manual explains the Power Button.
+My order 4471920 arrived two days late.
+Windows Vista was released on 30 January 2007.
+The meeting is on 2024-11-05 at 14:30 in Room 204.
+Call me when you can, I am at home all day.
+Nobody was at the station when the last bus came.
+The invoice total is 1,249.50 euros, due in 30 days.
+He lives in a small house near the river with two dogs.
+Please read the Terms of Service before you install it.
+Pages 101-118 were missing from the Second Edition.
+I have been waiting for three weeks and still no answer.
+The Red Cross and the United Nations sent help.
+Flight 2231 from San Francisco was cancelled.
+El Museo del Prado abre los lunes a las 10.
+La semana pasada fuimos a Costa Rica con los niños.
+El pedido 5521877 llegó con dos días de retraso.
+No hay nadie en la oficina los viernes por la tarde.
+La factura asciende a 349,90 euros.
+Los Estados Unidos y la Unión Europea firmaron el acuerdo.
+Der Zug nach Bad Homburg fährt am Montag um 8:15 Uhr.
+Die Deutsche Bahn hat den Fahrplan im Dezember geändert.
+Die Rechnung beträgt 349,90 Euro und ist sofort fällig.
+Am Freitag ist das Büro ab 14 Uhr geschlossen.
+Die Europäische Union und die Vereinigten Staaten haben verhandelt.
+Das Handbuch der Digitalen Kamera hat 212 Seiten.
+Le train pour Saint Malo part dimanche à 9 h 20.
+La facture s'élève à 349,90 euros.
+La Tour Eiffel est fermée le mardi.
+Les États Unis et l'Union Européenne ont signé.
+Personne n'est au bureau le vendredi après-midi.
+O comboio para Vila Real parte no domingo às 9h20.
+A fatura é de 349,90 euros.
+Os Estados Unidos e a União Europeia assinaram.
+Ninguém está no escritório na sexta à tarde.
+O Rio de Janeiro fica longe daqui.
+Thank you for your patience, the Support Team will answer soon.
+The Lord of the Rings is my favourite book by far.
+A slow trailer, a watermark and some flicker are all I see.
+Watermark, flicker, trailer, scan: every copy has one of them.
+""".strip().split("\n")
+
+# Given names and surnames that many people bear in the five languages; towns and streets that many know.
+GIVEN = (
+    "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Mark Steven Stephen Andrew Paul George Kevin Brian Edward Peter Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Nancy Lisa Margaret Emily Helen Alice Rebecca Laura Emma Olivia Grace "
+    "Antonio José Manuel Francisco Juan Javier Carlos Miguel Alejandro Rafael Pedro Pablo Sergio Fernando Luis Andrés Diego María Carmen Ana Isabel Dolores Pilar Teresa Rosa Lucía Marta Elena Cristina Raquel Beatriz Sofía Inés "
+    "Hans Peter Wolfgang Klaus Jürgen Dieter Manfred Uwe Jens Stefan Andreas Markus Lukas Felix Jonas Ursula Monika Petra Sabine Renate Helga Karin Brigitte Ingrid Anna Claudia Susanne Heike Julia Katharina Lena "
+    "Jean Pierre Michel Philippe Alain Jacques Bernard Nicolas Laurent Olivier François Julien Antoine Luc Marie Nathalie Isabelle Sylvie Catherine Claire Camille Sophie Céline Amélie Chloé Manon "
+    "João Rui Nuno Tiago Paulo Jorge Ricardo Bruno Luís Hugo Helena Sandra Catarina Joana Rita Paula Margarida Fernanda Mariana"
+).split()
+SURNAMES = "Smith Jones Brown Taylor Wilson Keller Müller Schmidt Becker Hoffmann Weber Schulz Dubois Martin Bernard Moreau Lefèvre Girard García López Fernández Moreno Ruiz Torres Silva Santos Pereira Costa Almeida Carvalho Khan Tanaka Chen Novak Ivanova Rossi Murphy O'Brien McDonald Johnson Walker Hughes".split()
+TOWNS = "London,Paris,Berlin,Madrid,Lisboa,Porto,München,Köln,Lyon,Sevilla,Bristol,Leeds,Boston,Chicago,São Paulo,Bad Homburg,New York,Saint Denis,Buenos Aires".split(",")
+STREETS = "Baker,High,Station,Church,Mill,Victoria,Oxford,Garden,Oak,Maple,Park,King".split(",")
+
+
 _ONSET = "b br d dr f fr g gl gr h j k kl kr l m n p pr pl r s sk sl sm sp st str t tr v vr w z".split()
 _VOWEL = "a e i o u ae ia ai ei io ou".split()
 _CODA = ["", *"d g k l lt m n nd r rk rt s sk st t v x z p b".split()]
@@ -222,6 +434,8 @@ class Filler:
 
     def __init__(self, rng: random.Random):
         self.rng = rng
+        #: Whether names and towns are common ones instead of invented ones.
+        self.known = False
 
     def word(self, low: int = 1, high: int = 3) -> str:
         c = self.rng.choice
@@ -231,9 +445,11 @@ class Filler:
         return "".join(self.rng.choice("0123456789") for _ in range(n))
 
     def given(self) -> str:
-        return self.word(1, 2).capitalize()
+        return self.rng.choice(GIVEN) if self.known else self.word(1, 2).capitalize()
 
     def surname(self) -> str:
+        if self.known and self.rng.random() < 0.8:
+            return self.rng.choice(SURNAMES)
         r = self.rng.random()
         base = self.word(1, 2)
         one = (base + self.rng.choice(_SURNAME_END) if r < 0.75 else base).capitalize()
@@ -269,18 +485,24 @@ class Filler:
         return out.upper() if r < 0.12 else out.lower() if r < 0.3 else out
 
     def host(self) -> str:
+        if self.known:
+            return self.word(1, 3) + self.rng.choice(["", "mail", "-group", ".co"]) + "." + self.rng.choice("com org net de fr es pt uk example".split())
         a = self.rng.choice(["", "", "", "post.", "mail.", "lists."])
         return a + self.word(1, 3) + self.rng.choice(["", "", "net", "post", "-mail"]) + "." + self.rng.choice(["example", "test", "invalid", "example"])
 
     def email(self) -> str:
         g, s, n = self.word(1, 2), self.word(1, 2), self.rng.choice(["", self.digits(1), self.digits(2), self.digits(3)])
-        user = self.rng.choice([f"{g}.{s}", f"{g}_{s}{n}", f"{g}{n}", f"{g}+video", f"{g}-{s[:3]}", f"{g[0]}{s}mark"])
+        if self.known:
+            g, s = (self.rng.choice(x).lower().replace("'", "") for x in (GIVEN, SURNAMES))
+        user = self.rng.choice([f"{g}.{s}", g, f"{g}{n}", f"{g}_{s}{n}", f"{g}{n}", f"{g}+video", f"{g}-{s[:3]}", f"{g[0]}{s}mark"])
         host = self.host()
         r = self.rng.random()
         if r < 0.5:
             out = f"{user}@{host}"
         elif r < 0.62:
             out = f"{user} @ {host}"
+        elif r < 0.66 and self.known:
+            out = f"{user} at {host.replace('.', ' dot ')}"
         elif r < 0.72:
             out = f"{user} (at) {host.replace('.', ' (dot) ')}"
         elif r < 0.8:
@@ -297,13 +519,19 @@ class Filler:
             f"+999 (0){d(3)} / {d(3)} {d(3)}", f"+999{d(9)}", f"+999-{d(2)}-{d(3)}-{d(4)}", f"+999 {d(2)} 555 {d(4)}", f"00999 {d(3)} {d(6)}", f"555-01{d(2)}-{d(3)}",
             f"(555) 01{d(1)}-{d(4)}", f"06.39.98.{d(2)}.{d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"07700 {d(6)}", f"01632-{d(6)}", f"07700/{d(6)}",
         ]
-        return self.rng.choice(forms)
+        known = [
+            f"+44 20 {d(4)} {d(4)}", f"(212) 555-{d(4)}", f"+1 415 555 {d(4)}", f"+49 {d(2)} {d(6)}", f"030 {d(8)}", f"0{d(3)}-{d(6)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 9{d(1)} {d(3)} {d(2)} {d(2)}", f"6{d(2)} {d(3)} {d(3)}", f"+55 11 9{d(4)}-{d(4)}", f"9{d(2)} {d(3)} {d(3)}",
+            f"020 {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}",
+        ]
+        return self.rng.choice(known if self.known else forms)
 
     def idnum(self) -> str:
         d, c = self.digits, lambda: self.rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         return self.rng.choice([d(8) + " " + c(), d(8) + "-" + c(), d(8) + c(), f"{d(6)}-{d(4)}", c() + c() + d(7), f"000-{d(2)}-{d(4)}", f"{d(2)} {d(6)} {c()}{d(3)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}"])
 
     def town(self) -> str:
+        if self.known and self.rng.random() < 0.7:
+            return self.rng.choice(TOWNS)
         return (self.word(1, 2) + self.rng.choice(["", "", *_PLACE_END])).capitalize()
 
     def address(self) -> str:
@@ -315,6 +543,13 @@ class Filler:
             f"{n} {w} {c(['Road', 'Lane', 'Ave', 'St.'])}, {self.town()} {d(5)}", f"Flat {d(1)}{c(['', d(1)])}, {n} {w} Road, {self.town()}, {c('PKMNL')}{c(['', d(1)])}{d(1)} {d(1)}{c('QXZ')}{c('QXZ')}",
             f"Calle {w} {n}, {d(1)}º, {d(5)} {self.town()}", f"{n} rue {w}, {d(5)} {self.town()}", f"Rua {w}, {n}, {d(4)}-{d(3)} {self.town()}",
         ]
+        if self.known:
+            street, person = c([*STREETS, w]), c(SURNAMES)
+            forms += [
+                f"{n}{suffix} {street} {c(['Street', 'Road', 'Avenue', 'Lane', 'Drive', 'Square', 'St'])}, {self.town()}", f"{n} {street} {c(['Street', 'Road', 'Avenue'])}, {self.town()}, {c('NSEW')}{c('WMC')}{d(1)} {d(1)}{c('ABDE')}{c('XHTQ')}", f"{n} {street} Avenue, {self.town()}, {c(['NY', 'MA', 'CA', 'IL'])} {d(5)}",
+                f"{n} rue {c(['de la', 'du', 'des', 'de'])} {w}, {d(5)} {self.town()}", f"{n}, avenue {person}, {d(5)} {self.town()}", f"{n} boulevard {person}, {d(5)} {self.town()}", f"Calle de {c(['la', 'los', ''])} {w} {n}, {d(5)} {self.town()}".replace("  ", " "), f"Avenida {person} {n}, {d(5)} {self.town()}",
+                f"Rua {c(['da', 'do', 'das'])} {w} {n}, {d(4)}-{d(3)} {self.town()}", f"Av. {person}, {n}, {self.town()}", f"{c([person, w])}straße {n}, {d(5)} {self.town()}", f"{c(['Haupt', 'Bahnhof', 'Garten', w])}str. {n}{suffix}, {d(5)} {self.town()}", f"{c(['Alte', 'Neue', 'Lange'])} {c(['Gasse', 'Allee', 'Straße'])} {n}, {d(5)} {self.town()}",
+            ]
         out = c(forms)
         return out.upper() if self.rng.random() < 0.05 else out
 
@@ -340,6 +575,50 @@ class Filler:
         raise KeyError(name)
 
 
+# Short words of the five languages that stand around items.
+FUNCTION_WORDS = [
+    "the a an of to in for with on at from by and or but is was are has had will not even only this that our my her his their who when if after before under near please two".split(),
+    "el la los las un una de del al a en con por para y o pero es era ha había no ni este esta nuestro mi su quien cuando si antes después cerca hay dos".split(),
+    "der die das den dem ein eine einen von zu im in mit für auf an bei aus und oder aber ist war hat hatte nicht nur dieser unser mein ihr wer wenn nach vor unter zwei bitte".split(),
+    "le la les un une de du des au à en avec par pour et ou mais est était a avait ne pas ce cette notre mon sa qui quand si avant après près chez deux".split(),
+    "o a os as um uma de do da ao em no na com por para e ou mas é era tem tinha não nem este esta nosso meu sua quem quando se antes depois perto há dois".split(),
+]
+
+
+def _anywhere(fill: Filler) -> str:
+    """A sentence of short words of one language and unknown longer ones, with one item in the middle or at an end."""
+    c, german = fill.rng.choice, fill.rng.random() < 0.2
+    short = FUNCTION_WORDS[2] if german else c(FUNCTION_WORDS)
+
+    def stretch(most: int) -> list[str]:
+        made = []
+        for _ in range(fill.rng.randrange(most + 1)):
+            w = c(short) if fill.rng.random() < 0.55 else fill.word(1, 3)
+            made.append(w.capitalize() if german and w not in short and fill.rng.random() < 0.5 else w)
+        return made
+
+    slot = "{" + c(["name"] * 7 + ["address"] * 2 + ["phone", "email", "idnum"]) + "}"
+    before, after = stretch(6), stretch(6)
+    if before:
+        before[0] = before[0].capitalize()
+    if not before and not after:
+        after = [c(short), fill.word(1, 2)]
+    out = " ".join([*before, slot, *after])
+    return out + c([".", ".", ".", "", "!", "?"])
+
+
+def _unfamiliar(pattern: str, fill: Filler) -> str:
+    """The sentence with half of its longer words unknown ones of the same look; pairs of capitals stay."""
+    words = pattern.split(" ")
+    capital = [w[:1].isupper() for w in words]
+    for i, w in enumerate(words):
+        pair = capital[i] and (i > 0 and capital[i - 1] or i + 1 < len(words) and capital[i + 1])
+        if len(w) > 3 and w.isalpha() and not pair and fill.rng.random() < 0.5:
+            made = fill.word(1, 3)
+            words[i] = made.capitalize() if capital[i] else made
+    return " ".join(words)
+
+
 def labelled_lines(count: int = 6000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]], bool]]:
     """(text, spans of (start, end, kind), whether it stands under a signature mark)."""
     rng = random.Random(seed)
@@ -364,9 +643,15 @@ def labelled_lines(count: int = 6000, seed: int = 11) -> list[tuple[str, list[tu
         base = len(text) + len(gap)
         return text + gap + extra, spans + [(a + base, b + base, k) for a, b, k in others]
 
-    patterns = [p for p in CARRIERS for _ in range(2)] + PLAIN
+    patterns = [p for p in CARRIERS for _ in range(2)] + PLAIN + GENERAL + GENERAL_PLAIN
+    general = len(patterns) - len(GENERAL) - len(GENERAL_PLAIN)
     for i in range(count):
         pattern = patterns[i % len(patterns)]
+        fill.known = i % len(patterns) >= general or rng.random() < 0.15
+        if rng.random() < ANYWHERE:
+            pattern, fill.known = _anywhere(fill), rng.random() < 0.6
+        elif i % len(patterns) >= general and rng.random() < 0.7:
+            pattern = _unfamiliar(pattern, fill)
         lead = rng.random()
         text, spans = make(rng.choice(PLAIN)) if lead < 0.12 else ("", [])
         text, spans = add(text, spans, pattern, " " if text else "")

@@ -11,6 +11,8 @@ from sembla.llm import pii
 from sembla.llm.pii_table import labelled_lines
 from sembla.llm.tokenizer import TOKENIZERS, PerfectHash, encode_corpus, load_encoder
 
+from .pii_sentences import SENTENCES, UNSEEN, labelled
+
 needs_files = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no vocabulary files")
 
 
@@ -110,6 +112,16 @@ def test_personal_information_held_out():
     assert right / wanted > 0.93 and right / found > 0.97
 
 
+@pytest.mark.parametrize("sentences, least", [(SENTENCES, 0.9), (UNSEEN, 0.7)])
+def test_personal_information_in_other_text(sentences, least):
+    tagger = pii.Tagger(pii.train_model(), {})
+    wanted = right = found = 0
+    for text, items in map(labelled, sentences):
+        got = {(k, text[a:b]) for a, b, k in tagger.items([text])[0]}
+        wanted, right, found = wanted + len(items), right + len(got & items), found + len(got)
+    assert right / wanted >= least and right / found >= 0.9
+
+
 def test_long_lines_lose_no_item():
     tagger = pii.Tagger(pii.train_model(), {})
     line = " ".join(f"Write to user{i}@host.example if the upload fails." for i in range(300))
