@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sembla.functions.distances import distance_kernel
 from sembla.functions.vectors import mix
 from sembla.operators.dataset import nearest_chain
-from sembla.operators.search import _matrix, select_pivots
+from sembla.operators.search import matrix, select_pivots
 from sembla.session import map_arrow
 
 _NEAR = "id long, centroid_id long, distance double"
@@ -25,7 +25,7 @@ def assign(df: DataFrame, key: str, vector: str, centroids: np.ndarray, distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, x = _matrix(batch.column(1))
+            good, x = matrix(batch.column(1))
             if len(good):
                 d = kernel(x, points)
                 c = d.argmin(1)
@@ -40,7 +40,7 @@ def _step(df: DataFrame, vector: str, points: np.ndarray, distance: str, before:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, x = _matrix(batch.column(0))
+            _, x = matrix(batch.column(0))
             if not len(x):
                 continue
             d = kernel(x, points)
@@ -143,7 +143,7 @@ def pca_fit(df: DataFrame, vector: str) -> PCAState:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, x = _matrix(batch.column(0))
+            _, x = matrix(batch.column(0))
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([x.sum(0).tolist()]), pa.array([(x.T @ x).ravel().tolist()])], names=["n", "s", "ss"])
 
@@ -168,7 +168,7 @@ def pca_apply(df: DataFrame, key: str, vector: str, state: PCAState, dims: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, x = _matrix(batch.column(1))
+            good, x = matrix(batch.column(1))
             if len(good):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(((x - mean) @ axes).tolist(), pa.list_(pa.float64()))], names=["id", "vector"])
 

@@ -6,10 +6,11 @@ Results are rows (query_id, rank, ref_id, distance), ordered by (distance, ref_i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,29 +18,93 @@ from pyspark.sql.window import Window as W
 from sembla.functions.distances import Kernel, distance_kernel
 from sembla.session import map_arrow, ship_package
 
-#: Queries that are broadcast at a time; more are searched in several such blocks.
+#: Queries that are broadcast at most; more are searched as a grid of blocks.
 QUERY_BLOCK = 20_000
 _PAIRS = "query_id long, ref_id long, distance double"
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the rows with a usable vector, and these vectors."""
-    rows = column.to_pylist()
-    good = [i for i, v in enumerate(rows) if v and all(x is not None for x in v)]
-    return np.array(good, np.int64), np.array([rows[i] for i in good], np.float64)
+def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the rows with a usable vector (not null or empty, without null elements), and these vectors.
 
+    Usable vectors of different lengths raise a ValueError.
+    """
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bad = np.bincount(row[flat.is_null().to_numpy(zero_copy_only=False)], minlength=len(sizes)) > 0 if flat.null_count else np.zeros(len(sizes), bool)
+    good = np.flatnonzero((sizes > 0) & ~bad)
+    if not len(good):
+        return good, np.zeros((0, 0))
+    width = sizes[good[0]]
+    if (sizes[good] != width).any():
+        raise ValueError("vectors of different lengths")
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if len(good) < len(sizes):
+        keep = np.zeros(len(sizes), bool)
+        keep[good] = True
+        values = values[keep[row]]
+    return good, values.reshape(-1, width)
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> Block | None:
+    """Ids, vectors and group hashes of the usable rows of id, v, g."""
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+    good, x = matrix(columns[1])
+    return (columns[0].to_numpy()[good], x, columns[2].to_numpy()[good]) if len(good) else None
+
+
+def _stream(batches: Iterable[pa.RecordBatch]) -> bytes:
+    """Record batches as one value of bytes."""
+    sink = pa.BufferOutputStream()
+    batches = list(batches)
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def against(queries: DataFrame, references: DataFrame, scan: Callable[[Block], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str, most: int | None = None) -> DataFrame:
+    """scan(block of queries)(batches of references) for every block against all references; both sides are id, v, g.
+
+    Up to ``most`` queries (QUERY_BLOCK) are one block, which is broadcast: the references are
+    scanned where they are. More are a grid: queries in blocks and references in batches are
+    packed, one row each, and every block meets every batch by a join on (block, lane), where
+    the batches are spread over lanes and the blocks copied to all of them. Neither side
+    reaches the driver then, and each is read once.
+    """
+    spark, most = references.sparkSession, most or QUERY_BLOCK
+    parts = max(1, math.ceil(queries.count() / most))
+    if parts == 1:
+        block = _unpacked(queries.toArrow())
+        if block is None:
+            return spark.createDataFrame([], schema)
+        shared = spark.sparkContext.broadcast(block)
+        return references.transform(map_arrow, lambda batches: scan(shared.value)(batches), schema)
+    lanes = max(1, math.ceil(4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / parts))
+
+    def pack_block(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([_stream(table.select(["id", "v", "g"]).combine_chunks().to_batches())], pa.binary())})
+
+    def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([_stream([batch])], pa.binary()), pa.array([int(batch.column(0)[0].as_py()) % lanes])], names=["references", "lane"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, r in zip(batch.column(0), batch.column(1)):
+                block = _unpacked(pa.ipc.open_stream(q.as_buffer()).read_all())
+                if block:
+                    yield from scan(block)(iter(pa.ipc.open_stream(r.as_buffer()).read_all().to_batches()))
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The query set in blocks of bounded size: ids, vectors, group hashes."""
-    n = queries.count()
-    parts = max(1, math.ceil(n / QUERY_BLOCK))
-    for part in range(parts):
-        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        t = some.toArrow()
-        if t.num_rows:
-            good, x = _matrix(t.column("v").combine_chunks() if t.column("v").num_chunks != 1 else t.column("v").chunk(0))
-            if len(good):
-                yield t.column("id").to_numpy()[good], x, t.column("g").to_numpy()[good]
+    ship_package(spark)
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts).cast("long")))
+    blocks = numbered.groupBy("block").applyInArrow(pack_block, "block long, queries binary").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    packed = references.transform(map_arrow, pack_batches, "references binary, lane long").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return packed.join(blocks, ["block", "lane"]).select("queries", "references").transform(map_arrow, meet, schema)
 
 
 def _prepare(df: DataFrame, key: str, vector: str, exclude: str | None) -> DataFrame:
@@ -59,9 +124,9 @@ def knn_join(
 ) -> DataFrame:
     """Exact k nearest (or farthest) references of every query.
 
-    A block of queries is broadcast (at most QUERY_BLOCK vectors), every batch of
-    references gives its own k best per query, and these few are ranked. No pairs
-    are shuffled but a batch's best ones. range_ keeps distances up to it (0 or None:
+    A block of queries is broadcast, or more of them meet the references as a grid
+    (see against); every batch of references gives its own k best per query, and these
+    few are ranked. No pairs are shuffled but a batch's best ones. range_ keeps distances up to it (0 or None:
     all), with farthest those from it on. exclude names a column whose equal
     values are no match (such as the file of a segment). distance is a name or a function
     of two matrices (one row per vector) that gives the distances of all pairs.
@@ -72,15 +137,13 @@ def knn_join(
     kernel, k = distance if callable(distance) else distance_kernel(distance), max(1, k)
     limit = range_ if range_ else None
     refs = _prepare(references, key, vector, exclude)
-    spark = references.sparkSession
-    found: DataFrame | None = None
-    for block in _blocks(_prepare(queries, key, vector, exclude).dropDuplicates(["id"])):
-        shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, x, groups = shared.value
+    def scan(block: Block):
+        ids, x, groups = block
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good, y = _matrix(batch.column(1))
+                good, y = matrix(batch.column(1))
                 if not len(good):
                     continue
                 refs_of = batch.column(0).to_numpy()[good]
@@ -102,41 +165,49 @@ def knn_join(
                     score = np.fmin.reduceat(score[:, by_key], starts, axis=1)
                     bad = np.logical_and.reduceat(bad[:, by_key], starts, axis=1)
                     refs_of, d = keys, -score if farthest else score
-                order = np.lexsort((np.broadcast_to(refs_of, score.shape), score), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                cols = order.ravel()
+                rows, cols = _first_columns(score, refs_of, k)
                 keep = ~bad[rows, cols]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]]), pa.array(refs_of[cols[keep]]), pa.array(d[rows[keep], cols[keep]])], names=["query_id", "ref_id", "distance"])
 
-        part = refs.transform(map_arrow, run, _PAIRS)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], _PAIRS)
+        return run
+
+    found = against(_prepare(queries, key, vector, exclude).dropDuplicates(["id"]), refs, scan, _PAIRS)
     best = F.max("distance") if farthest else F.min("distance")
     return ranked(found.groupBy("query_id", "ref_id").agg(best.alias("distance")), k, farthest)
 
 
+def _first_columns(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k smallest scores of every row; at the k-th score all ties, of which the smaller keys are kept."""
+    if score.shape[1] > 4 * k:
+        edge = np.partition(score, k - 1, axis=1)[:, k - 1]
+        rows, cols = np.nonzero(score <= edge[:, None])
+    else:
+        rows, cols = (x.ravel() for x in np.indices(score.shape))
+    order = np.lexsort((keys[cols], score[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
 def range_join(queries: DataFrame, references: DataFrame, key: str, vector: str, radius: float, distance: str = "L2") -> DataFrame:
     """All (query_id, ref_id, distance) within the radius (inclusive); blocks and edge cases as in knn_join."""
     kernel = distance_kernel(distance)
     refs = _prepare(references, key, vector, None)
-    spark = references.sparkSession
-    found: DataFrame | None = None
-    for block in _blocks(_prepare(queries, key, vector, None).dropDuplicates(["id"])):
-        shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, x, _ = shared.value
+    def scan(block: Block):
+        ids, x, _ = block
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good, y = _matrix(batch.column(1))
+                good, y = matrix(batch.column(1))
                 if len(good):
                     d = kernel(x, y)
                     rows, cols = np.nonzero(d <= radius)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(batch.column(0).to_numpy()[good][cols]), pa.array(d[rows, cols])], names=["query_id", "ref_id", "distance"])
 
-        part = refs.transform(map_arrow, run, _PAIRS)
-        found = part if found is None else found.unionByName(part)
-    return (found if found is not None else spark.createDataFrame([], _PAIRS)).distinct()
+        return run
+
+    return against(_prepare(queries, key, vector, None).dropDuplicates(["id"]), refs, scan, _PAIRS).distinct()
 
 
 def pivot_table(df: DataFrame, pivots: list[list[float]], vector: str, distance: str, name: str = "pivot_distances") -> DataFrame:
@@ -153,13 +224,19 @@ def pivot_table(df: DataFrame, pivots: list[list[float]], vector: str, distance:
     return df.withColumn(name, to_pivots(F.col(vector).cast("array<double>")))
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, the same whatever their order and partitions: those whose hashed key is under a threshold; all rows of a small table."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * rows / n))
+
+
 def select_pivots(df: DataFrame, key: str, vector: str, count: int, distance: str = "L2", alpha: float = 0.5, sample: int = 5000) -> list[tuple[int, list[float]]]:
     """Sparse spatial selection on a bounded sample in hashed order: an object farther than a threshold from all pivots is one.
 
     The threshold is the alpha-quantile of the sample's distances to its first
     200 objects; it shrinks by a tenth until there are enough pivots.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(key), key).limit(sample).collect()
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).transform(hashed_sample, "id", sample).orderBy(F.xxhash64("id"), "id").collect()
     kernel = distance_kernel(distance)
     x = np.array([r.v for r in rows])
     if not len(x):
@@ -190,15 +267,14 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
     """
     kernel, points = distance_kernel(distance), np.array(pivots, np.float64)
     refs = _prepare(references, key, vector, None)
-    spark = references.sparkSession
     total = references.count() if method == "APPROX" else 0
     m = max(1, math.floor(total * approximation)) if method == "APPROX" else 0
-    found: DataFrame | None = None
-    for block in _blocks(_prepare(queries, key, vector, None).dropDuplicates(["id"])):
-        shared = spark.sparkContext.broadcast((*block, kernel(block[1], points)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, x, _, qp = shared.value
+    def scan(block: Block):
+        ids, x, _ = block
+        qp = kernel(x, points)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             radius = np.full(len(ids), np.inf)
             best: list[dict[int, float]] = [{} for _ in ids]
 
@@ -214,7 +290,7 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
                 return dict(sorted(out.items(), key=lambda t: (t[1], t[0]))[:k])
 
             for batch in batches:
-                good, y = _matrix(batch.column(1))
+                good, y = matrix(batch.column(1))
                 if not len(good):
                     continue
                 refs_of = batch.column(0).to_numpy()[good]
@@ -243,10 +319,9 @@ def laesa_join(queries: DataFrame, references: DataFrame, key: str, vector: str,
                     out_b.append(bound[i][pick])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (out_q, out_r, out_d, out_b)], names=["query_id", "ref_id", "distance", "bound"])
 
-        part = refs.transform(map_arrow, run, _PAIRS + ", bound double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, ref_id long, distance double")
+        return run
+
+    found = against(_prepare(queries, key, vector, None).dropDuplicates(["id"]), refs, scan, _PAIRS + ", bound double")
     found = found.groupBy("query_id", "ref_id").agg(F.min("distance").alias("distance"), F.min("bound").alias("bound"))
     if method == "APPROX":
         place = F.row_number().over(W.partitionBy("query_id").orderBy("bound", "ref_id"))
@@ -286,7 +361,7 @@ def lsh_join(queries: DataFrame, references: DataFrame, key: str, vector: str, k
     Queries also look into the buckets that differ in one of the ``probes`` bits
     nearest to their plane. A large bucket isn't cut: AQE splits its join.
     """
-    sample = references.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).limit(5000).toPandas()["v"]
+    sample = hashed_sample(references.where(F.col(vector).isNotNull()), key, 5000).select(F.col(vector).cast("array<double>").alias("v")).toPandas()["v"]
     if not len(sample):
         return references.sparkSession.createDataFrame([], "query_id long, rank int, ref_id long, distance double")
     centre = np.mean(np.array(sample.tolist()), axis=0)
@@ -296,7 +371,7 @@ def lsh_join(queries: DataFrame, references: DataFrame, key: str, vector: str, k
     def bucketed(df: DataFrame, multi: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good, x = _matrix(batch.column(1))
+                good, x = matrix(batch.column(1))
                 for t in range(tables if len(good) else 0):
                     side = (x - centre) @ planes[t].T
                     code = ((side > 0) * weight).sum(1)
@@ -325,7 +400,7 @@ def ivf_join(queries: DataFrame, references: DataFrame, key: str, vector: str, c
     def cells(df: DataFrame, n: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good, x = _matrix(batch.column(1))
+                good, x = matrix(batch.column(1))
                 if not len(good):
                     continue
                 d = (x * x).sum(1)[:, None] + (points * points).sum(1)[None] - 2 * x @ points.T

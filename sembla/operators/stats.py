@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sembla.operators.ordered import with_positions
+from sembla.operators.search import matrix
 from sembla.session import map_arrow
 
 #: The quantiles of the statistics report.
@@ -29,9 +30,8 @@ def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [v for v in batch.column(0).to_pylist() if v and all(x is not None for x in v)]
-            if rows:
-                x = np.array(rows, np.float64)
+            _, x = matrix(batch.column(0))
+            if len(x):
                 y = x - base
                 d = np.arange(x.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.full(len(d), len(x))), pa.array(x.min(0)), pa.array(x.max(0)), pa.array(y.sum(0)), pa.array((y * y).sum(0)), pa.array(base)], names=["dim", "n", "low", "high", "s", "ss", "base"])
