@@ -26,10 +26,13 @@ def concatenate(parts: list[DataFrame], key: str) -> DataFrame:
 
 
 def combine(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
-    """Multi-object of both sides by key: key, parts (struct a, b). Keys on one side only are dropped."""
+    """Multi-object of both sides by key: key, parts (struct a, b). A key that stands on one side only raises an error when it is read."""
     a = left.select(key, F.col(vector).alias("__a"))
     b = right.select(key, F.col(vector).alias("__b"))
-    return a.join(b, key).select(key, F.struct(F.col("__a").alias("a"), F.col("__b").alias("b")).alias("parts"))
+    whole = F.col("__l").isNotNull() & F.col("__r").isNotNull()
+    both = a.withColumn("__l", F.lit(True)).join(b.withColumn("__r", F.lit(True)), key, "full")
+    parts = F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))
+    return both.select(key, F.when(whole, parts).otherwise(F.raise_error(F.concat(F.lit("only one side has "), F.coalesce(F.col(key).cast("string"), F.lit("a null key"))))).alias("parts"))
 
 
 def subset_segment(df: DataFrame, keys: list[str], start: int, length: int) -> DataFrame:

@@ -182,6 +182,49 @@ def detect_copies(
     return (best_bonus(out) if bonus else out).drop("rank")
 
 
+#: Which detections of a query file are alike: by query stretch or not, and by any reference, the same file, or the same stretch of it.
+ALIKE = {1: (False, "any"), 2: (False, "file"), 3: (False, "stretch"), 4: (True, "any"), 5: (True, "file"), 6: (True, "stretch")}
+
+
+def keep_single(detections: DataFrame, mode: int, most: int | None = None) -> DataFrame:
+    """Of alike detections of a query file the best one (ties as in rank_detections), at most ``most`` per query file.
+
+    mode is a number of ALIKE; stretches are alike when they share at least half of the shorter one. Modes
+    1 and 2 are windows; in the others a scan keeps what a query file has kept so far.
+    """
+    by_stretch, reference = ALIKE[mode]
+    clean = detections.dropna(subset=["video_q", "video_r", "score"]).where(~F.isnan("score"))
+    if mode <= 2:
+        keys = ["video_q"] if mode == 1 else ["video_q", "video_r"]
+        order = W.partitionBy(*keys).orderBy(F.desc("score"), "video_r", "sec_start_q", "sec_start_r")
+        out = clean.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).drop("rank")
+    else:
+        columns = [c.split()[0] for c in _DETECTION.split(", ")]
+
+        def alike(a: tuple, b: tuple) -> bool:
+            if by_stretch and _overlap(a[2], a[3], b[2], b[3]) < 0.5:
+                return False
+            return reference == "any" or (a[4] == b[4] and (reference == "file" or _overlap(a[5], a[6], b[5], b[6]) >= 0.5))
+
+        def single(group: list[tuple]) -> list[tuple]:
+            kept: list[tuple] = []
+            for row in group:
+                if (most is None or len(kept) < most) and not any(alike(row, k) for k in kept):
+                    kept.append(row)
+            return [k[: len(columns)] for k in kept]
+
+        out = apply_groups(clean.select(*columns).withColumn("worse", -F.col("score")), ["video_q"], ["worse", "video_r", "sec_start_q", "sec_start_r"], single, _DETECTION)
+    return rank_detections(out).where(F.col("rank") <= most).drop("rank") if most else out
+
+
+def _overlap(s1: float, e1: float, s2: float, e2: float) -> float:
+    """Shared part of the shorter of two stretches; 0 if one has an unknown end."""
+    if None in (s1, e1, s2, e2):
+        return 0.0
+    over, shorter = min(e1, e2) - max(s1, s2), min(e1 - s1, e2 - s2)
+    return 0.0 if over <= 0 else 1.0 if shorter <= 0 else over / shorter
+
+
 def rank_detections(detections: DataFrame) -> DataFrame:
     """detections with their rank by score within the query file; ties by reference file and start."""
     order = W.partitionBy("video_q").orderBy(F.desc("score"), "video_r", "sec_start_q", "sec_start_r")

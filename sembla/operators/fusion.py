@@ -21,6 +21,26 @@ def _lists(lists: list[DataFrame], scale: list[float] | None) -> DataFrame:
     return union.join(lists[0].select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id", "ref_id", "list").agg(F.min("distance").alias("distance"))
 
 
+def limit_list(result: DataFrame, most: int | None = None, farthest: float | None = None) -> DataFrame:
+    """A list of neighbours as it is loaded for a fusion: at most ``most`` per query, none over the distance ``farthest``."""
+    out = result.where(F.col("distance") <= farthest) if farthest is not None else result
+    return _ranked(out.select("query_id", "ref_id", "distance"), most)
+
+
+def longest_list(result: DataFrame) -> int:
+    """Neighbours of the longest list of a result: the length of a fusion that is to be as long as its first list."""
+    return int(result.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+
+
+def fuse_search_times(times: list[DataFrame], how: str = "SUM") -> DataFrame:
+    """name_file, search_time of the files of the first result: SUM, MAX, or AVG (to whole numbers) of their times in all results."""
+    union = reduce(DataFrame.unionByName, (t.select("name_file", "search_time").distinct().withColumn("list", F.lit(i)) for i, t in enumerate(times)))
+    total = {"SUM": F.sum("search_time"), "MAX": F.max("search_time"), "AVG": F.floor(F.avg("search_time") + 0.5).cast("double")}
+    if how not in total:
+        raise ValueError(f"unknown way to fuse times {how}")
+    return union.join(times[0].select("name_file").distinct(), "name_file", "left_semi").groupBy("name_file").agg(total[how].alias("search_time"))
+
+
 def merge_concatenate(lists: list[DataFrame], k: int | None = None, scale: list[float] | None = None) -> DataFrame:
     """Union of the lists of a query; a reference in several lists keeps its smallest distance."""
     return _ranked(_lists(lists, scale).groupBy("query_id", "ref_id").agg(F.min("distance").alias("distance")), k)
@@ -90,6 +110,16 @@ def rank_curve(answers: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy("rank").agg(F.sum("found").alias("corrects"), F.max(F.col("found") / F.col("rank")).alias("best_precision"))
 
 
+def recall_curve(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per rank, over all queries with truth: recall and precision of what is answered up to it; a list that ends before counts as it is."""
+    rows = judged(answers, truth)
+    total = truth.select("query_id", "ref_id").distinct().count()
+    per = rows.groupBy("rank").agg(F.sum("correct").alias("hits"), F.count(F.lit(1)).alias("answers"))
+    # one row per rank, bounded by the answers asked for
+    upto = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    return per.select("rank", (F.sum("hits").over(upto) / F.lit(max(total, 1))).alias("recall"), (F.sum("hits").over(upto) / F.sum("answers").over(upto)).alias("precision"))
+
+
 def by_category(per_query: DataFrame, categories: DataFrame) -> DataFrame:
     """Means of average precision per category; a query of the category without answers counts as 0."""
     joined = categories.select("query_id", "category").join(per_query, "query_id", "left")
@@ -97,11 +127,12 @@ def by_category(per_query: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def outcome_strings(answers: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per query a character per answer in order: C correct, D a repeated correct one, . wrong."""
+    """Per query a character per answer in order: C correct, D a repeated correct one, . wrong, ? of a query without truth."""
     known = truth.select("query_id", "ref_id").distinct().withColumn("hit", F.lit(1))
-    marked = answers.join(truth.select("query_id").distinct(), "query_id", "left_semi").join(known, ["query_id", "ref_id"], "left")
+    asked = truth.select("query_id").distinct().withColumn("asked", F.lit(1))
+    marked = answers.join(asked, "query_id", "left").join(known, ["query_id", "ref_id"], "left")
     again = F.row_number().over(W.partitionBy("query_id", "ref_id").orderBy("rank"))
-    mark = F.when(F.col("hit").isNull(), ".").when(F.col("again") > 1, "D").otherwise("C")
+    mark = F.when(F.col("asked").isNull(), "?").when(F.col("hit").isNull(), ".").when(F.col("again") > 1, "D").otherwise("C")
     # a list is bounded by the answers asked for
     rows = marked.withColumn("again", again).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", mark.alias("m")))).alias("s"))
     return rows.select("query_id", F.array_join(F.transform("s", lambda x: x["m"]), "").alias("outcome"))

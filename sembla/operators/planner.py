@@ -40,7 +40,7 @@ def _hashing(q: DataFrame, r: DataFrame, key: str, vector: str, distance: str, k
 def _cells(q: DataFrame, r: DataFrame, key: str, vector: str, distance: str, k: int, limit: float | None, far: bool, p: dict[str, str]) -> DataFrame:
     if far or distance.upper() != "L2":
         raise ValueError("cells search the nearest by L2")
-    sample = r.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(20_000)
+    sample = S.hashed_sample(r.where(F.col(vector).isNotNull()), key, 20_000)
     state = C.kmeans(sample, key, vector, int(p.get("branching", 32)), max_steps=int(p.get("iterations", 5)))
     out = S.ivf_join(q, r, key, vector, state.centroids.tolist(), k, int(p.get("probe", 4)))
     return out.where(F.col("distance") <= limit) if limit else out
@@ -94,8 +94,8 @@ def bit_lsh_join(queries: DataFrame, references: DataFrame, key: str, vector: st
 
 def distance_norm(df: DataFrame, key: str, vector: str, distance: str, alpha: float, sample: int = 500) -> float:
     """The alpha-quantile of distances between a bounded sample in hashed order and all rows; 0 counts as 1."""
-    some = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample)
-    pairs = S.range_join(some.limit(max(10, sample // 10)), some, key, vector, float("inf"), distance).where("query_id <> ref_id")
+    some = S.hashed_sample(df.where(F.col(vector).isNotNull()), key, sample)
+    pairs = S.range_join(S.hashed_sample(some, key, max(10, sample // 10)), some, key, vector, float("inf"), distance).where("query_id <> ref_id")
     row = value_at_quantile(histogram(pairs, "distance", 1000), alpha).first()
     return float(row[0]) if row and row[0] else 1.0
 
@@ -157,6 +157,30 @@ def load_pivots(spark: SparkSession, path: str) -> list[tuple[int, list[float]]]
     return [(r.id, r.vector) for r in spark.read.parquet(path).orderBy("number").collect()]
 
 
+def save_histogram(hist: DataFrame, path: str) -> None:
+    """A histogram as text: bin, interval, amount, share, accumulated amount and share, a line per bin in order."""
+    cols = ["bin", "interval_start", "interval_end", "amount", "pct", "accumulated", "accumulated_pct"]
+    hist.orderBy("bin").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in cols)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """The histogram that save_histogram wrote."""
+    kinds = {"bin": "long", "interval_start": "double", "interval_end": "double", "amount": "long", "pct": "double", "accumulated": "long", "accumulated_pct": "double"}
+    parts = F.split("value", "\t")
+    return spark.read.text(path).select(*(parts[i].cast(k).alias(c) for i, (c, k) in enumerate(kinds.items())))
+
+
+def save_search(path: str, distance: str, index: str, spark: SparkSession) -> None:
+    """A distance and an index, each as its parameter string, to search again with what search takes."""
+    spark.createDataFrame([("distance", distance), ("index", index)], "name string, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_search(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(distance, index) that save_search wrote."""
+    found = {r.name: r.value for r in spark.read.schema("name string, value string").json(path).collect()}
+    return found["distance"], found["index"]
+
+
 def report(result: DataFrame, references: DataFrame | None = None, key: str = "id", description: str = "description", most: int = 50) -> DataFrame:
     """Result lines (query_id, rank, line) with the references' descriptions, which are left out over ``most`` rows."""
     few = references is not None and result.limit(most + 1).count() <= most

@@ -80,7 +80,9 @@ def interpolate_truth(queries: DataFrame, truth: DataFrame, references: DataFram
     end_r; references: r_file, r_segment, r_start, r_end. A query second inside a true
     segment is mapped linearly; the reference frame that contains it matches.
     """
-    both = queries.join(truth, "q_file").where((F.col("q_second") >= F.col("start_q")) & (F.col("q_second") <= F.col("end_q")) & (F.col("end_q") > F.col("start_q")))
+    bins = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
+    asked = queries.withColumn("__q", F.floor(F.col("q_second") / width))
+    both = asked.join(truth.where(F.col("end_q") > F.col("start_q")).withColumn("__q", bins("start_q", "end_q")), ["q_file", "__q"]).where((F.col("q_second") >= F.col("start_q")) & (F.col("q_second") <= F.col("end_q")) & (F.col("end_q") > F.col("start_q")))
     share = (F.col("q_second") - F.col("start_q")) / (F.col("end_q") - F.col("start_q"))
     mapped = both.withColumn("r_second", F.col("start_r") + share * (F.col("end_r") - F.col("start_r"))).withColumn("__b", F.floor(F.col("r_second") / width))
     binned = references.withColumn("__b", F.explode(F.sequence(F.floor(F.col("r_start") / width), F.floor(F.col("r_end") / width))))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sembla.plans import media_queries, problem_queries, stream_queries, vector_queries
+from sembla.plans import media_queries, problem_queries, source_queries, stream_queries, vector_queries
 
-_MODULES = [problem_queries, vector_queries, media_queries, stream_queries]
+_MODULES = [problem_queries, vector_queries, media_queries, source_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -108,6 +108,11 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the folder of this application's tables."""
+    return f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table of write_table; nothing happens if it is gone already."""
     jvm = spark.sparkContext._jvm

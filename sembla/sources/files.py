@@ -217,6 +217,60 @@ def write_neighbours(result: DataFrame, path: str) -> None:
     files.select("name_file", F.concat(head, F.lit("\n"), F.array_join("rows", "\n")).alias("value")).write.mode("overwrite").partitionBy("name_file").text(path)
 
 
+def write_vector_neighbours(result: DataFrame, path: str) -> None:
+    """Results of local vectors as text: per frame a head line and a line per local vector.
+
+    result: name_query (file@segment), search_time, vector and vector_nn (x, y, radius, angle), name_nn, rank, distance.
+    """
+    spot = lambda v: F.format_string("%.1f,%.1f,%.3f,%.1f", *(F.col(f"{v}.{c}").cast("double") for c in ("x", "y", "radius", "angle")))
+    near = F.concat(F.col("name_nn"), F.lit("|"), spot("vector_nn"), F.lit("\t"), F.col("distance").cast("string"))
+    lists = result.select("name_query", "search_time", spot("vector").alias("v"), F.struct("rank", near.alias("t")).alias("n")).groupBy("name_query", "search_time", "v").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["t"]), "\t").alias("l"))
+    # a frame's local vectors are bounded by its key points
+    frames = lists.groupBy("name_query", "search_time").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.concat_ws("\t", "v", "l"))).alias("rows"))
+    head = F.concat(F.lit("query="), F.col("name_query"), F.lit("\tvectors="), F.col("n").cast("string"), F.lit("\tsearch_time="), F.format_string("%.3f", F.col("search_time").cast("double")))
+    frames.select(F.concat(head, F.lit("\n"), F.array_join("rows", "\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_vector_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of such a text: name_query, search_time, vector, rank, name_nn, vector_nn, distance; places as x,y,radius,angle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["value"]:
+                name, seconds = None, 0.0
+                for line in text.split("\n"):
+                    parts = line.split("\t")
+                    if line.startswith("query="):
+                        name, seconds = parts[0].partition("=")[2], float(parts[2].partition("=")[2])
+                    elif line.strip() and not line.startswith("#"):
+                        for i, (near, d) in enumerate(zip(parts[1::2], parts[2::2])):
+                            frame, _, place = near.rpartition("|")
+                            out.append((name, seconds, parts[0], i + 1, frame, place, float(d)))
+            yield pd.DataFrame(out, columns=["name_query", "search_time", "vector", "rank", "name_nn", "vector_nn", "distance"])
+
+    return spark.read.text(path, wholetext=True).transform(map_pandas, run, "name_query string, search_time double, vector string, rank int, name_nn string, vector_nn string, distance double")
+
+
+def write_descriptors(df: DataFrame, file: str, segment: str, vector: str, folder: str, descriptor: str, segmentation: str = "", kind: str = "FLOAT", text: bool = False) -> None:
+    """A store of descriptors: rows by file in ``data`` (columnar, with text also lines in ``text``), and the properties in ``properties``."""
+    spark, (_, element) = df.sparkSession, TYPES[kind]
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(file).alias("file"), F.col(segment).cast("long").alias("num_segment"), F.transform(vector, lambda x: x.cast(element)).alias("descriptor"))
+    width = rows.agg(F.max(F.size("descriptor"))).first()[0] or 0
+    properties = {"descriptor": descriptor, "segmentation": segmentation, "descriptor_type": f"ARRAY_{kind}", "array_length": width, "num_subarrays": 1, "subarray_length": width, "single_file": "false"}
+    rows.repartition("file").sortWithinPartitions("file", "num_segment").write.mode("overwrite").parquet(f"{folder}/data")
+    if text:
+        rows.select(F.concat_ws("\t", "file", "num_segment", F.array_join(F.transform("descriptor", lambda x: x.cast("string")), " ")).alias("value")).write.mode("overwrite").text(f"{folder}/text")
+    spark.createDataFrame([(i, f"{k}={v}") for i, (k, v) in enumerate(properties.items())], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(f"{folder}/properties")
+
+
+def read_descriptors(spark: SparkSession, folder: str, files: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Rows (file, num_segment, descriptor) and properties of a store; only those of ``files`` (column file) if given."""
+    properties = dict(r.value.split("=", 1) for r in _lines(spark, f"{folder}/properties").collect())
+    rows = spark.read.parquet(f"{folder}/data")
+    return (rows.join(files.select("file").distinct(), "file", "left_semi") if files is not None else rows), properties
+
+
 _DETECTION = ["score", "video_q", "sec_start_q", "sec_end_q", "video_r", "sec_start_r", "sec_end_r", "num_voters", "num_misses"]
 
 

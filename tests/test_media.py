@@ -9,6 +9,7 @@ from sembla.functions import pixels as P
 from sembla.functions import strings as X
 from sembla.operators import dataset as D
 from sembla.operators import detect as E
+from sembla.operators import fusion as U
 from sembla.operators import segments as G
 from sembla.operators import stats as T
 from sembla.operators import text as W
@@ -298,3 +299,38 @@ def test_streams(spark, tmp_path):
     got = []
     R.stream_search(stream.where("id < 5"), data, "id", "v", "L2", 2, lambda df, n: got.extend(df.collect()), str(tmp_path / "c3")).awaitTermination()
     assert {(r.query_id, r.ref_id) for r in got if r["rank"] == 1} == {(i, i) for i in range(5)}
+
+
+def test_single_detections(spark):
+    rows = [(5.0, "q", 0.0, 10.0, "a", 0.0, 10.0, 3, 0), (4.0, "q", 1.0, 9.0, "a", 1.0, 9.0, 3, 0), (3.0, "q", 20.0, 30.0, "a", 0.0, 10.0, 3, 0), (2.0, "q", 0.0, 10.0, "b", 50.0, 60.0, 3, 0), (1.0, "q", 40.0, 50.0, "a", 90.0, 99.0, 3, 0), (9.0, None, 0.0, 1.0, "a", 0.0, 1.0, 1, 0), (None, "q", 0.0, 1.0, "a", 0.0, 1.0, 1, 0)]
+    df = spark.createDataFrame(rows, E._DETECTION)
+    kept = {m: sorted((r.score for r in E.keep_single(df, m).collect()), reverse=True) for m in E.ALIKE}
+    assert kept == {1: [5.0], 2: [5.0, 2.0], 3: [5.0, 2.0, 1.0], 4: [5.0, 3.0, 1.0], 5: [5.0, 3.0, 2.0, 1.0], 6: [5.0, 3.0, 2.0, 1.0]}
+    assert [r.score for r in E.keep_single(df, 6, 2).collect()] == [5.0, 3.0] and E.keep_single(df.limit(0), 4).count() == 0
+
+
+def test_fusion_options(spark):
+    near = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.7), (1, 9, 2.0), (2, 7, 0.1)], "query_id long, ref_id long, distance double")
+    assert [(r.query_id, r.ref_id) for r in U.limit_list(near, 2, 1.0).orderBy("query_id", "rank").collect()] == [(1, 7), (1, 8), (2, 7)]
+    assert U.longest_list(near) == 3 and U.longest_list(near.limit(0)) == 0
+    one, two = (spark.createDataFrame(x, "name_file string, search_time double") for x in ([("a", 1.0)], [("a", 2.0), ("b", 5.0)]))
+    assert [[tuple(r) for r in U.fuse_search_times([one, two], how).collect()] for how in ("SUM", "MAX", "AVG")] == [[("a", 3.0)], [("a", 2.0)], [("a", 2.0)]]
+    answers = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 9), (3, 1, 1)], "query_id long, rank int, ref_id long")
+    truth = spark.createDataFrame([(1, 7), (1, 5), (2, 1)], "query_id long, ref_id long")
+    assert {(r["rank"], round(r.recall, 6), round(r.precision, 6)) for r in U.recall_curve(answers, truth).collect()} == {(1, 0.333333, 0.5), (2, 0.333333, 0.333333)}
+    assert {tuple(r) for r in U.outcome_strings(answers, truth).collect()} == {(1, "C."), (2, "."), (3, "?")}
+
+
+def test_sources_and_sinks(spark, data):
+    """Every query on files gives what its SQL gives."""
+    import duckdb
+    from sembla.plans import source_queries as Z
+
+    con = duckdb.connect()
+    for table in ("media_catalog", "search_segment", "detection", "query_txt", "documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    for name in ("io_strings", "io_catalog", "io_neighbours", "io_vector_neighbours", "io_detections", "io_shots", "io_vocabulary"):
+        df = Z.QUERIES[name](spark, data)
+        columns = sorted(df.columns)
+        sql = con.execute(f"SELECT {', '.join(columns)} FROM ({Z.SQL[name]})").fetchall()
+        assert sorted(map(str, map(tuple, df.select(*columns).collect()))) == sorted(map(str, sql)), name
