@@ -29,6 +29,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("segment_uid").alias("query_uid"), F.col("neighbour").alias("reference_uid"))
 
 
+_USABLE = "u AS (SELECT DISTINCT segment_uid AS uid, collection_name AS side, CAST(descriptor AS FLOAT[32]) AS x FROM search_segment WHERE len(descriptor) = 32 AND list_max(descriptor) > 0)"
+P1_SQL = f"""
+WITH {_USABLE}, k AS (
+  SELECT q.uid AS query_uid, r.uid AS reference_uid, row_number() OVER (PARTITION BY q.uid ORDER BY array_distance(q.x, r.x), r.uid) AS n
+  FROM u q, u r WHERE q.side = 'query' AND r.side = 'reference'
+)
+SELECT query_uid, reference_uid FROM k WHERE n <= 5
+"""
+P2_SQL = f"""
+WITH {_USABLE}
+SELECT a.uid AS segment_uid, min(b.uid) AS cluster_uid FROM u a, u b WHERE array_distance(a.x, b.x) <= 160 GROUP BY a.uid HAVING count(*) >= 20
+"""
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every usable segment in a group of at least 20 alike segments."""
     members, _ = density_clusters(usable_segments(spark, sf_dir), "segment_uid", "descriptor", resolution=160.0, dtype="uint8", summary=False)
@@ -149,4 +163,4 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_templates": p8_templates, "p9_found": p9_found, "p9_redacted": p9_redacted}
-SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
