@@ -66,8 +66,10 @@ def _stream(batches: Iterable[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def against(queries: DataFrame, references: DataFrame, scan: Callable[[Block], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str, most: int | None = None) -> DataFrame:
-    """scan(block of queries)(batches of references) for every block against all references; both sides are id, v, g.
+def against(queries: DataFrame, references: DataFrame, scan: Callable, schema: str, most: int | None = None, unpack: Callable = _unpacked) -> DataFrame:
+    """scan(block of queries)(batches of references) for every block against all references; both sides begin with id.
+
+    A block is what unpack makes of a table of queries (None: nothing to do).
 
     Up to ``most`` queries (QUERY_BLOCK) are one block, which is broadcast: the references are
     scanned where they are. More are a grid: queries in blocks and references in batches are
@@ -78,7 +80,7 @@ def against(queries: DataFrame, references: DataFrame, scan: Callable[[Block], C
     spark, most = references.sparkSession, most or QUERY_BLOCK
     parts = max(1, math.ceil(queries.count() / most))
     if parts == 1:
-        block = _unpacked(queries.toArrow())
+        block = unpack(queries.toArrow())
         if block is None:
             return spark.createDataFrame([], schema)
         shared = spark.sparkContext.broadcast(block)
@@ -86,7 +88,7 @@ def against(queries: DataFrame, references: DataFrame, scan: Callable[[Block], C
     lanes = max(1, math.ceil(4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / parts))
 
     def pack_block(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([_stream(table.select(["id", "v", "g"]).combine_chunks().to_batches())], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([_stream(table.drop_columns(["block"]).combine_chunks().to_batches())], pa.binary())})
 
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +98,7 @@ def against(queries: DataFrame, references: DataFrame, scan: Callable[[Block], C
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, r in zip(batch.column(0), batch.column(1)):
-                block = _unpacked(pa.ipc.open_stream(q.as_buffer()).read_all())
+                block = unpack(pa.ipc.open_stream(q.as_buffer()).read_all())
                 if block:
                     yield from scan(block)(iter(pa.ipc.open_stream(r.as_buffer()).read_all().to_batches()))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sembla.session import map_arrow, ship_package
+from sembla.session import ship_package
 
 
 class Porter:
@@ -135,110 +135,106 @@ def sparse_knn(weights: DataFrame, key: str, queries: DataFrame, k: int, block:
     """The k nearest documents of each query by cosine distance sqrt(2 (1 - dot)), or by L1; without unrelated only those that share a word.
 
     queries: key of the query set. Its vectors are held in blocks of at most
-    ``block`` documents as an inverted list; the documents stream past, each as one
-    row of its words, and no pairs are shuffled but a batch's best ones. The query
-    itself is left out. Dot products are rounded to 9 decimals, so that ties of equal
-    documents don't depend on the order of summation. Rows (query_id, rank, ref_id, distance).
+    ``block`` documents as inverted lists; the documents stream past, each as one
+    row of its words, and no pairs are shuffled but a task's best ones (see against for
+    more than one block). The query itself is left out. Dot products are rounded to 9
+    decimals, so that ties of equal documents don't depend on the order of summation.
+    Rows (query_id, rank, ref_id, distance).
 
     unrelated, for L1 only: the nearest are looked for among all documents. One that shares
-    no word is as far as both masses (sums of weights) together. A task keeps the k best
-    per query. Documents without any weight have no vector and are left out.
+    no word is as far as both masses (sums of weights) together. Documents without any
+    weight have no vector and are left out.
     """
+    from sembla.operators.search import against
+
     if metric not in ("cosine", "L1"):
         raise ValueError(f"unknown metric {metric}")
     if unrelated and metric != "L1":
         raise ValueError("all documents are ranked by L1 only")
-    spark = weights.sparkSession
     packed = weights.groupBy(F.col(key).cast("long").alias("id")).agg(F.collect_list(F.struct("word", "weight")).alias("v"))
     asked = weights.join(queries.select(key).distinct(), key, "left_semi").groupBy(F.col(key).cast("long").alias("id")).agg(F.collect_list(F.struct("word", "weight")).alias("v"))
-    n = queries.select(key).distinct().count()
-    parts = max(1, math.ceil(n / block))
-    found: DataFrame | None = None
-    schema = "query_id long, ref_id long, distance double"
-    for part in range(parts):
-        inverted: dict[str, list[tuple[int, float]]] = {}
-        mass: dict[int, float] = {}
-        for row in asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect():
-            mass[row.id] = sum(abs(e.weight) for e in row.v)
-            for e in row.v:
-                inverted.setdefault(e.word, []).append((row.id, e.weight))
-        shared = spark.sparkContext.broadcast((inverted, mass))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lists, masses = shared.value
-            for batch in batches:
-                best: dict[int, list[tuple[float, int]]] = {}
-                for ref, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    dots: dict[int, float] = {}
-                    for e in vector:
-                        x = e["weight"]
-                        for q, w in lists.get(e["word"], ()):
-                            # what a shared word adds: to the dot product, or to the sum of both masses
-                            dots[q] = dots.get(q, 0.0) + (w * x if metric == "cosine" else abs(w - x) - abs(w) - abs(x))
-                    own = sum(abs(e["weight"]) for e in vector)
-                    for q, dot in dots.items():
-                        if q != ref:
-                            d = math.sqrt(2 * abs(1 - round(dot, 9))) if metric == "cosine" else round(masses[q] + own + dot, 9)
-                            best.setdefault(q, []).append((d, ref))
-                rows = [(q, ref, d) for q, near in best.items() for d, ref in sorted(near)[:k]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "ref_id", "distance"])
-
-        piece = packed.transform(map_arrow, _l1_to_all(shared, k) if unrelated else run, schema)
-        found = piece if found is None else found.unionByName(piece)
+    found = against(asked, packed, _sparse_scan(k, metric, unrelated), "query_id long, ref_id long, distance double", block, _inverted)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")
 
 
-def _l1_to_all(shared, k: int, tile: int = 256, most: int = 1_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The k nearest documents by L1 of every query of a block, whether they share a word or not.
-
-    Documents are taken at most ``tile`` at a time, or as many as meet ``most`` entries of the inverted list.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inverted, masses = shared.value
-        ids, mass = np.array(list(masses), np.int64), np.array(list(masses.values()))
-        at, number = {q: i for i, q in enumerate(masses)}, {w: i for i, w in enumerate(inverted)}
-        ends = np.cumsum([0, *map(len, inverted.values())])
-        entry_q = np.array([at[q] for near in inverted.values() for q, _ in near], np.int64)
-        entry_w = np.array([w for near in inverted.values() for _, w in near])
-        # the best so far: place of the query, distance, document
-        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        limit = np.full(len(ids), np.inf)
-        for batch in batches:
-            refs, flat = batch.column(0).to_numpy(), batch.column(1).flatten()
-            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())])
-            word = np.array([number.get(w, -1) for w in flat.field(0).to_pylist()], np.int64)
-            x = flat.field(1).to_numpy()
-            doc = np.repeat(np.arange(len(refs)), np.diff(starts))
-            own = np.bincount(doc, np.abs(x), len(refs))
-            known = word >= 0
-            word, x, doc = word[known], x[known], doc[known]
-            size = ends[word + 1] - ends[word]
-            load = np.concatenate([[0], np.cumsum(np.bincount(doc, size, len(refs)))])
-            a = 0
-            while a < len(refs):
-                z = min(a + tile, max(a + 1, int(np.searchsorted(load, load[a] + most, "right")) - 1), len(refs))
-                low, high = np.searchsorted(doc, [a, z])
-                n = size[low:high]
-                entry = np.arange(n.sum()) + np.repeat(ends[word[low:high]] - np.cumsum(n) + n, n)
-                w, y = entry_w[entry], np.repeat(x[low:high], n)
-                # what a shared word adds to the sum of both masses
-                extra = np.bincount(entry_q[entry] * (z - a) + np.repeat(doc[low:high] - a, n), np.abs(w - y) - np.abs(w) - np.abs(y), len(ids) * (z - a))
-                d = np.round(mass[:, None] + own[a:z] + extra.reshape(len(ids), z - a), 9)
-                q, r = np.nonzero((d <= limit[:, None]) & (ids[:, None] != refs[a:z]))
-                q, d, r = (np.concatenate(c) for c in zip(best, (q, d[q, r], refs[a:z][r])))
-                order = np.lexsort((r, d, q))
-                q, d, r = q[order], d[order], r[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                best = tuple(c[place < k] for c in (q, d, r))
-                limit[q[place == k - 1]] = d[place == k - 1]
-                a = z
-        if len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "ref_id", "distance"])
-
-    return run
+@dataclass
+class _Lists:
+    """Inverted lists of a block of queries: for word i the entries ends[i] .. ends[i + 1] (query, weight)."""
+
+    ids: np.ndarray
+    mass: np.ndarray
+    vocabulary: pa.Array
+    ends: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+
+def _inverted(table: pa.Table) -> _Lists | None:
+    if not table.num_rows:
+        return None
+    lists = table.column(1).combine_chunks()
+    flat = lists.flatten()
+    query = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy())
+    words_ = flat.field(0).dictionary_encode()
+    weight, code = flat.field(1).to_numpy(), words_.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(words_.dictionary)))])
+    return _Lists(table.column(0).to_numpy(), np.bincount(query, np.abs(weight), table.num_rows), words_.dictionary, ends, query[order], weight[order])
+
+
+def _sparse_scan(k: int, metric: str, unrelated: bool, tile: int = 256, most: int = 1_000_000) -> Callable:
+    """The k nearest documents of every query of a block; documents are taken at most ``tile`` at a time, or as many as meet ``most`` entries."""
+
+    def scan(lists: _Lists) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, ends = lists.ids, lists.ends
+            # the best so far: place of the query, distance, document
+            best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+            limit = np.full(len(ids), np.inf)
+            for batch in batches:
+                refs, flat = batch.column(0).to_numpy(), batch.column(1).flatten()
+                word = pc.index_in(flat.field(0), value_set=lists.vocabulary).fill_null(-1).to_numpy()
+                x = flat.field(1).to_numpy()
+                doc = np.repeat(np.arange(len(refs)), pc.list_value_length(batch.column(1)).to_numpy())
+                own = np.bincount(doc, np.abs(x), len(refs))
+                known = word >= 0
+                word, x, doc = word[known], x[known], doc[known]
+                size = ends[word + 1] - ends[word]
+                load = np.concatenate([[0], np.cumsum(np.bincount(doc, size, len(refs)))])
+                a = 0
+                while a < len(refs):
+                    z = min(a + tile, max(a + 1, int(np.searchsorted(load, load[a] + most, "right")) - 1), len(refs))
+                    low, high = np.searchsorted(doc, [a, z])
+                    n = size[low:high]
+                    entry = np.arange(n.sum()) + np.repeat(ends[word[low:high]] - np.cumsum(n) + n, n)
+                    w, y = lists.weight[entry], np.repeat(x[low:high], n)
+                    cell = lists.query[entry] * (z - a) + np.repeat(doc[low:high] - a, n)
+                    cells = len(ids) * (z - a)
+                    if metric == "cosine":
+                        d = np.sqrt(2 * np.abs(1 - np.round(np.bincount(cell, w * y, cells), 9)))
+                    else:
+                        # what a shared word adds to the sum of both masses
+                        extra = np.bincount(cell, np.abs(w - y) - np.abs(w) - np.abs(y), cells)
+                        d = np.round((lists.mass[:, None] + own[a:z]).ravel() + extra, 9)
+                    d = d.reshape(len(ids), z - a)
+                    good = (d <= limit[:, None]) & (ids[:, None] != refs[a:z])
+                    if not unrelated:
+                        good &= np.bincount(cell, minlength=cells).reshape(d.shape) > 0
+                    q, r = np.nonzero(good)
+                    q, d, r = (np.concatenate(c) for c in zip(best, (q, d[q, r], refs[a:z][r])))
+                    order = np.lexsort((r, d, q))
+                    q, d, r = q[order], d[order], r[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    best = tuple(c[place < k] for c in (q, d, r))
+                    limit[q[place == k - 1]] = d[place == k - 1]
+                    a = z
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "ref_id", "distance"])
+
+        return run
+
+    return scan
 
 
 def segment_terms(lines: DataFrame, segments: DataFrame, key: str, width: float = 10.0) -> DataFrame:

@@ -277,9 +277,9 @@ def sparse_cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sparse_knn(_weights(spark, sf_dir), "doc_id", q, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id")
 
 
-@query(_TFIDF + ", q AS (SELECT doc_id, sum(weight) AS s FROM z GROUP BY 1), p AS (SELECT a.doc_id AS query_id, b.doc_id AS ref_id, round(any_value(x.s) + any_value(y.s) + sum(abs(a.weight - b.weight) - a.weight - b.weight), 9) AS d FROM z a JOIN z b ON a.word = b.word JOIN q x ON x.doc_id = a.doc_id JOIN q y ON y.doc_id = b.doc_id WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2) SELECT query_id, rank, ref_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM p) WHERE rank <= 5")
+@query(_TFIDF + ", q AS (SELECT doc_id, sum(weight) AS s FROM z GROUP BY 1), e AS (SELECT a.doc_id AS qid, b.doc_id AS rid, sum(abs(a.weight - b.weight) - a.weight - b.weight) AS x FROM z a JOIN z b ON a.word = b.word WHERE a.doc_id % 100 = 0 GROUP BY 1, 2), p AS (SELECT a.doc_id AS query_id, b.doc_id AS ref_id, round(a.s + b.s + coalesce(x, 0), 9) AS d FROM q a JOIN q b ON a.doc_id <> b.doc_id LEFT JOIN e ON qid = a.doc_id AND rid = b.doc_id WHERE a.doc_id % 100 = 0) SELECT query_id, rank, ref_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM p) WHERE rank <= 5")
 def sparse_general_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by L1, among all documents: also those that share no word, which the SQL leaves out."""
+    """The same by L1, among all documents: also those that share no word."""
     q = _docs(spark, sf_dir).where("doc_id % 100 = 0").select("doc_id")
     return T.sparse_knn(_weights(spark, sf_dir), "doc_id", q, 5, metric="L1", unrelated=True).select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id")
 
