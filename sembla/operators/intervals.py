@@ -166,25 +166,38 @@ def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
     """Pairs of rows with equal keys whose closed intervals intersect.
 
-    Each interval is put into the time bins of ``width`` that it touches and the
-    equi-join is on (keys, bin); a pair is kept in the first bin both share, so
-    it comes out once. The work is proportional to rows times bins touched plus
-    real bin-mates; choose width near the median length. Columns of the right
-    side that clash get the suffix ``_r``. Null keys or bounds never match.
+    Bins come on several levels, each four times as wide as the one before. An
+    interval's own level is the first whose bins are as long as it is, so that it
+    touches two at most; it stands in its bins on this level and on all coarser ones,
+    and a pair meets by an equi-join on (keys, level, bin) at the coarser of both own
+    levels, in the first bin both share, so it comes out once. An interval thus is a few
+    rows, whatever its length. Choose width near the length of short intervals. Columns of
+    the right side that clash get the suffix ``_r``. Null keys or bounds never match.
     """
     ls, le = left_span
     clash = set(left.columns) & set(right.columns)
     right = right.select(*(F.col(c).alias(f"{c}_r" if c in clash else c) for c in right.columns))
     rs, re_ = (f"{c}_r" if c in clash else c for c in right_span)
 
-    def binned(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
-        span = F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))
-        return df.where(F.col(e) >= F.col(s)).withColumn(name, F.explode(span))
+    def level(s: str, e: str) -> Column:
+        length = F.greatest(F.col(e) - F.col(s), F.lit(width)).cast("double") / width
+        return F.greatest(F.lit(0), F.ceil(F.log(length) / F.log(F.lit(4.0)) - 1e-9)).cast("int")
 
-    a, b = binned(left, ls, le, "__bl"), binned(right, rs, re_, "__br")
-    on = F.col("__bl") == F.col("__br")
+    def proper(df: DataFrame, s: str, e: str) -> DataFrame:
+        return df.where((F.col(e) >= F.col(s)) & ~F.isnan(F.col(s).cast("double")) & ~F.isnan(F.col(e).cast("double")))
+
+    left, right = proper(left, ls, le), proper(right, rs, re_)
+    top = left.agg(F.max(level(ls, le)).alias("m")).unionByName(right.agg(F.max(level(rs, re_)).alias("m"))).agg(F.max("m")).first()[0] or 0
+    wide = lambda at: F.lit(float(width)) * F.pow(F.lit(4.0), at)
+
+    def binned(df: DataFrame, s: str, e: str, own: str, at: str, name: str) -> DataFrame:
+        levelled = df.withColumn(own, level(s, e)).withColumn(at, F.explode(F.sequence(F.col(own), F.lit(int(top)))))
+        return levelled.withColumn(name, F.explode(F.sequence(F.floor(F.col(s) / wide(F.col(at))), F.floor(F.col(e) / wide(F.col(at))))))
+
+    a, b = binned(left, ls, le, "__ol", "__ll", "__bl"), binned(right, rs, re_, "__or", "__lr", "__br")
+    on = (F.col("__bl") == F.col("__br")) & (F.col("__ll") == F.col("__lr")) & (F.greatest("__ol", "__or") == F.col("__ll"))
     for k in keys:
         on = on & (a[k] == b[f"{k}_r" if k in clash else k])
-    first = F.floor(F.greatest(F.col(ls), F.col(rs)) / width)
+    first = F.floor(F.greatest(F.col(ls), F.col(rs)) / wide(F.col("__ll")))
     hit = (F.greatest(F.col(ls), F.col(rs)) <= F.least(F.col(le), F.col(re_))) & (F.col("__bl") == first)
-    return a.join(b, on).where(hit).drop("__bl", "__br")
+    return a.join(b, on).where(hit).drop("__bl", "__br", "__ll", "__lr", "__ol", "__or")

@@ -75,3 +75,14 @@ def test_overlap_join_and_ratio(spark):
     c = [F.lit(x) for x in (0.0, 4.0, 2.0, 10.0)]
     row = spark.range(1).select(overlap_ratio(*c).alias("a"), overlap_ratio(c[0], c[1], c[1], c[3]).alias("b"), overlap_ratio(c[0], c[3], c[2], c[1]).alias("c"), overlap_ratio(F.lit(None).cast("double"), *c[1:]).alias("d")).first()
     assert tuple(row) == (0.5, 0.0, 1.0, None)
+
+
+def test_overlaps_of_very_different_lengths(spark):
+    rng = random.Random(9)
+    make = lambda n: [(rng.choice("xy"), i, a := rng.uniform(-50, 1000), a + rng.choice([0.0, 0.1, 3.0, 40.0, 600.0, 1e7])) for i in range(n)]
+    one, two = make(120), make(120)
+    a, b = (spark.createDataFrame(x, "k string, i long, s double, e double") for x in (one, two))
+    got = [(r.i, r.i_r) for r in overlap_join(a, b, ["k"], ("s", "e"), ("s", "e"), 1.0).collect()]
+    want = {(x[1], y[1]) for x in one for y in two if x[0] == y[0] and max(x[2], y[2]) <= min(x[3], y[3])}
+    assert len(got) == len(want) and set(got) == want
+    assert overlap_join(a.limit(0), b, ["k"], ("s", "e"), ("s", "e"), 1.0).count() == 0
