@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sembla.session import write_table
+
 #: What an item that a list lacks gets, as a multiple of the worst normalised value in the list.
 MISSING = 1.5
 
+#: Criteria whose bounds may be broadcast.
+CRITERIA = 10_000
+
 
 def ideal_point_scores(
     df: DataFrame, key: str, criterion: str, item: str, value: str, winsor: tuple[float, float] = (0.01, 0.95), weights: dict[str, float] | None = None, closeness: str = "closeness"
@@ -33,9 +38,10 @@ def ideal_point_scores(
     rows = df.select(F.col(key).alias("q"), F.col(criterion).alias("c"), F.col(item).alias("i"), F.col(value).cast("double").alias("x"))
     rows = rows.where("q is not null and c is not null and i is not null and x is not null and not isnan(x)")
     once = rows.groupBy("q", "c", "i").agg(F.min("x").alias("x"))
-    # one row per criterion: their number doesn't grow with the data
-    bounds = rows.groupBy("c").agg(F.percentile_approx("x", list(winsor), 10_000).alias("b"))
-    clipped = once.join(F.broadcast(bounds), "c").select("q", "c", "i", F.greatest(F.col("b")[0], F.least(F.col("b")[1], "x")).alias("x"))
+    # one row per criterion, broadcast only if they are few
+    bounds, _ = write_table(rows.groupBy("c").agg(F.percentile_approx("x", list(winsor), 10_000).alias("b")), "bounds")
+    few = bounds.limit(CRITERIA + 1).count() <= CRITERIA
+    clipped = once.join(F.broadcast(bounds) if few else bounds, "c").select("q", "c", "i", F.greatest(F.col("b")[0], F.least(F.col("b")[1], "x")).alias("x"))
     lists = clipped.groupBy("q", "c").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.min("x").alias("low"), F.max("x").alias("high"))
     norm = F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
     weight = F.lit(1.0)

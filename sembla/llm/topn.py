@@ -102,7 +102,9 @@ def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, ascend
     states = _combine(found)
     behind = [r["run"] for r in found if r["single"] and states[r["run"]][0] == r["first_g"] and states[r["run"]][2] >= n]
     if behind:
-        runs = runs.where(~F.col(RUN).isin(behind)) if len(behind) < 1000 else runs
+        # one row per run at most
+        gone = df.sparkSession.createDataFrame([(b,) for b in behind], f"{RUN} {dict(runs.dtypes)[RUN]}")
+        runs = runs.join(F.broadcast(gone), RUN, "left_anti")
     fields = {f.name: f.dataType.simpleString() for f in work.schema.fields}
     schema = ", ".join([*(f"`{x}` {fields[x]}" for x in [*names, "__s", "__i"]), "__p long"])
 
