@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sembla.llm.groups import _propagate, smallest_linked, symmetric
-from sembla.llm.neighbours import NEAR, distinct_vectors, pack, window_neighbours
+from sembla.llm.groups import _propagate, hot_join, smallest_linked
+from sembla.llm.neighbours import NEAR, distinct_vectors, hot_nodes, pack, window_neighbours
 from sembla.llm.topn import top_n
 from sembla.session import drop_table, map_arrow, write_table
 
@@ -363,8 +363,10 @@ def density_clusters(df: DataFrame, key: str, vector: str, resolution: float, le
     inside = placed.join(chosen, "leaf").select("v", "c", "stability", "persistence")
     # every key of a node, by its vector
     twins = nodes.select(F.col("vec").alias("__vec"), F.col("bid").alias("v"))
-    keys = rows.select("__vec", "key").distinct().join(twins, "__vec").select("key", "v")
-    members, _ = write_table(keys.join(inside, "v").select("key", "c", "stability", "persistence"), "members")
+    hot = hot_nodes(nodes)
+    vectors, hubs = (hot.select(F.col("vec").alias("__vec")), hot.select(F.col("bid").alias("v"))) if hot is not None else (None, None)
+    keys = hot_join(rows.select("__vec", "key").distinct(), "__vec", twins, vectors).select("key", "v")
+    members, _ = write_table(hot_join(keys, "v", inside, hubs).select("key", "c", "stability", "persistence"), "members")
     names = members.groupBy("c").agg(F.min("key").alias("cluster"), F.count(F.lit(1)).alias("num_elements"), F.max("stability").alias("stability"))
     names, _ = write_table(names.where(F.col("num_elements") >= least), "names")
     out = members.join(names.select("c", "cluster"), "c").select(F.col("key").alias(key), "cluster", "persistence")

@@ -114,8 +114,8 @@ def symmetric(links: DataFrame) -> DataFrame:
     return links.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
 
 
-def _hot_join(big: DataFrame, key: str, small: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Inner join on key (unique in small); rows of big with a hot key (a bounded set) meet these by broadcast, so that they stay where they are."""
+def hot_join(big: DataFrame, key: str, small: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Inner join on key, few rows a key in small; rows of big with a hot key (a bounded set) meet these by broadcast, so that they stay where they are."""
     if hot is None:
         return big.join(small, key)
     few = small.join(F.broadcast(hot), key, "left_semi")
@@ -153,8 +153,8 @@ def _propagate(links: DataFrame) -> tuple[DataFrame, str]:
     hot = _hot_keys(short, "src", total)
     state, path = write_table(short.groupBy(F.col("src").alias("v")).agg(F.least(F.col("v"), F.min("dst")).alias("f")), "labels")
     while True:
-        grand = _hot_join(state, "f", state.select(F.col("v").alias("f"), F.col("f").alias("g")), _hot_keys(state, "f", total)).select("v", "f", "g")
-        offered = _hot_join(short, "src", grand.select(F.col("v").alias("src"), "g"), hot).groupBy(F.col("dst").alias("v")).agg(F.min("g").alias("m"))
+        grand = hot_join(state, "f", state.select(F.col("v").alias("f"), F.col("f").alias("g")), _hot_keys(state, "f", total)).select("v", "f", "g")
+        offered = hot_join(short, "src", grand.select(F.col("v").alias("src"), "g"), hot).groupBy(F.col("dst").alias("v")).agg(F.min("g").alias("m"))
         both = grand.join(offered, "v")
         offers = both.select(F.inline(F.array(
             F.struct(F.col("v"), F.least("m", "g", "f").alias("o"), F.col("f").alias("f")),

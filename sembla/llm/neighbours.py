@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sembla.llm.groups import HOT_SHARE, hot_join
 from sembla.operators.ordered import RUN, by_run, sorted_runs
 from sembla.session import map_arrow, write_table
 
@@ -29,6 +30,8 @@ TILE = 256
 BLOCK_ROWS = 1 << 14
 #: Sizes of nodes are told up to this number.
 SIZE_MOST = 1_000_000
+#: Records of a vector from which on it may be hot.
+HOT_ROWS = 100_000
 #: A neighbour in a packed list: its id, its distance and its size.
 NEAR = np.dtype([("id", "<i8"), ("d", "<f4"), ("n", "<i4")])
 
@@ -188,6 +191,13 @@ def distinct_vectors(rows: DataFrame, key: str, query: str, base: str) -> DataFr
     )
 
 
+def hot_nodes(nodes: DataFrame) -> DataFrame | None:
+    """vec, qid and bid of nodes with more than HOT_SHARE of all records, at least HOT_ROWS (1 / HOT_SHARE nodes at most); None if there are none."""
+    total, largest = nodes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    least = max(HOT_ROWS, int(HOT_SHARE * total))
+    return nodes.where(F.col("size") > least).select("vec", "qid", "bid") if largest > least else None
+
+
 def window_neighbours(nodes: DataFrame, k: int, dtype: str = "float32", curves: int = 6, width: int = 256, dims: int = 5, bits: int = 10, seed: int = 7, chain: bool = False) -> DataFrame:
     """For every query node and curve one row: qid, lane (the curve's number), block (a stretch of the curve), near (array of struct d, id, nearest first). With chain near is a packed list (NEAR) that ends with the next node on the curve, and own is the size of the node; sizes are at most SIZE_MOST.
 
@@ -289,9 +299,12 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int, query: str | N
     many = copies.where(F.size("ids") > 1).select(F.col("ids")[0].alias("bid"), "ids")
     askers = rows.where("q").select("__vec", "key").distinct()
     twins = nodes.where("qid >= 0").select(F.col("vec").alias("__vec"), "qid")
-    asked = askers.join(twins, "__vec").select("qid", "key")
+    # the keys of a vector that a large part of all rows bear stay spread
+    hot = hot_nodes(nodes)
+    pick = lambda c, name: hot.where(F.col(c) >= 0).select(F.col("vec" if name == "__vec" else c).alias(name)) if hot is not None else None
+    asked = hot_join(askers, "__vec", twins, pick("qid", "__vec")).select("qid", "key")
     ranked = best.join(many, "bid", "left").select("qid", "d", F.explode(F.coalesce("ids", F.array("bid"))).alias("n"))
-    full = ranked.join(asked, "qid").where("n <> key")
+    full = hot_join(asked, "qid", ranked, pick("qid", "qid")).where("n <> key")
     final = W.partitionBy("key").orderBy("d", "n")
     out = full.withColumn("r", F.row_number().over(final)).where(F.col("r") <= k)
     return out.select(F.col("key").alias(key), F.col("n").alias(neighbour), F.col("d").alias(distance))

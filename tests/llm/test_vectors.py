@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sembla.llm import clusters as C
+from sembla.llm import neighbours as N
 from sembla.llm.neighbours import hilbert_keys, similar_vectors
 
 
@@ -27,7 +28,9 @@ def test_hilbert_is_a_path():
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
-def test_neighbours_recall_copies_and_bad_rows(spark):
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_neighbours_recall_copies_and_bad_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(N, "HOT_ROWS", hot)
     x = blobs()
     n = len(x)
     bad = [(9000, None), (9001, []), (9002, [None] + [1.0] * 15), (9003, [float("nan")] * 16), (None, [1.0] * 16)]
@@ -102,7 +105,9 @@ def test_clusters(spark, local_edges):
     assert all(len(r.exemplars) == 3 and {got[e] for e in r.exemplars} == {c} for c, r in rows.items())
 
 
-def test_groups_of_few_vectors_with_many_copies(spark):
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_groups_of_few_vectors_with_many_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(N, "HOT_ROWS", hot)
     rng = np.random.default_rng(9)
     far = np.round(rng.uniform(0, 400, (40, 16)), 3)
     few = far[0] + np.round(rng.normal(0, 3, (3, 16)), 3)
