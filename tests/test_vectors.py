@@ -189,7 +189,7 @@ def test_evaluation(spark):
     assert per == {1: (3, 2, 0.5, 1), 2: (1, 0, 0.0, None), 3: (1, 0, 0.0, None)}
     s = U.evaluation_summary(answers, truth).first()
     assert (s.queries, round(s.map, 6), round(s.mean_first_rank, 6), s.corrects) == (3, round(0.5 / 3, 6), round(11 / 3, 6), 2)
-    assert {r.query_id: r.outcome for r in U.outcome_strings(answers, truth).collect()} == {1: "C.DC", 2: "."}
+    assert {r.query_id: r.outcome for r in U.outcome_strings(answers, truth).collect()} == {1: "C.DC", 2: ".", 7: "?"}
     assert {(r["rank"], r.corrects, r.best_precision) for r in U.rank_curve(answers, truth).collect()} == {(1, 1, 1.0), (2, 1, 0.5), (3, 1, 1 / 3), (4, 2, 0.5)}
     cats = spark.createDataFrame([(1, "a"), (8, "a"), (2, "b")], "query_id long, category string")
     assert {(r.category, r.queries, round(r.map, 6)) for r in U.by_category(U.average_precision(answers, truth), cats).collect()} == {("a", 2, 0.25), ("b", 1, 0.0)}
