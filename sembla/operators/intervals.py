@@ -168,7 +168,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
 
     Bins come on several levels, each four times as wide as the one before. An
     interval's own level is the first whose bins are as long as it is, so that it
-    touches two at most; it stands in its bins on this level and on all coarser ones,
+    touches two at most; it stands in its bins on this level and on the coarser ones that the other side has,
     and a pair meets by an equi-join on (keys, level, bin) at the coarser of both own
     levels, in the first bin both share, so it comes out once. An interval thus is a few
     rows, whatever its length. Choose width near the length of short intervals. Columns of
@@ -187,14 +187,17 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
         return df.where((F.col(e) >= F.col(s)) & ~F.isnan(F.col(s).cast("double")) & ~F.isnan(F.col(e).cast("double")))
 
     left, right = proper(left, ls, le), proper(right, rs, re_)
-    top = left.agg(F.max(level(ls, le)).alias("m")).unionByName(right.agg(F.max(level(rs, re_)).alias("m"))).agg(F.max("m")).first()[0] or 0
+    # at most one row per level on either side
+    sides = left.select(F.lit(0).alias("side"), level(ls, le).alias("at")).unionByName(right.select(F.lit(1).alias("side"), level(rs, re_).alias("at"))).distinct().collect()
+    levels = [sorted(r["at"] for r in sides if r["side"] == i) for i in (0, 1)]
     wide = lambda at: F.lit(float(width)) * F.pow(F.lit(4.0), at)
 
-    def binned(df: DataFrame, s: str, e: str, own: str, at: str, name: str) -> DataFrame:
-        levelled = df.withColumn(own, level(s, e)).withColumn(at, F.explode(F.sequence(F.col(own), F.lit(int(top)))))
+    def binned(df: DataFrame, s: str, e: str, own: str, at: str, name: str, others: list[int]) -> DataFrame:
+        coarser = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col(own))
+        levelled = df.withColumn(own, level(s, e)).withColumn(at, F.explode(F.concat(F.array(F.col(own)), coarser)))
         return levelled.withColumn(name, F.explode(F.sequence(F.floor(F.col(s) / wide(F.col(at))), F.floor(F.col(e) / wide(F.col(at))))))
 
-    a, b = binned(left, ls, le, "__ol", "__ll", "__bl"), binned(right, rs, re_, "__or", "__lr", "__br")
+    a, b = binned(left, ls, le, "__ol", "__ll", "__bl", levels[1]), binned(right, rs, re_, "__or", "__lr", "__br", levels[0])
     on = (F.col("__bl") == F.col("__br")) & (F.col("__ll") == F.col("__lr")) & (F.greatest("__ol", "__or") == F.col("__ll"))
     for k in keys:
         on = on & (a[k] == b[f"{k}_r" if k in clash else k])
