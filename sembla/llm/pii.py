@@ -276,7 +276,7 @@ def _gradient(model: TaggingModel, scores: np.ndarray, gold: np.ndarray, lengths
 
 
 @lru_cache(maxsize=2)
-def train_model(lines: int = 12000, rounds: int = 7, seed: int = 11) -> TaggingModel:
+def train_model(lines: int = 15000, rounds: int = 7, seed: int = 11) -> TaggingModel:
     """The model from ``lines`` fillings of the labelled table, by Adam on the conditional likelihood."""
     rng = random.Random(seed)
     rows, golds, hints = [], [], []
