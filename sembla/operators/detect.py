@@ -187,7 +187,7 @@ ALIKE = {1: (False, "any"), 2: (False, "file"), 3: (False, "stretch"), 4: (True,
 
 
 def keep_single(detections: DataFrame, mode: int, most: int | None = None) -> DataFrame:
-    """Of alike detections of a query file the best one (ties as in rank_detections), at most ``most`` per query file.
+    """Of alike detections of a query file the best one (ties by reference file and start), at most ``most`` per query file.
 
     mode is a number of ALIKE; stretches are alike when they share at least half of the shorter one. Modes
     1 and 2 are windows; in the others a scan keeps what a query file has kept so far.
@@ -226,8 +226,8 @@ def _overlap(s1: float, e1: float, s2: float, e2: float) -> float:
 
 
 def rank_detections(detections: DataFrame) -> DataFrame:
-    """detections with their rank by score within the query file; ties by reference file and start."""
-    order = W.partitionBy("video_q").orderBy(F.desc("score"), "video_r", "sec_start_q", "sec_start_r")
+    """detections with their rank by score within the query file; ties by reference file, starts and ends."""
+    order = W.partitionBy("video_q").orderBy(F.desc("score"), "video_r", "sec_start_q", "sec_start_r", "sec_end_q", "sec_end_r")
     return detections.withColumn("rank", F.row_number().over(order))
 
 

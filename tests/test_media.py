@@ -168,6 +168,19 @@ def test_detections_without_counts_are_printed(spark, data):
     assert M.detect_print_txt(spark, data).count() == want
 
 
+def tied(spark, layout):
+    """Lines of detections that differ only in their ends, for two orders of the rows."""
+    ends = [(20.0, 30.0), (10.0, 30.0), (10.0, 20.0)]
+    media = spark.createDataFrame([("q", "/m/q.mp4", 0.0), ("r", "/m/r.avi", 0.0)], "file_id string, path string, time_start double")
+    frames = (spark.createDataFrame([(1.0, "q", 5.0, a, "r", 7.0, b, 1, 0) for a, b in rows], E._DETECTION).coalesce(1) for rows in (ends, ends[::-1]))
+    return [[r.line for r in S.detection_lines(d, media, layout).orderBy("rank").collect()] for d in frames]
+
+
+def test_tied_detections_as_calls_of_a_player(spark):
+    want = [f"vlc --start-time 5 --stop-time {a} /m/q.mp4 --start-time 7 --stop-time {b} /m/r.avi" for a, b in ((10, 20), (10, 30), (20, 30))]
+    assert tied(spark, "VLC") == [want, want]
+
+
 def test_porter():
     stem = W.Porter()
     pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat rational ration digitizer digit triplicate triplic hopeful hope goodness good revival reviv allowance allow adjustment adjust adoption adopt effective effect probate probat rate rate controll control roll roll as as".split()
