@@ -181,6 +181,11 @@ def test_tied_detections_as_calls_of_a_player(spark):
     assert tied(spark, "VLC") == [want, want]
 
 
+def test_tied_detections_as_links(spark):
+    want = [f"q Q0 r 0.7 0.{b} {rank} 1.0000" for rank, b in ((1, 20), (2, 30), (3, 30))]
+    assert tied(spark, "LNK") == [want, want]
+
+
 def test_porter():
     stem = W.Porter()
     pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat rational ration digitizer digit triplicate triplic hopeful hope goodness good revival reviv allowance allow adjustment adjust adoption adopt effective effect probate probat rate rate controll control roll roll as as".split()
