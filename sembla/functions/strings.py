@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from sembla.session import ship_package
 
 
 def parse_seconds(text: Column) -> Column:
@@ -50,6 +52,18 @@ def disk_size(size: Column) -> Column:
     return out.otherwise(F.format_string("%d B", size.cast("long")))
 
 
+def fixed_decimals(value: Column, decimals: int) -> Column:
+    """A double with so many decimals, its exact binary value rounded as printf does; format_string rounds its shortest decimal form instead."""
+    ship_package()
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{decimals}f}" for v in values.to_pylist()], pa.string())
+
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    # asNondeterministic: run once, not again for the filter that explode asks for
+    return F.arrow_udf(run, "string").asNondeterministic()(value.cast("double"))
+
+
 def base_name(path: Column) -> Column:
     """The file name of a path."""
     return F.regexp_replace(path, r"^.*/", "")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sembla.functions.strings import format_seconds, parse_fraction, parse_seconds
+from sembla.functions.strings import fixed_decimals, format_seconds, parse_fraction, parse_seconds
 from sembla.operators.detect import rank_detections
 from sembla.operators.ordered import with_positions
 from sembla.operators.text import stems, words
@@ -308,7 +308,7 @@ def detection_lines(detections: DataFrame, catalog: DataFrame, layout: str) -> D
     layouts: dict[str, Column] = {
         "VLC": F.array(F.concat_ws(" ", F.lit("vlc"), player("q"), player("r"))), "VIEW": F.array(F.concat_ws(" ", F.lit("view"), player("q"), player("r"))), "FFMPEG": F.array(cut("r"), cut("q")),
         "TXT": F.array(F.concat_ws("\t", table("q"), table("r"), F.format_string("%.2f", "score"))), "DB": F.array(entry("q"), entry("r")),
-        "LNK": F.array(F.concat_ws(" ", "video_q", F.lit("Q0"), "video_r", minutes(F.col("sec_start_r")), minutes(F.col("sec_end_r")), F.col("rank").cast("string"), F.format_string("%.4f", "score"))),
+        "LNK": F.array(F.concat_ws(" ", "video_q", F.lit("Q0"), "video_r", minutes(F.col("sec_start_r")), minutes(F.col("sec_end_r")), F.col("rank").cast("string"), F.coalesce(fixed_decimals(F.col("score"), 4), F.lit("null")))),
     }
     lines = d.select("video_q", "rank", F.explode(layouts[layout]).alias("line"))
     return lines.distinct() if layout == "DB" else lines

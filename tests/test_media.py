@@ -186,6 +186,24 @@ def test_tied_detections_as_links(spark):
     assert tied(spark, "LNK") == [want, want]
 
 
+def test_links_give_scores_as_their_sql(spark, tmp_path):
+    import duckdb
+    from sembla.plans import source_queries as Z
+
+    scores = [float("inf"), 1e22, 1e15 + 0.3, 7.4, 2.00015, 1.00005, 0.00025, 0.00015, 0.0, -0.00015, float("-inf")]
+    rows = [(i, x, "q", 5.0, 10.0, "r", 7.0, 20.0, 1, 0) for i, x in enumerate(scores)]
+    spark.createDataFrame(rows, "detection_id long, " + E._DETECTION).write.parquet(f"{tmp_path}/detection.parquet")
+    spark.createDataFrame([("q", "/m/q.mp4", 0.0), ("r", "/m/r.avi", 0.0)], "file_id string, path string, time_start double").write.parquet(f"{tmp_path}/media_catalog.parquet")
+    con = duckdb.connect()
+    for table in ("media_catalog", "detection"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = [tuple(r) for r in Z.detect_print_lnk(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert [x[2].split()[-1] for x in got][:3] == ["inf", "10000000000000000000000.0000", "1000000000000000.2500"]
+    assert got == con.execute(f"SELECT * FROM ({Z.SQL['detect_print_lnk']}) ORDER BY rank").fetchall()
+    unknown = spark.createDataFrame([(None, *rows[0][2:])], E._DETECTION)
+    assert S.detection_lines(unknown, spark.read.parquet(f"{tmp_path}/media_catalog.parquet"), "LNK").first().line == "q Q0 r 0.7 0.20 1 null"
+
+
 def test_porter():
     stem = W.Porter()
     pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat rational ration digitizer digit triplicate triplic hopeful hope goodness good revival reviv allowance allow adjustment adjust adoption adopt effective effect probate probat rate rate controll control roll roll as as".split()
