@@ -7,13 +7,16 @@ closeness (1 for equal segments, towards 0 for far ones).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sembla.operators.asof import asof_join
 from sembla.operators.grouped import apply_groups
+from sembla.session import map_arrow
 
 _KEYS = ["q_file", "r_file"]
 
@@ -187,10 +190,12 @@ ALIKE = {1: (False, "any"), 2: (False, "file"), 3: (False, "stretch"), 4: (True,
 
 
 def keep_single(detections: DataFrame, mode: int, most: int | None = None) -> DataFrame:
-    """Of alike detections of a query file the best one (ties by reference file and start), at most ``most`` per query file.
+    """Of alike detections of a query file the best one (ties by reference file, starts and ends), at most ``most`` per query file.
 
     mode is a number of ALIKE; stretches are alike when they share at least half of the shorter one. Modes
-    1 and 2 are windows; in the others a scan keeps what a query file has kept so far.
+    1 and 2 are windows; in the others rows stream past, best first, and each is compared with the kept ones near it. What only
+    the same reference file can make alike is apart by (query file, reference file), so that a query file with a large share of all
+    rows is spread over the tasks. A task holds the bounds that one such group has kept.
     """
     by_stretch, reference = ALIKE[mode]
     clean = detections.dropna(subset=["video_q", "video_r", "score"]).where(~F.isnan("score"))
@@ -199,22 +204,74 @@ def keep_single(detections: DataFrame, mode: int, most: int | None = None) -> Da
         order = W.partitionBy(*keys).orderBy(F.desc("score"), "video_r", "sec_start_q", "sec_start_r")
         out = clean.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).drop("rank")
     else:
-        columns = [c.split()[0] for c in _DETECTION.split(", ")]
+        kinds = dict(c.split() for c in _DETECTION.split(", "))
+        keys = ["video_q"] if reference == "any" else ["video_q", "video_r"]
+        sides = {"q": by_stretch, "r": reference == "stretch"}
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, kept, n = None, _Boxes(), 0
+            for batch in batches:
+                bounds: list[list] = []
+                for side, used in sides.items():
+                    # a side that doesn't matter is the same for all rows
+                    bounds += [batch.column(f"sec_{end}_{side}").to_pylist() if used else [fixed] * batch.num_rows for end, fixed in (("start", 0.0), ("end", 1.0))]
+                take = []
+                for i, (mine, box) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*bounds))):
+                    if mine != key:
+                        key, kept, n = mine, _Boxes(), 0
+                    if (most is None or n < most) and kept.add(box):
+                        n += 1
+                        take.append(i)
+                yield batch.select(list(kinds)).take(pa.array(take, pa.int64()))
+
+        rows = clean.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items())).repartition(*keys)
+        order = ["video_r", "sec_start_q", "sec_start_r", "sec_end_q", "sec_end_r", "num_voters", "num_misses"]
+        out = map_arrow(rows.sortWithinPartitions(*keys, F.desc("score"), *order), single, _DETECTION)
+    return rank_detections(out).where(F.col("rank") <= most).drop("rank") if most else out
+
 
-        def alike(a: tuple, b: tuple) -> bool:
-            if by_stretch and _overlap(a[2], a[3], b[2], b[3]) < 0.5:
+class _Boxes:
+    """Boxes (start and end on two sides) no two of which share half of the shorter one on both sides.
+
+    Boxes whose lengths have the same powers of two lie in cells as wide as these, so that
+    a box touches two cells at most on a side. Boxes of one level that share a cell are few, as they are not alike.
+    """
+
+    def __init__(self) -> None:
+        self.levels: dict[tuple[float, float], tuple[list[tuple], dict[tuple, list[tuple]]]] = {}
+        self.endless: list[tuple] = []
+
+    def add(self, box: tuple) -> bool:
+        """Adds a box unless one is alike; one without a known length is like no other."""
+        s, e, t, f = box
+        # false for nan too
+        if None in box or not (s < e and t < f):
+            return True
+        if any(_alike(box, b) for b in self.endless):
+            return False
+        for (wide, high), (boxes, cells) in self.levels.items():
+            # an infinite bound makes nan, which asks for all boxes
+            a, b, c, d = s // wide, e // wide, t // high, f // high
+            if (b - a + 1) * (d - c + 1) < len(boxes):
+                near = (x for i in range(int(a), int(b) + 1) for j in range(int(c), int(d) + 1) for x in cells.get((i, j), ()))
+            else:
+                near = boxes
+            if any(_alike(box, x) for x in near):
                 return False
-            return reference == "any" or (a[4] == b[4] and (reference == "file" or _overlap(a[5], a[6], b[5], b[6]) >= 0.5))
+        if max(e - s, f - t) > 2.0**1000:
+            self.endless.append(box)
+            return True
+        wide, high = (math.ldexp(1.0, math.frexp(x)[1]) for x in (e - s, f - t))
+        boxes, cells = self.levels.setdefault((wide, high), ([], {}))
+        boxes.append(box)
+        for i in range(int(s // wide), int(e // wide) + 1):
+            for j in range(int(t // high), int(f // high) + 1):
+                cells.setdefault((i, j), []).append(box)
+        return True
 
-        def single(group: list[tuple]) -> list[tuple]:
-            kept: list[tuple] = []
-            for row in group:
-                if (most is None or len(kept) < most) and not any(alike(row, k) for k in kept):
-                    kept.append(row)
-            return [k[: len(columns)] for k in kept]
 
-        out = apply_groups(clean.select(*columns).withColumn("worse", -F.col("score")), ["video_q"], ["worse", "video_r", "sec_start_q", "sec_start_r"], single, _DETECTION)
-    return rank_detections(out).where(F.col("rank") <= most).drop("rank") if most else out
+def _alike(a: tuple, b: tuple) -> bool:
+    return _overlap(a[0], a[1], b[0], b[1]) >= 0.5 and _overlap(a[2], a[3], b[2], b[3]) >= 0.5
 
 
 def _overlap(s1: float, e1: float, s2: float, e2: float) -> float:
@@ -222,7 +279,7 @@ def _overlap(s1: float, e1: float, s2: float, e2: float) -> float:
     if None in (s1, e1, s2, e2):
         return 0.0
     over, shorter = min(e1, e2) - max(s1, s2), min(e1 - s1, e2 - s2)
-    return 0.0 if over <= 0 else 1.0 if shorter <= 0 else over / shorter
+    return 0.0 if over <= 0 else 1.0 if over >= shorter else over / shorter
 
 
 def rank_detections(detections: DataFrame) -> DataFrame:

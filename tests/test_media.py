@@ -345,6 +345,51 @@ def test_single_detections(spark):
     assert [r.score for r in E.keep_single(df, 6, 2).collect()] == [5.0, 3.0] and E.keep_single(df.limit(0), 4).count() == 0
 
 
+def _shared(s1, e1, s2, e2):
+    over = min(e1, e2) - max(s1, s2) if None not in (s1, e1, s2, e2) else 0
+    return over > 0 and over >= min(e1 - s1, e2 - s2) / 2
+
+
+def test_single_detections_like_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        (s, e), (t, f) = ((x, x + rng.choice([0.0, -1.0, 0.25, 2.0, 7.5, 60.0, float("inf"), 900.0])) for x in (rng.randrange(-400, 400) / 8, rng.randrange(400) / 8))
+        rows.append((float(rng.randrange(40)), rng.choice("qqqp"), s, e if i % 50 else None, rng.choice("aaab"), t, f if i % 70 else None, i, 0))
+    df = spark.createDataFrame(rows, E._DETECTION)
+    order = lambda d: (-d[0], d[4], *((x is not None, x or 0.0) for x in (d[2], d[5], d[3], d[6])), d[7])
+    for mode in (3, 4, 5, 6):
+        q, r = E.ALIKE[mode]
+        kept = []
+        for d in sorted(rows, key=order):
+            same = [k for k in kept if k[1] == d[1] and (r == "any" or k[4] == d[4])]
+            if not any((not q or _shared(*k[2:4], *d[2:4])) and (r != "stretch" or _shared(*k[5:7], *d[5:7])) for k in same):
+                kept.append(d)
+        assert {x.num_voters for x in E.keep_single(df, mode).collect()} == {k[7] for k in kept}
+        best = [k[7] for name in "pq" for k in [k for k in kept if k[1] == name][:5]]
+        assert sorted(x.num_voters for x in E.keep_single(df, mode, 5).collect()) == sorted(best)
+
+
+def test_single_detections_of_one_file(spark, monkeypatch):
+    # a query file with all rows is spread over tasks, and a pair of files isn't compared row by row
+    rows = spark.range(2000).selectExpr("double(id) score", "'q' video_q", "0d sec_start_q", "9d sec_end_q", "string(id) video_r", "0d sec_start_r", "9d sec_end_r", "1L num_voters", "0L num_misses")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = E.keep_single(rows, 6)
+        assert kept.count() == 2000 and kept.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    calls = []
+    plain = E._overlap
+    monkeypatch.setattr(E, "_overlap", lambda *x: calls.append(1) or plain(*x))
+    rng = random.Random(6)
+    boxes = E._Boxes()
+    for _ in range(5000):
+        s, t, n = rng.uniform(0, 3600), rng.uniform(0, 3600), 2 ** rng.uniform(0, 6)
+        boxes.add((s, s + n, t, t + n))
+    assert len(calls) < 100 * 5000
+
+
 def test_fusion_options(spark):
     near = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.7), (1, 9, 2.0), (2, 7, 0.1)], "query_id long, ref_id long, distance double")
     assert [(r.query_id, r.ref_id) for r in U.limit_list(near, 2, 1.0).orderBy("query_id", "rank").collect()] == [(1, 7), (1, 8), (2, 7)]
